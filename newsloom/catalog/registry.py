@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-MODULES = ["health", "texts"]
+MODULES = ["health", "texts", "ranking", "links"]
 
 
 def query(name: str, sql: str | None = None):

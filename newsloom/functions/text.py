@@ -14,7 +14,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-WS = r"[\s\x1c-\x1f]"
+# White space of the Unicode standard and the ASCII separators.
+WS_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+WS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 LINE_END = r"(?:\R|[\x1c-\x1e])"
 
 # Line openings and phrases that mark an instruction to a model.
@@ -83,16 +88,16 @@ def let(c: Column, body: Callable[[Column], Column]) -> Column:
 
 def py_strip(c: Column) -> Column:
     """Trim all white space, not only blanks."""
-    return F.regexp_replace(c, rf"(?U)^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U){WS}+$", "")
+    return F.rtrim(c, F.lit(WS_CHARS))
 
 
 def collapse(c: Column) -> Column:
     """One blank between words, none around the text."""
-    return py_strip(F.regexp_replace(c, rf"(?U){WS}+", " "))
+    return py_strip(F.regexp_replace(c, rf"{WS}+", " "))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -101,7 +106,7 @@ def blank_to_null(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """White-space separated tokens; none for blank text."""
-    return F.filter(F.split(c, rf"(?U){WS}+"), lambda w: w != "")
+    return F.filter(F.split(c, rf"{WS}+"), lambda w: w != "")
 
 
 class _Text(HTMLParser):
@@ -171,16 +176,11 @@ def clip(c: Column, limit: int) -> Column:
 
 
 def drop_injection_lines(c: Column) -> Column:
-    def clean(line: Column) -> Column:
-        low = F.lower(py_strip(line))
-        bad = F.lit(False)
-        for p in INJECTION_PREFIXES:
-            bad = bad | low.startswith(p)
-        for p in INJECTION_PHRASES:
-            bad = bad | F.contains(low, F.lit(p))
-        return ~bad
-
-    return F.array_join(F.filter(lines(c), clean), "\n")
+    # One pattern, so that a line is lowered and trimmed once.
+    opening = "|".join(rf"\Q{p}\E" for p in INJECTION_PREFIXES)
+    inside = "|".join(rf"\Q{p}\E" for p in INJECTION_PHRASES)
+    pattern = rf"^(?:{opening})|{inside}"
+    return F.array_join(F.filter(lines(c), lambda x: ~F.lower(py_strip(x)).rlike(pattern)), "\n")
 
 
 def escape_json_ends(c: Column) -> Column:
@@ -234,22 +234,37 @@ def truncate_sentence(c: Column, limit: int = 220, least: int = 80) -> Column:
 
 def gram_words(c: Column) -> Column:
     """Lower-case words without punctuation."""
-    plain = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(?U)[^\p{L}\p{N}_\s\x1c-\x1f]", "")
+    plain = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), rf"[^\p{{L}}\p{{N}}_{WS[1:-1]}]", "")
     return words(plain)
 
 
+def _windows(w: Column, window: int, build: Callable[[list[Column]], Column], kind: str) -> Column:
+    """One value per distinct window of ``window`` words."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(w) - window, F.lit(0)))
+    # Single look-ups: slicing would copy the word list once per window.
+    made = F.transform(starts, lambda i: build([F.get(w, i + k) for k in range(window)]))
+    return F.when(F.size(w) >= window, F.array_distinct(made)).otherwise(F.array().cast(f"array<{kind}>"))
+
+
 def word_grams(c: Column, window: int = 10) -> Column:
     """Distinct word windows of a text; none when it has fewer words."""
+    return let(gram_words(c), lambda w: _windows(w, window, lambda x: F.concat_ws(" ", *x), "string"))
+
+
+def gram_hashes(c: Column, window: int = 10) -> Column:
+    """Distinct 64-bit hashes of the word windows of a text."""
+    return let(gram_words(c), lambda w: _windows(w, window, lambda x: F.xxhash64(*x), "bigint"))
 
-    def windows(w: Column) -> Column:
-        grams = F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(w) - (window - 1), F.lit(1))),
-            lambda i: F.array_join(F.slice(w, i, window), " "),
-        )
-        none = F.array().cast("array<string>")
-        return F.when(F.size(w) >= window, F.array_distinct(grams)).otherwise(none)
 
-    return let(gram_words(c), windows)
+def hashed_grams(c: Column, window: int = 10) -> Column:
+    """Word windows next to their hashes."""
+
+    def both(x: list[Column]) -> Column:
+        return F.struct(F.xxhash64(*x).alias("gram_hash"), F.concat_ws(" ", *x).alias("gram"))
+
+    return let(
+        gram_words(c), lambda w: _windows(w, window, both, "struct<gram_hash:bigint,gram:string>")
+    )
 
 
 def strip_markup_pairs(c: Column) -> Column:
@@ -264,7 +279,7 @@ def keep_allowed_tags(c: Column) -> Column:
 
 
 def find_urls(c: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(?U)https?://\S+"), F.lit(0))
+    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(rf"https?://[^{WS[1:-1]}]+"), F.lit(0))
 
 
 def content_id(prefix: Column, links: Column, headline: Column, facts: Column) -> Column:
@@ -356,11 +371,8 @@ def has_useful_summary(summary: Column, body: Column, least: int = 40) -> Column
 
 def any_contains(c: Column, needles: list[str]) -> Column:
     """Case-blind substring test against a list (a hit inside a word counts)."""
-    low = F.lower(F.coalesce(c, F.lit("")))
-    hit = F.lit(False)
-    for n in needles:
-        hit = hit | F.contains(low, F.lit(n.lower()))
-    return hit
+    pattern = "|".join(rf"\Q{n.lower()}\E" for n in needles)
+    return F.lower(F.coalesce(c, F.lit(""))).rlike(pattern)
 
 
 def display_text(facts: Column, analysis: Column, note: Column) -> Column:

@@ -15,18 +15,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.functions.text import word_grams
+from newsloom.functions.text import gram_hashes, hashed_grams
 from newsloom.operators.joins import HOT_ROWS, hot_join
 from newsloom.operators.links import step_down
 from newsloom.operators.ranking import top_per_group
 from newsloom.session import cut
 
 
-def gram_rows(texts: DataFrame, key: Sequence[str], text: str = "text", window: int = 10) -> DataFrame:
+def hash_rows(texts: DataFrame, key: Sequence[str], window: int = 10) -> DataFrame:
+    """One row per distinct window of each text: its hash only."""
+    return texts.select(*key, F.explode(gram_hashes(F.col("text"), window)).alias("gram_hash"))
+
+
+def gram_rows(texts: DataFrame, key: Sequence[str], window: int = 10) -> DataFrame:
     """One row per distinct window of each text, with its hash."""
-    return texts.select(*key, F.explode(word_grams(F.col(text), window)).alias("gram")).withColumn(
-        "gram_hash", F.xxhash64("gram")
-    )
+    grams = texts.select(*key, F.explode(hashed_grams(F.col("text"), window)).alias("_g"))
+    return grams.select(*key, F.col("_g.gram_hash").alias("gram_hash"), F.col("_g.gram").alias("gram"))
+
+
+def _spelled(
+    texts: DataFrame,
+    hashes: DataFrame,
+    common: DataFrame,
+    key: Sequence[str],
+    run: Sequence[str],
+    window: int,
+    hot_rows: int,
+) -> DataFrame:
+    """The words of the windows whose hash is common, from texts that have one."""
+    h = [*run, "gram_hash"]
+    hits = hot_join(hashes, common, h, "left_semi", hot_rows)
+    owners = hits.select(*key).distinct()
+    rows = gram_rows(texts.join(owners, list(key), "left_semi"), key, window)
+    return hot_join(rows, common, h, "left_semi", hot_rows).drop("gram_hash")
 
 
 def shared_grams(
@@ -37,14 +58,17 @@ def shared_grams(
     window: int = 10,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Windows of each left text that occur in any right text of its run."""
-    a = gram_rows(left, [*run, *key], "text", window)
-    b = gram_rows(right, list(run), "text", window)
+    """Windows of each left text that occur in any right text of its run.
+
+    ``key`` identifies a text in a run on both sides.
+    """
+    k = [*run, *key]
+    a, b = hash_rows(left, k, window), hash_rows(right, k, window)
     h = [*run, "gram_hash"]
     common = a.select(*h).distinct().join(b.select(*h).distinct(), h, "inner")
-    words = hot_join(b, common, h, "left_semi", hot_rows).select(*run, "gram").distinct()
-    candidates = hot_join(a, common, h, "left_semi", hot_rows)
-    return hot_join(candidates.drop("gram_hash"), words, [*run, "gram"], "left_semi", hot_rows)
+    words = _spelled(right, b, common, k, run, window, hot_rows).select(*run, "gram").distinct()
+    candidates = _spelled(left, a, common, k, run, window, hot_rows)
+    return hot_join(candidates, words, [*run, "gram"], "left_semi", hot_rows)
 
 
 def overlap_counts(shared: DataFrame, key: Sequence[str], run: Sequence[str] = ("run_date",)) -> DataFrame:
@@ -82,11 +106,12 @@ def cross_section_phrases(
     share it: its first item, and its first item outside that one's section.
     Groups are folded by partial aggregation; no pairs are enumerated.
     """
-    grams = gram_rows(texts, [*run, "section", "pos"], "text", window)
+    k = [*run, "section", "pos"]
+    grams = hash_rows(texts, k, window)
     h = [*run, "gram_hash"]
     sections = grams.select(*h, "section").distinct().groupBy(*h).agg(F.count(F.lit(1)).alias("_s"))
     common = sections.where(F.col("_s") > 1).select(*h)
-    survivors = hot_join(grams, common, h, "left_semi", hot_rows).drop("gram_hash")
+    survivors = _spelled(texts, grams, common, k, run, window, hot_rows)
     g = [*run, "gram"]
     per_section = survivors.groupBy(*g, "section").agg(F.min("pos").alias("pos"))
     # One row per section is left, so a phrase gathers no more than sections.

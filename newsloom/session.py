@@ -39,3 +39,13 @@ def local_session(name: str = "newsloom", cores: str = "*", memory: str = "16g")
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def widen(df: DataFrame) -> DataFrame:
+    """Spread a scan over the cores when its files make too few tasks.
+
+    Costly per-row work on a small table would otherwise run in one task. A
+    table of many files or row groups has enough tasks and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
