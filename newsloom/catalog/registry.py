@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib
+import pkgutil
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-MODULES = ["health", "texts", "ranking", "links"]
 
 
 def query(name: str, sql: str | None = None):
@@ -28,5 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load_all() -> None:
-    for m in MODULES:
+    import newsloom.catalog as here
+
+    for m in sorted(x.name for x in pkgutil.iter_modules(here.__path__)):
         importlib.import_module(f"newsloom.catalog.{m}")

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from newsloom.functions.text import any_contains
 from newsloom.functions.urls import netloc
-from newsloom.operators.joins import HOT_ROWS, hot_join
+from newsloom.operators.joins import HOT_ROWS
 from newsloom.operators.phrases import cross_section_phrases, representative_phrases
 from newsloom.operators.tags import PRIMARY_DOMAINS, PRIMARY_KEYWORDS, PRIMARY_TAGS
 
@@ -66,7 +66,6 @@ def source_absence(
     categories: Sequence[str] | None = None,
     least: int = 3,
     run: str = "run_date",
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Categories with raw items whose hosts no analysed link refers to.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,10 +16,15 @@ HOT_KEYS = 1_000
 SALTS = 64
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], rows: int = HOT_ROWS) -> DataFrame:
+def key_counts(df: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows per key, combined map-side."""
+    return df.groupBy(*on).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def hot_keys(counts: DataFrame, on: Sequence[str], rows: int = HOT_ROWS) -> DataFrame:
     """The most frequent keys, ``HOT_KEYS`` rows at most by construction."""
-    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= rows)
-    return counts.orderBy(F.desc("_n")).limit(HOT_KEYS).drop("_n")
+    many = counts.where(F.col("rows") >= rows)
+    return many.orderBy(F.desc("rows"), *on).limit(HOT_KEYS).select(*on)
 
 
 def hot_join(
@@ -27,16 +32,18 @@ def hot_join(
     right: DataFrame,
     on: Sequence[str],
     how: str,
+    counts: DataFrame,
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
     """Join whose left side may hold very frequent keys.
 
-    Rows of hot keys are spread over ``salts`` tasks by a hash of the row, and
-    the right rows of just those keys are repeated once per salt. The result
-    is that of the plain join on ``on`` (null keys do not match).
+    ``counts`` is ``key_counts`` of the left side, which callers mostly need
+    anyway. Rows of hot keys are spread over ``salts`` tasks by a hash of the
+    row, and the right rows of just those keys are repeated once per salt. The
+    result is that of the plain join on ``on`` (null keys do not match).
     """
-    hot = hot_keys(left.where(_not_null(on)), on, hot_rows).withColumn("_hot", F.lit(True))
+    hot = hot_keys(counts, on, hot_rows).withColumn("_hot", F.lit(True))
     # Hashable row content decides the salt, so a recomputed task agrees.
     plain = [c for c, t in left.dtypes if not t.startswith(("map", "variant"))]
     salted = left.join(F.broadcast(hot), list(on), "left").withColumn(
@@ -53,13 +60,6 @@ def hot_join(
     return joined.drop("_salt")
 
 
-def _not_null(on: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for c in on:
-        cond = cond & F.col(c).isNotNull()
-    return cond
-
-
 # Fields of a landed record which can carry its URL.
 URL_FIELDS = ["url", "final_url", "resolved_url", "canonical_url"]
 
@@ -86,8 +86,9 @@ def mark_known(links: DataFrame, known: DataFrame, key: str = "run_date", hot_ro
     Distinct link URLs are checked, so a URL linked from very many items is
     looked up once; the verdict then returns to the links.
     """
-    asked = links.select(key, "url").where(F.coalesce(F.col("url"), F.lit("")) != "").distinct()
-    spelled = asked.withColumn("_canonical", canonical_url(F.col("url")))
+    given = links.where(F.coalesce(F.col("url"), F.lit("")) != "")
+    asked = key_counts(given, [key, "url"])
+    spelled = asked.select(key, "url", canonical_url(F.col("url")).alias("_canonical"))
     exact = known.select(key, "url").distinct().withColumn("_exact", F.lit(True))
     canon = (
         known.select(key, canonical_url(F.col("url")).alias("_canonical"))
@@ -105,7 +106,7 @@ def mark_known(links: DataFrame, known: DataFrame, key: str = "run_date", hot_ro
             (F.coalesce(F.col("_exact"), F.lit(False)) | F.coalesce(F.col("_same"), F.lit(False))).alias("_known"),
         )
     )
-    out = hot_join(links, verdict, [key, "url"], "left", hot_rows)
+    out = hot_join(links, verdict, [key, "url"], "left", asked, hot_rows)
     blank = F.coalesce(F.col("url"), F.lit("")) == ""
     return (
         out.withColumn("known", blank | F.coalesce(F.col("_known"), F.lit(False)))
@@ -224,7 +225,7 @@ def prefer_enriched(raw: DataFrame, enriched: DataFrame, field: str = "summary")
 def propagate_to_duplicates(items: DataFrame, kept: DataFrame, field: str, key: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Duplicates of a kept item take over its value."""
     source = kept.select(*key, F.col(field).alias("_kept"))
-    out = hot_join(items, source, key, "left", hot_rows)
+    out = hot_join(items, source, key, "left", key_counts(items, key), hot_rows)
     return out.withColumn(field, F.coalesce(F.col("_kept"), F.col(field))).drop("_kept")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.text import let, py_strip
 from newsloom.functions.urls import netloc, registered_domain
-from newsloom.operators.joins import HOT_ROWS, hot_join, mark_known
+from newsloom.operators.joins import HOT_ROWS, hot_join, key_counts, mark_known
 
 
 def link_domains(links: Column) -> Column:
@@ -130,7 +130,8 @@ def domains_bridged(
     rows = dives.select("run_date", "pos", F.posexplode(links).alias("_at", "_link")).select(
         "run_date", "pos", "_at", py_strip(F.coalesce(F.col("_link.url"), F.lit(""))).alias("url")
     )
-    found = hot_join(rows, desks, ["run_date", "url"], "inner", hot_rows)
+    on = ["run_date", "url"]
+    found = hot_join(rows, desks, on, "inner", key_counts(rows, on), hot_rows)
     first = found.groupBy("run_date", "pos", "desk").agg(F.min("_at").alias("_first"))
     return first.groupBy("run_date", "pos").agg(
         F.transform(
@@ -149,7 +150,8 @@ def keep_desk_links(desk_items: DataFrame, routed: DataFrame, hot_rows: int = HO
     rows = desk_items.select(
         "run_date", "desk", "pos", F.posexplode("links").alias("_at", "_link")
     ).withColumn("_host", netloc(F.col("_link.url")))
-    kept = hot_join(rows, hosts, ["run_date", "desk", "_host"], "left_semi", hot_rows)
+    on = ["run_date", "desk", "_host"]
+    kept = hot_join(rows, hosts, on, "left_semi", key_counts(rows, on), hot_rows)
     lists = kept.groupBy("run_date", "desk", "pos").agg(
         F.array_sort(F.collect_list(F.struct("_at", "_link"))).alias("_kept")
     )

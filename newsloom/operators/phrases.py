@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom.functions.text import gram_hashes, hashed_grams
-from newsloom.operators.joins import HOT_ROWS, hot_join
+from newsloom.operators.joins import HOT_ROWS, hot_join, key_counts
 from newsloom.operators.links import step_down
 from newsloom.operators.ranking import top_per_group
 from newsloom.session import cut
@@ -44,10 +44,11 @@ def _spelled(
 ) -> DataFrame:
     """The words of the windows whose hash is common, from texts that have one."""
     h = [*run, "gram_hash"]
-    hits = hot_join(hashes, common, h, "left_semi", hot_rows)
+    counts = key_counts(hashes, h)
+    hits = hot_join(hashes, common, h, "left_semi", counts, hot_rows)
     owners = hits.select(*key).distinct()
     rows = gram_rows(texts.join(owners, list(key), "left_semi"), key, window)
-    return hot_join(rows, common, h, "left_semi", hot_rows).drop("gram_hash")
+    return hot_join(rows, common, h, "left_semi", counts, hot_rows).drop("gram_hash")
 
 
 def shared_grams(
@@ -65,10 +66,11 @@ def shared_grams(
     k = [*run, *key]
     a, b = hash_rows(left, k, window), hash_rows(right, k, window)
     h = [*run, "gram_hash"]
-    common = a.select(*h).distinct().join(b.select(*h).distinct(), h, "inner")
+    common = key_counts(a, h).select(*h).join(key_counts(b, h).select(*h), h, "inner")
     words = _spelled(right, b, common, k, run, window, hot_rows).select(*run, "gram").distinct()
     candidates = _spelled(left, a, common, k, run, window, hot_rows)
-    return hot_join(candidates, words, [*run, "gram"], "left_semi", hot_rows)
+    on = [*run, "gram"]
+    return hot_join(candidates, words, on, "left_semi", key_counts(candidates, on), hot_rows)
 
 
 def overlap_counts(shared: DataFrame, key: Sequence[str], run: Sequence[str] = ("run_date",)) -> DataFrame:
@@ -167,7 +169,7 @@ def representative_phrases(
     finished = None
     for _ in range(most + 1):
         tokens = F.array_distinct(F.split("phrase", " "))
-        open_rows = hot_join(base, state, [run], "inner").where(
+        open_rows = base.join(state, run, "inner").where(
             ~F.exists(
                 "kept", lambda x: F.size(F.array_intersect(tokens, F.split(x, " "))) >= like
             )

@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom.functions.text import py_strip
-from newsloom.operators.joins import hot_join
 from newsloom.operators.ranking import top_per_group
 from newsloom.operators.tags import PRIMARY_DESKS, PRIMARY_TAGS, tag_label
 from newsloom.session import cut
@@ -113,7 +112,7 @@ def diverse_top(
     slim = ranked.select(run, "pos", "_tag", *_ORDER[:2], F.coalesce("sources", F.array().cast("array<string>")).alias("sources"))
     sizes = top_per_group(slim, [run], ["pos"], k + 1).groupBy(run).agg(F.count(F.lit(1)).alias("_n"))
     over = sizes.where(F.col("_n") > k).select(run)
-    large = hot_join(slim, over, [run], "left_semi")
+    large = slim.join(over, run, "left_semi")
 
     # Streams that never change: the head of the list, and each tag's best.
     head = top_per_group(large, [run], _ORDER, 2 * k).withColumn("_stream", F.lit("head"))
@@ -154,7 +153,8 @@ def diverse_top(
     for _ in range(k + len(names) + 1):
         # Items that can still be chosen, best first, a bounded number each.
         full = F.map_keys(F.map_filter("counts", lambda _, n: n >= cap))
-        open_items = hot_join(large, state.withColumn("_full", full).drop("counts"), [run], "inner").where(
+        # One state row per run: small enough to broadcast at runtime.
+        open_items = large.join(state.withColumn("_full", full).drop("counts"), run, "inner").where(
             ~F.array_contains("picked", F.col("pos")) & ~F.arrays_overlap("sources", "_full")
         ).select(*large.columns)
         by_tag = top_per_group(
@@ -170,7 +170,7 @@ def diverse_top(
             break
     chosen = finished.select(run, F.explode("picked").alias("pos"))
     cut_runs = ranked.join(chosen, [run, "pos"], "left_semi").withColumn("_key", F.struct(*_ORDER))
-    small = hot_join(ranked, over, [run], "left_anti").withColumn(
+    small = ranked.join(over, run, "left_anti").withColumn(
         "_key", F.struct(F.lit(0).alias("_depth"), F.lit(0).alias("_note"), F.col("pos"))
     )
     out = top_per_group(cut_runs.unionByName(small), [run], ["_key"], k, "rank")

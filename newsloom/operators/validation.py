@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.text import keep_allowed_tags, py_strip
 from newsloom.functions.urls import netloc
-from newsloom.operators.joins import HOT_ROWS, hot_join, mark_known
+from newsloom.operators.joins import HOT_ROWS, hot_join, key_counts, mark_known
 from newsloom.operators.links import drop_blank_links
 from newsloom.operators.tags import tag_label, valid_tag
 
@@ -19,7 +19,10 @@ def strip_reasons(links: DataFrame, known: DataFrame, run: str = "run_date", hot
     hosts = (
         known.select(run, F.lower(netloc(F.col("url"))).alias("_host")).where(F.col("_host") != "").distinct()
     ).withColumn("_known_host", F.lit(True))
-    out = hot_join(links.withColumn("_host", F.lower(netloc(F.col("url")))), hosts, [run, "_host"], "left", hot_rows)
+    # One row per stripped URL decides; the reasons then go back to the links.
+    asked = key_counts(links, [run, "url"])
+    judged = asked.withColumn("_host", F.lower(netloc(F.col("url")))).join(hosts, [run, "_host"], "left")
+    out = hot_join(links, judged.drop("rows"), [run, "url"], "left", asked, hot_rows)
     reason = F.when(F.col("_known_host"), "known_domain_unknown_path").otherwise("unknown_domain")
     return out.withColumn("reason", reason).drop("_host", "_known_host")
 
@@ -76,7 +79,8 @@ def validate_glance(
         .withColumn("_low", F.lower("headline"))
     )
     seen = titles.select("run_date", F.lower(F.coalesce("title", F.lit(""))).alias("_low")).distinct()
-    out = hot_join(clean, seen.withColumn("_echo", F.lit(True)), ["run_date", "_low"], "left", hot_rows)
+    on = ["run_date", "_low"]
+    out = hot_join(clean, seen.withColumn("_echo", F.lit(True)), on, "left", key_counts(clean, on), hot_rows)
     return out.withColumn("echo", F.coalesce(F.col("_echo"), F.lit(False))).drop("_low", "_echo"), issues
 
 
