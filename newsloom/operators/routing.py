@@ -10,20 +10,47 @@ from pyspark.sql import functions as F
 from newsloom.functions.text import sanitize
 from newsloom.operators.metrics import text_pack
 
-# Desks with their categories, transcript channels and tags.
+# Desks with label, categories, transcript channels, tags and
+# how many items they normally, at most and at least put out.
 DESKS = {
     "geopolitics_events": (
+        "Geopolitics & World News",
         ["non-western", "western-analysis", "global-south", "maritime", "dprk-taiwan"],
         ["Beau of the Fifth Column", "Perun"],
         ["war", "domestic", "econ"],
+        (6, 10, 3),
     ),
-    "perspective": (["substack-independent", "perspective-diversity"], [], []),
-    "defense_space": (["defense-mil", "arms-control"], ["Perun"], []),
-    "ai_tech": (["ai-tech", "cyber", "ai-governance"], ["Theo - t3.gg", "Folding Ideas"], []),
-    "energy_materials": (["energy-materials", "european-energy"], [], []),
-    "culture_structural": (["culture-structural"], ["Folding Ideas"], []),
-    "science_biotech": (["science-biotech"], [], []),
-    "econ": (["econ-trade"], [], []),
+    "perspective": (
+        "Perspective & Framing",
+        ["substack-independent", "perspective-diversity"],
+        [],
+        ["domestic"],
+        (3, 5, 0),
+    ),
+    "defense_space": ("Defense & Space", ["defense-mil", "arms-control"], ["Perun"], ["defense", "space"], (3, 6, 1)),
+    "ai_tech": (
+        "AI & Technology",
+        ["ai-tech", "cyber", "ai-governance"],
+        ["Theo - t3.gg", "Folding Ideas"],
+        ["ai", "tech", "cyber"],
+        (3, 6, 1),
+    ),
+    "energy_materials": (
+        "Energy & Materials",
+        ["energy-materials", "european-energy"],
+        [],
+        ["energy", "econ"],
+        (2, 4, 1),
+    ),
+    "culture_structural": (
+        "Culture & Structural Shifts",
+        ["culture-structural"],
+        ["Folding Ideas"],
+        ["domestic", "science"],
+        (2, 3, 0),
+    ),
+    "science_biotech": ("Science & Biotech", ["science-biotech"], [], ["biotech", "science"], (2, 4, 1)),
+    "econ": ("Economics & Trade", ["econ-trade"], [], ["econ"], (2, 4, 1)),
 }
 DESK_ALIASES = {"geopolitics": "geopolitics_events"}
 
@@ -44,9 +71,9 @@ def resolve_desks(
         name = DESK_ALIASES.get(entry.get("name"), entry.get("name"))
         if name in desks:
             own = entry.get("categories")
-            chosen[name] = (list(desks[name][0] if own is None else own), list(desks[name][1]))
+            chosen[name] = (list(desks[name][1] if own is None else own), list(desks[name][2]))
     if not chosen:
-        chosen = {name: (list(d[0]), list(d[1])) for name, d in desks.items()}
+        chosen = {name: (list(d[1]), list(d[2])) for name, d in desks.items()}
     return [(name, i, cats, channels) for i, (name, (cats, channels)) in enumerate(chosen.items())]
 
 
