@@ -12,6 +12,7 @@ from newsloom.functions.text import first_native_text, py_strip, sanitize, summa
 from newsloom.operators.joins import propagate_to_duplicates
 from newsloom.operators.metrics import tier_outcomes
 from newsloom.operators.ranking import budget_reason, dedup_by_url, tier_stats, tiered_budget, top_per_group
+from newsloom.session import cut
 
 # Strategies a feed can name, and budgets per health tier.
 STRATEGIES = ["auto", "rss_only", "fetch", "fetch_with_cookies", "browser_fetch", "skip"]
@@ -407,8 +408,10 @@ def enrich_run(
     failure, no text, summarised. Duplicates take over the kept summary.
     """
     http_caps, browser_caps = caps or default_caps()
-    planned, over, _ = budgets(candidates(items, feeds, least_chars, use_browser), http_caps, browser_caps)
-    looked = cache_lookup(planned, cache, now, native_above)
+    # Every later step starts from these two tables, so they are written once.
+    cands = cut(candidates(items, feeds, least_chars, use_browser))
+    planned, over, _ = budgets(cands, http_caps, browser_caps)
+    looked = cut(cache_lookup(planned, cache, now, native_above))
     skipped = looked.where("strategy = 'skip'")
     hits = looked.where("strategy <> 'skip' and cached is not null")
     rest = looked.where("strategy <> 'skip' and cached is null").drop("cached")
@@ -417,7 +420,8 @@ def enrich_run(
     empty = resolved.where("not terminal and text = ''")
     live = resolved.where("not terminal and text <> ''")
     slim = live.select("run_date", "url", "source", "tier", "native_length", "text", "origin", "fetched_length", "http_status", "fetch_error")
-    done = canonical_summary(slim, model, most, above, native_above)
+    # A model answers once per text, however often its answer is read.
+    done = cut(canonical_summary(slim, model, most, above, native_above))
 
     remote = F.col("cached.source_text_origin").isin("fetched_html", "browser_markdown")
     error = F.concat_ws(
