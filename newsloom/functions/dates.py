@@ -13,11 +13,11 @@ EVENT_FORMATS = [
     (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}Z?$", "yyyy-MM-dd HH:mm"),
 ]
 
-# Date formats of feed entries.
+# Date formats of feed entries, the weekday left out.
 FEED_FORMATS = [
-    "EEE, d MMM yyyy HH:mm:ss Z",
-    "EEE, d MMM yyyy HH:mm:ss z",
     "d MMM yyyy HH:mm:ss Z",
+    "d MMM yyyy HH:mm:ss",
+    "d MMM yyyy HH:mm Z",
     "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX",
     "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]",
     "yyyy-MM-dd HH:mm:ss",
@@ -40,7 +40,8 @@ def parse_feed_date(*fields: Column) -> Column:
     """UTC time of the first field that parses; zoneless text is taken as UTC."""
     tries = []
     for c in fields:
-        text = F.regexp_replace(F.trim(c), r"\b(GMT|UTC|UT)$", "+0000")
+        text = F.regexp_replace(F.trim(c), r"^[A-Za-z]{3,9},\s*", "")
+        text = F.regexp_replace(text, r"\s(GMT|UTC|UT|Z)$", " +0000")
         tries += [F.try_to_timestamp(text, F.lit(fmt)) for fmt in FEED_FORMATS]
     return F.coalesce(*tries)
 

@@ -50,28 +50,22 @@ def canonical_url(url: Column) -> Column:
     p = F.regexp_replace(path(u), r";[^/]*$", "")
     p = F.when(p == "", "/").when(p == "/", "/").otherwise(F.regexp_replace(p, r"/+$", ""))
     query = F.regexp_extract(u, _QUERY, 1)
-
-    def key_of(pair: Column) -> Column:
-        raw = F.substring_index(pair, "=", 1)
-        return F.lower(F.coalesce(F.try_url_decode(raw), raw))
-
+    # One pattern per pair: keys that track, spelled plainly or percent-encoded.
+    tracking = f"^(?:{TRACKING_PREFIX}|(?:{'|'.join(TRACKING_KEYS)})(?:=|$))"
     kept = F.filter(
         F.split(query, "&"),
-        lambda pair: (pair != "")
-        & ~key_of(pair).startswith(TRACKING_PREFIX)
-        & ~key_of(pair).isin(TRACKING_KEYS),
+        lambda pair: (pair != "") & ~F.lower(F.coalesce(F.try_url_decode(pair), pair)).rlike(tracking),
     )
     pairs = F.transform(
         kept,
         lambda pair: F.concat(
             _form_quote(F.substring_index(pair, "=", 1)),
             F.lit("="),
-            _form_quote(
-                F.when(F.instr(pair, "=") > 0, F.regexp_replace(pair, r"^[^=]*=", "")).otherwise("")
-            ),
+            _form_quote(F.regexp_extract(pair, "^[^=]*=(.*)$", 1)),
         ),
     )
-    tail = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(pairs, "&"))).otherwise("")
+    rebuilt = F.array_join(pairs, "&")
+    tail = F.when(query == "", "").when(rebuilt == "", "").otherwise(F.concat(F.lit("?"), rebuilt))
     usable = scheme(u).isin("http", "https") & (host != "")
     return F.when(usable, F.concat(scheme(u), F.lit("://"), F.lower(host), p, tail)).otherwise("")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,9 +20,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise on shared storage and forget the lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a table to the shared folder and go on from there.
+
+    Unlike cached rows it survives lost executors, and unlike a checkpoint of
+    rows it is columnar, so later steps read only what they need and know its
+    size. Clearing the folder is up to its owner, as with checkpoints.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def local_session(name: str = "newsloom", cores: str = "*", memory: str = "16g") -> SparkSession:
