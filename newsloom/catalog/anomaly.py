@@ -10,7 +10,7 @@ from newsloom.catalog.texts import WORD_SQL
 from newsloom.operators import anomaly as A
 from newsloom.operators import phrases as P
 from newsloom.operators.selection import diverse_top
-from newsloom.session import widen
+from newsloom.session import cut, widen
 
 TAG_SQL = "CASE p_type WHEN 'ECONOMY' THEN 'war' WHEN 'SMALL' THEN 'ai' WHEN 'PROMO' THEN 'defense' ELSE 'econ' END"
 
@@ -210,7 +210,8 @@ def _diverse(spark, d):
         F.when(F.col("o_orderstatus") == "P", "note").alias("cross_domain_note"),
         "sources",
     )
-    return diverse_top(its, 7).select("run_date", "rank", "pos", "tag", "source_depth")
+    # Stands for the stored items of the editions.
+    return diverse_top(cut(its), 7).select("run_date", "rank", "pos", "tag", "source_depth")
 
 
 @query(

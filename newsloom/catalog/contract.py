@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from newsloom.catalog.registry import query, table
 from newsloom.operators import contracts as C
+from newsloom.session import cut
 
 
 def desk_documents(spark, d):
@@ -195,7 +196,8 @@ def seam_inputs(spark, d):
         F.array_join(F.transform(F.array_sort(F.collect_list("k")), lambda x: F.concat(F.lit('"i'), x.cast("string"), F.lit('"'))), ",").alias("ids"),
     )
     raw = F.concat(F.lit('{"per_item":['), F.col("t"), F.lit('],"cross_domain":[{"one_line":"c","linked_item_ids":['), F.col("ids"), F.lit("]}]}"))
-    return docs.select("run_date", raw.alias("raw")), desk
+    # Stands for the landed documents.
+    return cut(docs.select("run_date", raw.alias("raw"))), desk
 
 
 SEAM_SQL = """

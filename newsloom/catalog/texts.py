@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from newsloom.catalog.registry import query, table
 from newsloom.functions import text as X
 from newsloom.functions import urls as U
+from newsloom.session import widen
 
 WORD_SQL = "list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\\p{L}\\p{N}_\\s]', '', 'g'), '\\s+'), lambda x: x <> '')"
 
@@ -54,7 +55,7 @@ def _canonical(spark, d):
     FROM e""",
 )
 def _sanitize(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", X.sanitize(F.col("text"), 500).alias("s"))
+    docs = widen(table(spark, d, "documents")).select("doc_id", X.sanitize(F.col("text"), 500).alias("s"))
     return docs.select("doc_id", F.md5("s").alias("digest"), F.length("s").cast("bigint").alias("chars"))
 
 
@@ -64,7 +65,7 @@ def _sanitize(spark, d):
     SELECT doc_id, CASE WHEN length(s) > 400 THEN substr(s, 1, 397) || '...' ELSE s END AS summary FROM t""",
 )
 def _clean_summary(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.clean_summary(F.col("text")).alias("summary"))
+    return widen(table(spark, d, "documents")).select("doc_id", X.clean_summary(F.col("text")).alias("summary"))
 
 
 @query(
@@ -101,7 +102,7 @@ def _sentence(spark, d):
     FROM w""",
 )
 def _grams(spark, d):
-    docs = table(spark, d, "documents")
+    docs = widen(table(spark, d, "documents"))
     return docs.select(
         "doc_id",
         F.size(X.gram_words(F.col("text"))).cast("bigint").alias("words"),
@@ -114,7 +115,7 @@ def _grams(spark, d):
     r"SELECT doc_id, length(trim(text, ' ' || chr(10) || chr(9) || chr(13))) >= 40 AS useful FROM documents",
 )
 def _useful(spark, d):
-    return table(spark, d, "documents").select(
+    return widen(table(spark, d, "documents")).select(
         "doc_id", X.has_useful_summary(F.col("text"), F.lit("")).alias("useful")
     )
 
@@ -132,13 +133,13 @@ def _press(spark, d):
 @query("html_allow_list")
 def _allow(spark, d):
     out = X.keep_allowed_tags(F.col("html"))
-    return table(spark, d, "pages").select("page_id", F.md5(out).alias("digest"), F.length(out).alias("chars"))
+    return widen(table(spark, d, "pages")).select("page_id", F.md5(out).alias("digest"), F.length(out).alias("chars"))
 
 
 @query("html_text")
 def _html_text(spark, d):
     out = X.clean_body(F.col("html"))
-    return table(spark, d, "pages").select("page_id", F.md5(out).alias("digest"), F.length(out).alias("chars"))
+    return widen(table(spark, d, "pages")).select("page_id", F.md5(out).alias("digest"), F.length(out).alias("chars"))
 
 
 @query(
@@ -149,7 +150,7 @@ def _html_text(spark, d):
       ELSE 'extraction_failed' END AS status FROM t""",
 )
 def _paywall(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.paywall_status(F.col("text")).alias("status"))
+    return widen(table(spark, d, "documents")).select("doc_id", X.paywall_status(F.col("text")).alias("status"))
 
 
 @query(

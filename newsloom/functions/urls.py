@@ -12,6 +12,7 @@ TRACKING_PREFIX = "utm_"
 TRACKING_KEYS = ["fbclid", "gclid", "igshid", "mc_cid", "mc_eid"]
 
 _AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
+_HOST = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[Ww]{3}\.)?([^/?#:]*)"
 _PATH = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)"
 _QUERY = r"^[^?#]*\?([^#]*)"
 
@@ -31,8 +32,7 @@ def scheme(url: Column) -> Column:
 
 def registered_domain(url: Column) -> Column:
     """Outlet key of a link: authority without port and leading www, lower case."""
-    host = F.substring_index(netloc(py_strip(url)), ":", 1)
-    return F.lower(F.regexp_replace(host, r"(?i)^www\.", ""))
+    return F.lower(F.regexp_extract(py_strip(url), _HOST, 1))
 
 
 def _form_quote(raw: Column) -> Column:

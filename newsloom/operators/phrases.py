@@ -35,17 +35,20 @@ def gram_rows(texts: DataFrame, key: Sequence[str], window: int = 10) -> DataFra
 
 def _spelled(
     texts: DataFrame,
-    hashes: DataFrame,
     common: DataFrame,
+    counts: DataFrame,
     key: Sequence[str],
     run: Sequence[str],
     window: int,
     hot_rows: int,
 ) -> DataFrame:
-    """The words of the windows whose hash is common, from texts that have one."""
+    """The words of the windows whose hash is common, from texts that have one.
+
+    ``common`` is a written table, so where it is small Spark broadcasts it and
+    the hashes of the bulk of the text are not shuffled again.
+    """
     h = [*run, "gram_hash"]
-    counts = key_counts(hashes, h)
-    hits = hot_join(hashes, common, h, "left_semi", counts, hot_rows)
+    hits = hot_join(hash_rows(texts, key, window), common, h, "left_semi", counts, hot_rows)
     owners = hits.select(*key).distinct()
     rows = gram_rows(texts.join(owners, list(key), "left_semi"), key, window)
     return hot_join(rows, common, h, "left_semi", counts, hot_rows).drop("gram_hash")
@@ -63,12 +66,17 @@ def shared_grams(
 
     ``key`` identifies a text in a run on both sides.
     """
-    k = [*run, *key]
-    a, b = hash_rows(left, k, window), hash_rows(right, k, window)
-    h = [*run, "gram_hash"]
-    common = key_counts(a, h).select(*h).join(key_counts(b, h).select(*h), h, "inner")
-    words = _spelled(right, b, common, k, run, window, hot_rows).select(*run, "gram").distinct()
-    candidates = _spelled(left, a, common, k, run, window, hot_rows)
+    k, h = [*run, *key], [*run, "gram_hash"]
+    a = hash_rows(left, k, window).select(*h, F.lit(1).alias("_l"), F.lit(0).alias("_r"))
+    b = hash_rows(right, k, window).select(*h, F.lit(0).alias("_l"), F.lit(1).alias("_r"))
+    # Both sides in one aggregation: a window is common when both have it.
+    sides = a.unionByName(b).groupBy(*h).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+    common = cut(sides.where((F.col("_l") > 0) & (F.col("_r") > 0)))
+    ours = common.select(*h, F.col("_l").alias("rows"))
+    theirs = common.select(*h, F.col("_r").alias("rows"))
+    keys = common.select(*h)
+    words = _spelled(right, keys, theirs, k, run, window, hot_rows).select(*run, "gram").distinct()
+    candidates = _spelled(left, keys, ours, k, run, window, hot_rows)
     on = [*run, "gram"]
     return hot_join(candidates, words, on, "left_semi", key_counts(candidates, on), hot_rows)
 
@@ -109,11 +117,12 @@ def cross_section_phrases(
     Groups are folded by partial aggregation; no pairs are enumerated.
     """
     k = [*run, "section", "pos"]
-    grams = hash_rows(texts, k, window)
     h = [*run, "gram_hash"]
-    sections = grams.select(*h, "section").distinct().groupBy(*h).agg(F.count(F.lit(1)).alias("_s"))
-    common = sections.where(F.col("_s") > 1).select(*h)
-    survivors = _spelled(texts, grams, common, k, run, window, hot_rows)
+    spread = hash_rows(texts, k, window).groupBy(*h).agg(
+        F.min("section").alias("_a"), F.max("section").alias("_b"), F.count(F.lit(1)).alias("rows")
+    )
+    common = cut(spread.where(F.col("_a") != F.col("_b")).select(*h, "rows"))
+    survivors = _spelled(texts, common.select(*h), common, k, run, window, hot_rows)
     g = [*run, "gram"]
     per_section = survivors.groupBy(*g, "section").agg(F.min("pos").alias("pos"))
     # One row per section is left, so a phrase gathers no more than sections.
