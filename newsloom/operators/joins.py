@@ -80,18 +80,25 @@ def link_urls(items: DataFrame, links: str = "links", key: str = "run_date") ->
     return urls.where(F.coalesce(F.col("url"), F.lit("")) != "").distinct()
 
 
+def known_index(known: DataFrame, key: str = "run_date") -> DataFrame:
+    """Known URLs with their comparison form; write it once for several checks."""
+    return known.select(key, "url").distinct().withColumn("canonical", canonical_url(F.col("url")))
+
+
 def mark_known(links: DataFrame, known: DataFrame, key: str = "run_date", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add ``known``: blank, or equal to a known URL exactly or canonically.
 
     Distinct link URLs are checked, so a URL linked from very many items is
-    looked up once; the verdict then returns to the links.
+    looked up once; the verdict then returns to the links. ``known`` is a table
+    of URLs or its ``known_index``.
     """
     given = links.where(F.coalesce(F.col("url"), F.lit("")) != "")
     asked = key_counts(given, [key, "url"])
     spelled = asked.select(key, "url", canonical_url(F.col("url")).alias("_canonical"))
-    exact = known.select(key, "url").distinct().withColumn("_exact", F.lit(True))
+    index = known if "canonical" in known.columns else known_index(known, key)
+    exact = index.select(key, "url").withColumn("_exact", F.lit(True))
     canon = (
-        known.select(key, canonical_url(F.col("url")).alias("_canonical"))
+        index.select(key, F.col("canonical").alias("_canonical"))
         .where(F.col("_canonical") != "")
         .distinct()
         .withColumn("_same", F.lit(True))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import display_text, py_strip, strip_markup_pairs, truncate_sentence
-from newsloom.operators.joins import HOT_ROWS, best_annotation, join_selection
+from newsloom.operators.joins import HOT_ROWS, best_annotation, join_selection, known_index
 from newsloom.operators.links import (
     domains_bridged,
     link_domains,
@@ -82,6 +82,7 @@ def build_edition(
     links), labels are recomputed before overlap lowers them, and the cap
     comes last.
     """
+    known = cut(known_index(known))
     joined = prune_links(join_selection(selections, desk_items), known, hot_rows=hot_rows)
     joined = cut(joined)
     added = primary_coverage(joined, desk_items)

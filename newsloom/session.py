@@ -40,6 +40,8 @@ def local_session(name: str = "newsloom", cores: str = "*", memory: str = "16g")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Group keys are mostly distinct here; the extra first-level map only costs.
+        .config("spark.sql.codegen.aggregate.map.twolevel.enabled", "false")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
