@@ -47,16 +47,20 @@ def forecast_periods(docs: DataFrame) -> DataFrame:
 def daily_forecast(docs: DataFrame, days: int = 7) -> DataFrame:
     """Days of a parallel-array forecast, as many as the shortest array has."""
     d = F.from_json("payload", DAILY_DDL)["daily"]
-    n = F.greatest(
-        F.lit(0),
-        F.least(F.lit(days), F.size(d["time"]), F.size(d["temperature_2m_max"]), F.size(d["temperature_2m_min"])),
-    )
+
+    def given(name: str, kind: str) -> Column:
+        # An absent array counts as an empty one.
+        return F.coalesce(d[name], F.array().cast(f"array<{kind}>"))
+
+    times, highs = given("time", "string"), given("temperature_2m_max", "double")
+    lows = given("temperature_2m_min", "double")
+    n = F.least(F.lit(days), F.size(times), F.size(highs), F.size(lows))
     zipped = F.arrays_zip(
-        d["time"].alias("t"),
-        d["temperature_2m_max"].alias("hi"),
-        d["temperature_2m_min"].alias("lo"),
-        d["precipitation_probability_max"].alias("pc"),
-        d["weather_code"].alias("code"),
+        times.alias("t"),
+        highs.alias("hi"),
+        lows.alias("lo"),
+        given("precipitation_probability_max", "int").alias("pc"),
+        given("weather_code", "int").alias("code"),
     )
     rows = docs.select("run_date", F.posexplode(F.slice(zipped, F.lit(1), n)).alias("pos", "x"))
     x = F.col("x")

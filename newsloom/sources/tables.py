@@ -11,22 +11,21 @@ def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}")
 
 
-def read_landed_json(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """(good rows, issue rows) of landed JSON; a broken document loads as nothing."""
+def read_landed_json(
+    spark: SparkSession, path: str, schema: T.StructType, whole_files: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """(good rows, issue rows) of landed JSON; a broken document loads as nothing.
+
+    One document per line, or one per file.
+    """
     wide = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    raw = (
-        spark.read.schema(wide)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .json(path)
-        .withColumn("_file", F.input_file_name())
-    )
-    good = raw.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record", "_file")
-    bad = raw.where(F.col("_corrupt_record").isNotNull()).select(
-        F.col("_file").alias("path"),
-        F.lit("corrupt_json").alias("kind"),
-        F.col("_corrupt_record").alias("detail"),
+    lines = spark.read.text(path, wholetext=whole_files).select("value", F.input_file_name().alias("path"))
+    parsed = lines.where(F.trim("value") != "").withColumn(
+        "_doc", F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     )
+    broken = F.col("_doc._corrupt_record").isNotNull()
+    good = parsed.where(~broken).select(*[F.col(f"_doc.{f.name}").alias(f.name) for f in schema.fields])
+    bad = parsed.where(broken).select("path", F.lit("corrupt_json").alias("kind"), F.col("value").alias("detail"))
     return good, bad
 
 
