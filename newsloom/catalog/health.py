@@ -188,7 +188,14 @@ def flagship(spark, d):
     return report.withColumn("observations", F.array_join("observations", "; "))
 
 
-@query("health_report")
+@query(
+    "health_report",
+    HEALTH_SQL
+    + """SELECT name, '| ' || name || ' | ' || health || ' | ' || computed_health || ' | ' || CASE WHEN health = computed_health THEN 'unchanged' WHEN b.sev > a.sev THEN 'worse'
+         WHEN b.sev < a.sev THEN 'better' ELSE 'changed' END || ' | ' || items || ' | ' || median_chars || ' | ' || coalesce(CAST(last_nonempty_date AS VARCHAR), 'never') || ' | ' ||
+         CASE WHEN concat_ws('; ', o1, o2, o3, o4) = '' THEN '—' ELSE concat_ws('; ', o1, o2, o3, o4) END || ' |' AS line
+    FROM c JOIN rank a ON health = a.label JOIN rank b ON computed_health = b.label""",
+)
 def _health_lines(spark, d):
     report = source_health(feeds(spark, d), items(spark, d), records(spark, d), "2024-01-14", 10)
     return health_lines(report)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from newsloom.catalog.carriers import ITEMS_SQL, items, month_runs
 from newsloom.catalog.registry import query, table
+from newsloom.catalog.texts import CANONICAL_SQL
 from newsloom.functions.text import has_useful_summary
 from newsloom.operators import ranking as R
 
@@ -26,7 +27,7 @@ def _dedup(spark, d):
 
 @query(
     "dedup_by_canonical_url",
-    None,
+    f"""WITH {CANONICAL_SQL} SELECT DATE '2024-01-01' AS run_date, min(page_id) AS pos, canonical AS url FROM canon GROUP BY canonical""",
 )
 def _dedup_url(spark, d):
     from newsloom.functions.urls import canonical_url

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from newsloom.catalog.registry import query, table
 from newsloom.functions import bands as B
@@ -340,3 +341,52 @@ def _price(spark, d):
     text = B.price_text(F.col("value") * 40, F.when(F.col("user_id") % 3 == 0, "^I").otherwise("A"))
     kind = F.when(text.startswith("$"), "plain").when(F.contains(text, F.lit(".")), "index").otherwise("big")
     return e.select("event_id", kind.alias("kind"))
+
+
+def _units(spark, d):
+    """Orders of a customer as the units of a week."""
+    o = table(spark, d, "orders")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    return o.select(
+        F.col("o_custkey").alias("week_start"),
+        (F.row_number().over(w) - 1).alias("pos"),
+        F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.col("o_orderstatus")).alias("id"),
+        F.when(F.col("o_orderkey") % 2 == 0, "Key_Scripture").otherwise("odd").alias("kind"),
+        F.col("o_orderpriority").alias("title"),
+        F.when(F.col("o_orderkey") % 5 == 0, F.lit("A")).otherwise("").alias("anchor_ref"),
+        F.array(F.lit(" B "), F.lit("")).alias("source_refs"),
+        *[F.lit("").alias(c) for c in ("core_claim", "supporting_excerpt", "enhancement", "application", "prompt_hint")],
+    )
+
+
+UNITS_SQL = """
+u AS (SELECT o_custkey AS week_start, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderstatus END AS g FROM orders),
+g AS (SELECT *, CASE WHEN g = '' THEN 'focus-' || (pos + 1) ELSE g END AS i FROM u),
+n AS (SELECT *, CASE WHEN pos = min(pos) OVER (PARTITION BY week_start, i) THEN i ELSE 'focus-' || (pos + 1) END AS id FROM g)
+"""
+
+
+@query(
+    "weekly_units",
+    f"""WITH {UNITS_SQL} SELECT week_start, CAST(pos AS INTEGER) AS pos, id, CASE WHEN k % 2 = 0 THEN 'key_scripture' ELSE 'narrative_unit' END AS kind,
+      CASE WHEN k % 5 = 0 THEN 'A' ELSE 'B' END AS anchor_ref, CASE WHEN k % 5 = 0 THEN 'A,B' ELSE 'B' END AS refs FROM n""",
+)
+def _weekly(spark, d):
+    out = K.normalize_units(_units(spark, d))
+    return out.select("week_start", "pos", "id", "kind", "anchor_ref", F.array_join("source_refs", ",").alias("refs"))
+
+
+@query(
+    "unit_of_day",
+    f"""WITH {UNITS_SQL}, s AS (SELECT week_start, id, pos AS day FROM n WHERE pos < 6),
+    d AS (SELECT DISTINCT o_custkey AS week_start, CAST(o_orderdate AS DATE) AS date, CASE WHEN dayofweek(o_orderdate) = 0 THEN 0 ELSE dayofweek(o_orderdate) - 1 END AS today FROM orders)
+    SELECT date, d.week_start, arg_min(id, (day - today + 6) % 6) AS unit_id FROM d JOIN s ON d.week_start = s.week_start GROUP BY date, d.week_start""",
+)
+def _unit_of_day(spark, d):
+    units = K.normalize_units(_units(spark, d))
+    empty = units.select("week_start", F.lit("monday").alias("day"), F.lit("none").alias("unit_id")).where("false")
+    sequence = K.proposed_sequence(units, empty)
+    dates = table(spark, d, "orders").select(
+        F.to_date("o_orderdate").alias("date"), F.col("o_custkey").alias("week_start")
+    ).distinct()
+    return K.unit_of_day(units, sequence, dates)

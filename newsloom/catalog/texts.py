@@ -130,7 +130,12 @@ def _press(spark, d):
     return pages.where(~X.is_press_release(F.col("url"), F.col("html"))).select("page_id", "url")
 
 
-@query("html_allow_list")
+@query(
+    "html_allow_list",
+    r"""WITH k AS (SELECT page_id, regexp_replace(html, '<(/?)((?i:p|em|strong|a|ul|li|ol|br)\b[^>]*)>', chr(1) || '\1\2' || chr(2), 'g') AS t FROM pages),
+    o AS (SELECT page_id, replace(replace(regexp_replace(t, '</?\w+[^>]*>', '', 'g'), chr(1), '<'), chr(2), '>') AS t FROM k)
+    SELECT page_id, md5(t) AS digest, CAST(length(t) AS INTEGER) AS chars FROM o""",
+)
 def _allow(spark, d):
     out = X.keep_allowed_tags(F.col("html"))
     return widen(table(spark, d, "pages")).select("page_id", F.md5(out).alias("digest"), F.length(out).alias("chars"))

@@ -24,13 +24,43 @@ def _anchors(spark, d):
     return pages.select("page_id", F.size(H.anchors(F.col("html"))).cast("bigint").alias("anchors"))
 
 
+@query(
+    "index_links",
+    r"""WITH a AS (SELECT doc_id, trim(regexp_replace(substr(text, 1, 60), '\s+', ' ', 'g')) AS title FROM documents),
+    f AS (SELECT * FROM a WHERE length(title) BETWEEN 18 AND 180 AND len(string_split(title, ' ')) >= 3 AND NOT contains(lower(title), 'subscribe')
+      AND NOT contains(lower(title), 'sign in') AND NOT contains(lower(title), 'log in') AND doc_id % 4 <> 3)
+    SELECT source AS page_id, 'https://' || source || '.org/' || CASE f.doc_id % 4 WHEN 0 THEN 'n/' WHEN 1 THEN 'list/' ELSE 'up/' END || f.doc_id AS url, title
+    FROM f JOIN documents d ON f.doc_id = d.doc_id""",
+)
+def _index(spark, d):
+    k = F.col("doc_id") % 4
+    i = F.col("doc_id").cast("string")
+    href = (
+        F.when(k == 0, F.concat(F.lit("/n/"), i))
+        .when(k == 1, i)
+        .when(k == 2, F.concat(F.lit("../up/"), i))
+        .otherwise(F.concat(F.lit("/tag/"), i))
+    )
+    shown = F.replace(F.replace(F.substring("text", 1, 60), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    link = F.concat(F.lit('<li><a class="x" href="'), href, F.lit('">'), shown, F.lit("</a></li>"))
+    docs = table(spark, d, "documents").select("source", "doc_id", link.alias("a"))
+    pages = docs.groupBy(F.col("source").alias("page_id")).agg(F.array_join(F.collect_list("a"), "").alias("html"))
+    pages = pages.withColumn("url", F.concat(F.lit("https://"), F.col("page_id"), F.lit(".org/list/")))
+    return H.article_links(pages).drop("pos")
+
+
 @query("page_bodies")
 def _bodies(spark, d):
     out = H.extract_bodies(table(spark, d, "pages"))
     return out.select("page_id", "status", "raw_length", F.md5("text").alias("digest"))
 
 
-@query("repository_cards")
+@query(
+    "repository_cards",
+    """WITH c AS (SELECT p_brand, p_partkey, p_name, p_type, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY CAST(p_partkey AS VARCHAR) || '">') AS rn FROM part)
+    SELECT p_brand AS page_id, CAST(rn - 1 AS INTEGER) AS pos, 'o/' || replace(p_name, ' ', '') AS name, 'https://github.com/o/p' || p_partkey AS url, p_type AS description,
+      'SQL' AS language, p_size || ' stars today' AS stars_today FROM c WHERE rn <= 10""",
+)
 def _cards(spark, d):
     card = F.concat(
         F.lit('<article class="Box-row"><h2><a href="/o/p'), F.col("p_partkey").cast("string"), F.lit('"> o / '), F.col("p_name"),
