@@ -43,10 +43,12 @@ def _index(spark, d):
     )
     shown = F.replace(F.replace(F.substring("text", 1, 60), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     link = F.concat(F.lit('<li><a class="x" href="'), href, F.lit('">'), shown, F.lit("</a></li>"))
-    docs = table(spark, d, "documents").select("source", "doc_id", link.alias("a"))
-    pages = docs.groupBy(F.col("source").alias("page_id")).agg(F.array_join(F.collect_list("a"), "").alias("html"))
+    docs = table(spark, d, "documents").select("source", F.floor(F.col("doc_id") / 1000).alias("n"), link.alias("a"))
+    # An index page shows a thousand neighbouring documents at most.
+    pages = docs.groupBy(F.col("source").alias("page_id"), "n").agg(F.array_join(F.collect_list("a"), "").alias("html"))
     pages = pages.withColumn("url", F.concat(F.lit("https://"), F.col("page_id"), F.lit(".org/list/")))
-    return H.article_links(pages).drop("pos")
+    keyed = pages.withColumn("page", F.struct("page_id", "n"))
+    return H.article_links(keyed, key="page").select("page.page_id", "url", "title")
 
 
 @query("page_bodies")
@@ -72,9 +74,14 @@ def _cards(spark, d):
 
 
 def feed_documents(spark, d):
-    """Documents as landed feed files: one per source and run."""
+    """Documents as landed feed files: one per source and run.
+
+    Every 100,000 documents open 14 further runs, which bounds a file.
+    """
     docs = table(spark, d, "documents").select(
-        "doc_id", "source", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 14).cast("int")).alias("run_date"), "text"
+        "doc_id", "source", F.date_add(
+            F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 14 + F.floor(F.col("doc_id") / 100_000) * 14).cast("int")
+        ).alias("run_date"), "text"
     )
     when = F.when(F.col("doc_id") % 5 == 0, "").otherwise(
         F.date_format(
@@ -96,7 +103,7 @@ def feed_documents(spark, d):
 
 @query(
     "feed_items",
-    """WITH d AS (SELECT *, DATE '2024-01-01' + CAST(doc_id % 14 AS INTEGER) AS run_date, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id % 60 END AS age FROM documents),
+    """WITH d AS (SELECT *, DATE '2024-01-01' + CAST(doc_id % 14 + 14 * (doc_id // 100000) AS INTEGER) AS run_date, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id % 60 END AS age FROM documents),
     f AS (SELECT *, row_number() OVER (PARTITION BY run_date, source ORDER BY doc_id) AS rn FROM d
       WHERE age IS NULL OR CAST(run_date AS TIMESTAMP) - to_hours(CAST(age AS INTEGER)) >= TIMESTAMP '2024-01-09 12:00:00' - INTERVAL 36 HOUR)
     SELECT run_date, source, 'Doc ' || doc_id AS title, 'http://d/' || doc_id AS url FROM f WHERE rn <= CASE source WHEN 'src1' THEN 1 ELSE 2 END""",
