@@ -7,14 +7,13 @@ grows with the table; a run may have several.
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from newsloom.catalog.registry import query, table
 from newsloom.functions import bands as B
 from newsloom.functions import dates as T
 from newsloom.operators import metrics as M
 from newsloom.operators import weather as W
-from newsloom.operators.ranking import top_per_group
+from newsloom.operators.ranking import position_in_group, top_per_group
 from newsloom.plans import week as K
 from newsloom.sources import api as A
 
@@ -283,7 +282,7 @@ def _stories(spark, d):
     """WITH l AS (SELECT o_custkey || '-' || (o_orderkey // 100000) AS run_date, o_orderkey, o_orderdate, CASE WHEN o_orderstatus = 'F' THEN 'military' ELSE 'unknown' END AS mission_type,
        row_number() OVER (PARTITION BY o_custkey, o_orderkey // 100000 ORDER BY o_orderkey) - 1 AS pos FROM orders)
     SELECT run_date, 'L' || o_orderkey AS name, strftime(o_orderdate, '%Y-%m-%d %H:%MZ') AS date, mission_type, 'Pad, Cape' AS launch_site,
-      CAST(row_number() OVER (PARTITION BY run_date ORDER BY CASE WHEN mission_type = 'military' THEN 0 ELSE 1 END, strftime(o_orderdate, '%Y-%m-%d %H:%MZ'), pos) AS INTEGER) AS rank
+      CAST(row_number() OVER (PARTITION BY run_date ORDER BY CASE WHEN mission_type = 'military' THEN 0 ELSE 1 END, strftime(o_orderdate, '%Y-%m-%d %H:%MZ'), pos) AS BIGINT) AS rank
     FROM l WHERE o_orderdate <= TIMESTAMP '1998-01-11 00:00:00'""",
 )
 def _launches(spark, d):
@@ -361,10 +360,10 @@ def _price(spark, d):
 def _units(spark, d):
     """Orders of a customer as the units of a week."""
     o = table(spark, d, "orders")
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    return o.select(
+    placed = position_in_group(o, ["o_custkey"], "o_orderkey")
+    return placed.select(
         F.col("o_custkey").alias("week_start"),
-        (F.row_number().over(w) - 1).alias("pos"),
+        (F.col("rank") - 1).cast("int").alias("pos"),
         F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.col("o_orderstatus")).alias("id"),
         F.when(F.col("o_orderkey") % 2 == 0, "Key_Scripture").otherwise("odd").alias("kind"),
         F.col("o_orderpriority").alias("title"),

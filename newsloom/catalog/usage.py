@@ -97,6 +97,20 @@ def _compression(spark, d):
     return C.score_compression(pairs)
 
 
+@query(
+    "model_ranking",
+    f"""WITH {CALLS_SQL}, s AS (SELECT run_date, model, count(*) AS n, sum(coalesce(tokens_in, 0)) AS i FROM calls GROUP BY ALL)
+    SELECT run_date, model, CAST(n % 3 AS INTEGER) AS quality_score, CAST(row_number() OVER (PARTITION BY run_date ORDER BY n % 3 DESC, i, model) AS BIGINT) AS rank FROM s""",
+)
+def _ranking(spark, d):
+    n = F.count(F.lit(1))
+    per = calls(spark, d).groupBy("run_date", "model").agg(
+        (n % 3).cast("int").alias("quality_score"), F.sum(F.coalesce("tokens_in", F.lit(0))).alias("cost_usd")
+    )
+    out = C.rank_models(per.drop("cost_usd"), per.drop("quality_score"))
+    return out.select("run_date", "model", "quality_score", "rank")
+
+
 @query(
     "framing_flags",
     f"""WITH {CALLS_SQL}, f AS (SELECT run_date, bool_or(regexp_matches(lower(text), 'symbolic|intermediaries|limited impact|evasion')) AS a,

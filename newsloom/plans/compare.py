@@ -150,10 +150,11 @@ SCORERS: dict[str, Callable[..., DataFrame]] = {
 
 def rank_models(scores: DataFrame, costs: DataFrame) -> DataFrame:
     """Models of a run by score, then by cost."""
-    from newsloom.operators.ranking import top_per_group
+    from newsloom.operators.ranking import running
 
     both = scores.join(costs, KEY, "left")
-    return top_per_group(both, ["run_date"], [F.desc("quality_score"), "cost_usd", "model"], 1000, "rank")
+    order = [F.desc("quality_score"), F.col("cost_usd").asc_nulls_last(), "model"]
+    return running(both, ["run_date"], {"_b_score": -F.col("quality_score")}, order, {"rank": F.lit(1)})
 
 
 # Tags and bridges that the structure check knows.

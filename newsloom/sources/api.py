@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.bands import aqi_label, fahrenheit, miles_per_hour, price_text, weather_text
-from newsloom.operators.ranking import top_per_group
+from newsloom.operators.ranking import circuit_breaker, running, top_per_group
 
 PERIODS_DDL = (
     "properties struct<periods: array<struct<startTime: string, isDaytime: boolean, temperature: double,"
@@ -138,7 +138,7 @@ def air_now(docs: DataFrame) -> DataFrame:
     )
 
 
-def valid_quote(price: Column, change: Column) -> Column:
+def valid_quote(price: Column, change: Column) -> tuple[Column, Column]:
     """A price that is neither missing nor zero, with a change (0.0 is one)."""
     return F.coalesce(price, F.lit(0.0)) != 0.0, change.isNotNull()
 
@@ -150,8 +150,6 @@ def quotes(docs: DataFrame, labels: Mapping[str, str], limit: int = 3) -> DataFr
     is a failed call. After ``limit`` failures in a row the rest is not used;
     an answer without a valid quote neither counts nor ends the row.
     """
-    from newsloom.operators.ranking import circuit_breaker
-
     names = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
     q = F.from_json("payload", "c double, dp double")
     rows = docs.where(F.col("symbol").isin(list(labels))).withColumns({"price": q["c"], "change": q["dp"]})
@@ -201,7 +199,9 @@ def launches(docs: DataFrame, now: Column, days: int = 10, first: list[str] | No
         F.coalesce("r.status.name", blank).alias("status"),
     )
     lead = F.when(F.col("mission_type").isin(first or PRIORITY_MISSIONS), 0).otherwise(1)
-    return top_per_group(out.withColumn("_lead", lead), ["run_date"], ["_lead", "date", "pos"], 1000, "rank").drop("_lead")
+    listed = out.withColumn("_lead", lead)
+    buckets = {"_b_lead": F.col("_lead"), "_b_date": F.col("date")}
+    return running(listed, ["run_date"], buckets, ["_lead", "date", "pos"], {"rank": F.lit(1)}).drop("_lead")
 
 
 def stories(ranks: DataFrame, docs: DataFrame, most: int = 15) -> DataFrame:
