@@ -118,7 +118,12 @@ def _feed(spark, d):
 
 @query(
     "collect_diagnostics",
-    None,
+    """WITH d AS (SELECT *, DATE '2024-01-01' + CAST(doc_id % 14 + 14 * (doc_id // 100000) AS INTEGER) AS run_date, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id % 60 END AS age,
+      CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) AS k FROM documents),
+    n AS (SELECT run_date, source, k, least(15, count(*) FILTER (age IS NULL OR CAST(run_date AS TIMESTAMP) - to_hours(CAST(age AS INTEGER)) >= TIMESTAMP '2024-01-09 12:00:00' - INTERVAL 36 HOUR)) AS c
+      FROM d GROUP BY ALL),
+    s AS (SELECT *, CASE WHEN k = 7 THEN 'skipped_broken' WHEN k = 9 THEN 'skipped_cooldown' WHEN k % 4 = 0 THEN 'http_error' WHEN c > 0 THEN 'ok' ELSE 'empty' END AS status FROM n)
+    SELECT status, CAST(count(*) AS BIGINT) AS feeds, CAST(sum(CASE WHEN status = 'ok' THEN c ELSE 0 END) AS BIGINT) AS items FROM s GROUP BY status""",
 )
 def _collect(spark, d):
     docs = feed_documents(spark, d)
