@@ -34,3 +34,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+
+
+@query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsloom.llm.substrings import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+    return out.withColumnRenamed("kept", "kept_sha256")
