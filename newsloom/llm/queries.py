@@ -42,3 +42,13 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = remove_repeats(table(spark, sf_dir, "documents"), digest=True)
     return out.withColumnRenamed("kept", "kept_sha256")
+
+
+@query
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from newsloom.llm.bpe import load_ranks, round_trip
+
+    ranks = load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
