@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -52,3 +53,42 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks = load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+@query
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsloom.llm import secrets as s
+
+    found = s.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    both = F.array_sort(F.concat("base", "added"))
+    kinds = {f"n_{k}": s.count_kind(F.col("base"), i) for i, k in enumerate(s.KINDS[:3])}
+    return found.select(
+        "doc_id",
+        *[c.alias(n) for n, c in kinds.items()],
+        F.sha2(s.spelled(F.col("base")), 256).alias("base_sha256"),
+        s.spelled(both).alias("spans"),
+    )
+
+
+@query
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsloom.llm.mixing import mix
+
+    out = mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+@query
+def op9_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsloom.llm.packing import shard_by_bytes
+
+    out = shard_by_bytes(table(spark, sf_dir, "documents"), 8)
+    return out.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
