@@ -174,10 +174,10 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8) -> DataFrame:
     packs = max(1, min(PACKS, math.ceil(size["n"] / PACK_GROUPS)))
     crate = max(1, math.ceil((size["bytes"] or 0) / (shards * CRATES)))
 
-    def pack(key, table: pa.Table) -> pa.Table:
+    def pack(table: pa.Table) -> pa.Table:
         table = table.sort_by([("bytes", "descending"), ("_group", "ascending"), ("text_crc32", "ascending")])
         bins, _ = best_fit_decreasing(table.column("bytes").to_pylist(), crate)
-        name = [(key[0].as_py() << 32) | b for b in bins]
+        name = [(p << 32) | b for p, b in zip(table.column("pack").to_pylist(), bins, strict=True)]
         return table.select(["_group", "text_crc32", "bytes", "rows"]).append_column("crate", pa.array(name, pa.int64()))
 
     packed = written(
