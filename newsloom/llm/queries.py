@@ -92,3 +92,24 @@ def op9_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsloom.llm.store import fresh
+    from newsloom.llm.warc import read_archives, write_archives
+
+    folder = fresh(spark, "warc")
+    write_archives(table(spark, sf_dir, "pages"), folder)
+    return read_archives(spark, folder).drop("payload", "url")
+
+
+SQL["op1_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+o AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS owner FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> owner THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> owner THEN owner END AS refers_to
+FROM o
+"""
