@@ -135,3 +135,10 @@ r AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+@query
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsloom.llm.jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("_row", "leads")

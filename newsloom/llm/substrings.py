@@ -38,47 +38,60 @@ WIDE = 256
 
 
 class Runs:
-    """Runs of windows with one anchor: document, first window, windows, anchor."""
+    """Runs of windows with one anchor: document, first window, windows, anchor.
+
+    ``places`` is the number of positions at which the anchor stands in a run;
+    with more than one, windows of the run itself can be equal.
+    """
 
     def __init__(self, words: Words, window: int):
         k = min(GRAM, window)
         grams, reach = words.grams(k), window - k + 1
         whole = np.flatnonzero(words.inside(window))
         if not len(whole):
-            self.doc = self.start = self.windows = np.zeros(0, dtype=np.int64)
+            self.doc = self.start = self.windows = self.places = np.zeros(0, dtype=np.int64)
             self.anchor = np.zeros(0, dtype=np.int64)
             return
         least = np.lib.stride_tricks.sliding_window_view(grams, reach)[: len(words.starts) - window + 1]
         at = whole + least.argmin(axis=1)[whole]
-        doc = words.doc[whole]
-        head = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
+        doc, anchor = words.doc[whole], grams[at]
+        moved = np.diff(at, prepend=-1) != 0
+        fresh = np.ones(len(at), dtype=bool)
+        fresh[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
+        head = np.flatnonzero(fresh)
         self.doc = doc[head]
         self.start = whole[head] - words.first[self.doc]
         self.windows = np.diff(np.append(head, len(whole)))
-        self.anchor = grams[at[head]].astype(np.int64)
+        self.places = np.add.reduceat((moved | fresh).astype(np.int64), head)
+        self.anchor = anchor[head].astype(np.int64)
 
 
 class SuffixAutomaton:
-    """Generalised suffix automaton; knows how many texts hold each substring."""
+    """Suffix automaton of several texts with the occurrences of each substring."""
 
     def __init__(self):
         self.next: list[dict] = [{}]
         self.link = [-1]
         self.length = [0]
-        self.texts = [0]
-        self._seen = [-1]
+        self.times = [0]
 
-    def add(self, text: list) -> None:
+    def add(self, text: list, times: int) -> None:
+        """Take in a text that occurs so many times."""
         last = 0
         for c in text:
             last = self._extend(last, c)
+            self.times[last] += times
+
+    def close(self) -> None:
+        """Pass occurrences on to shorter substrings; no text can follow."""
+        for s in sorted(range(1, len(self.next)), key=self.length.__getitem__, reverse=True):
+            self.times[self.link[s]] += self.times[s]
 
     def _state(self, length: int, link: int, moves: dict) -> int:
         self.next.append(moves)
         self.length.append(length)
         self.link.append(link)
-        self.texts.append(0)
-        self._seen.append(-1)
+        self.times.append(0)
         return len(self.next) - 1
 
     def _split(self, p: int, c, q: int) -> int:
@@ -103,19 +116,11 @@ class SuffixAutomaton:
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, c, q)
         return new
 
-    def mark(self, text: list, name: int) -> None:
-        """Count the text once at each state whose substrings it holds."""
-        state = 0
-        for c in text:
-            state = self.next[state][c]
-            s = state
-            while s > 0 and self._seen[s] != name:
-                self._seen[s] = name
-                self.texts[s] += 1
-                s = self.link[s]
-
-    def shared(self, text: list, size: int) -> list[int]:
-        """Starts of the substrings of a size which at least two texts hold."""
+    def repeated(self, text: list, size: int) -> list[int]:
+        """Starts of the substrings of a size that occur at least twice.
+
+        The text is streamed through; its matching statistics are cut to the size.
+        """
         out, state, match = [], 0, 0
         for i, c in enumerate(text):
             while state and c not in self.next[state]:
@@ -126,7 +131,7 @@ class SuffixAutomaton:
             while self.link[state] >= 0 and self.length[self.link[state]] >= size:
                 state = self.link[state]
                 match = self.length[state]
-            if match >= size and self.texts[state] >= 2:
+            if match >= size and self.times[state] >= 2:
                 out.append(i - size + 1)
         return out
 
@@ -147,7 +152,7 @@ def _anchors(window: int):
         for batch in batches:
             for _, _, data, offsets in slices(batch.column("text")):
                 runs = Runs(Words(data, offsets), window)
-                yield pa.RecordBatch.from_arrays([pa.array(runs.anchor)], ["anchor"])
+                yield pa.RecordBatch.from_arrays([pa.array(runs.anchor), pa.array(runs.places)], ["anchor", "places"])
 
     return run
 
@@ -245,19 +250,16 @@ def _match(window: int):
     def verdicts(group: list[tuple[bytes, int, bytes]]) -> Iterator[tuple[bytes, list[int]]]:
         texts = [words.split(b" ") for _, _, words in group]
         automaton = None
-        if len(group) > 1:
+        if any(n == 1 for _, n, _ in group):
             automaton = SuffixAutomaton()
-            for t in texts:
-                automaton.add(t)
-            for i, t in enumerate(texts):
-                automaton.mark(t, i)
+            for (_, n, _), t in zip(group, texts, strict=True):
+                automaton.add(t, n)
+            automaton.close()
         for (key, n, _), t in zip(group, texts, strict=True):
-            if n > 1:
-                yield key, [0, len(t) - window + 1]
-            elif automaton is not None:
-                starts = automaton.shared(t, window)
-                if starts:
-                    yield key, _spans(starts)
+            # All windows of a run that occurs twice do so too.
+            starts = list(range(len(t) - window + 1)) if n > 1 else automaton.repeated(t, window)
+            if starts:
+                yield key, _spans(starts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group, out = None, [], []
@@ -322,7 +324,8 @@ def repeated_windows(runs: DataFrame, window: int) -> DataFrame:
         runs.join(wide, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor", "run")
     )
     matched = narrow.mapInArrow(_match(window), "anchor long, run binary, spans array<int>")
-    single = runs.join(wide, "anchor", "left_semi").mapInArrow(
+    # Dealt by run, so that the many runs of one anchor spread over the tasks.
+    single = runs.join(wide, "anchor", "left_semi").repartition("run").mapInArrow(
         _windows(window), "anchor long, run binary, n long, at int, window binary"
     )
     often = single.groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select("window")
@@ -342,7 +345,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False)
     """
     rows = keyed(docs.select(F.col("doc_id").cast("long"), "text"))
     often = (
-        rows.select("text").mapInArrow(_anchors(window), "anchor long").groupBy("anchor").count().where("count > 1").select("anchor")
+        rows.select("text")
+        .mapInArrow(_anchors(window), "anchor long, places long")
+        .groupBy("anchor")
+        .agg(F.sum("places").alias("places"))
+        .where("places > 1")
+        .select("anchor")
     )
     starts = (
         rows.mapInArrow(_places(window), "anchor long, doc_id long, _row long, start int")

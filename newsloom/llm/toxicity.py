@@ -313,6 +313,21 @@ def tag(docs: DataFrame, model: Model) -> DataFrame:
     )
 
 
+def reject(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with all columns."""
+    if model.chain is None:
+        return docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in slices(batch.column("text")):
+                t = Tokens(data, offsets)
+                p = model.marginals(model.values(t.hashes), t.begins())
+                yield batch.slice(a, b - a).filter(pa.array(model.score(p, t.first) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold() -> Column:
     """Whether a document is held out of all learning."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
