@@ -2,10 +2,12 @@
 
 Texts are split into pieces by the tokenizer's pattern. A block of documents
 keeps its sequence of pieces as packed positions into the list of its distinct
-pieces; only that list is shuffled, by piece, so that each distinct piece of the
-corpus is encoded once, in one task, whatever its number of occurrences. The ids
-return to the blocks packed, and the documents are put together by position.
-Decoding looks ids up in the token-byte table, which the vocabulary bounds.
+pieces. Only that list is shuffled: its pieces travel with their positions to
+the part of the corpus vocabulary that their hash names, packed per block and
+part, so a piece is one entry per block however often it occurs. Each part
+encodes its distinct pieces once; the ids return to the blocks packed, and the
+documents are put together by position. Decoding looks ids up in the token-byte
+table, which the vocabulary bounds.
 
 Null texts count as empty and have no ids. Repeated rows give repeated results.
 """
@@ -16,6 +18,7 @@ import base64
 import hashlib
 import heapq
 import secrets
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +30,10 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.store import written
 
-# Bytes of text whose documents form a block.
-BLOCK_BYTES = 8 << 20
-# Pieces that an encoding task packs at a time.
-PACK = 200_000
+# Characters of text whose documents form a block.
+BLOCK_CHARS = 32 << 20
+# Parts of the vocabulary per shuffle partition.
+PARTS = 4
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -79,40 +82,65 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _pack(codes: np.ndarray) -> bytes:
-    """Positions as compressed byte planes."""
-    planes = np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.compress(planes.tobytes(), 3)
+def _planes(values: np.ndarray) -> bytes:
+    """Whole numbers below 2^32 as byte planes, which compress well."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
-def _unpack(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(packed), dtype=np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+def _numbers(data: memoryview, n: int) -> tuple[np.ndarray, memoryview]:
+    """The first n numbers, and the bytes after them."""
+    planes = np.frombuffer(data[: 4 * n], dtype=np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64), data[4 * n :]
 
 
-_BLOCKS = "block long, pieces array<binary>, doc_ids array<long>, sizes array<int>, codes binary"
+def _pack(*columns: np.ndarray, tail: bytes = b"") -> bytes:
+    """Columns of numbers, each after its length, and further bytes, compressed."""
+    parts = [x for c in columns for x in (_planes(np.array([len(c)])), _planes(c))]
+    return zstandard.compress(b"".join([*parts, tail]), 3)
 
 
-def _blocks(pattern: str):
+def _unpack(packed: bytes, columns: int) -> tuple[list[np.ndarray], memoryview]:
+    rest = memoryview(zstandard.decompress(packed))
+    out = []
+    for _ in range(columns):
+        n, rest = _numbers(rest, 1)
+        values, rest = _numbers(rest, int(n[0]))
+        out.append(values)
+    return out, rest
+
+
+_BLOCKS = "block long, n_pieces int, parts array<binary>, doc_ids array<long>, sizes array<int>, codes binary"
+
+
+def _blocks(pattern: str, parts: int):
     """Group documents into blocks of distinct pieces and packed positions."""
 
     def row(vocabulary: dict[str, int], ids: list, sizes: list[int], codes: list[np.ndarray]) -> pa.RecordBatch:
-        flat = np.concatenate(codes) if codes else np.zeros(0, dtype=np.uint32)
+        flat = np.concatenate(codes)
         # Frequent pieces get small positions, which pack better.
         order = np.argsort(-np.bincount(flat, minlength=len(vocabulary)), kind="stable")
         place = np.empty(len(order), dtype=np.uint32)
         place[order] = np.arange(len(order))
         names = list(vocabulary)
+        pieces = [names[i].encode() for i in order.tolist()]
+        home = np.array([zlib.crc32(x) % parts for x in pieces], dtype=np.int64)
+        at = np.argsort(home, kind="stable")
+        sent = []
+        for places in np.split(at, np.searchsorted(home[at], np.arange(1, parts))):
+            mine = [pieces[i] for i in places.tolist()]
+            # Positions rise, so their differences are small.
+            sent.append(_pack(np.diff(places, prepend=0), np.array([len(x) for x in mine]), tail=b"".join(mine)) if mine else None)
         return pa.RecordBatch.from_arrays(
             [
                 # The name is fixed once the table of blocks has been written.
                 pa.array([secrets.randbits(63)], pa.int64()),
-                pa.array([[names[i].encode() for i in order.tolist()]], pa.list_(pa.binary())),
+                pa.array([len(pieces)], pa.int32()),
+                pa.array([sent], pa.list_(pa.binary())),
                 pa.array([ids], pa.list_(pa.int64())),
                 pa.array([sizes], pa.list_(pa.int32())),
                 pa.array([_pack(place[flat])], pa.binary()),
             ],
-            ["block", "pieces", "doc_ids", "sizes", "codes"],
+            ["block", "n_pieces", "parts", "doc_ids", "sizes", "codes"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +156,7 @@ def _blocks(pattern: str):
                 sizes.append(len(found))
                 codes.append(np.array(found, dtype=np.uint32))
                 held += len(text) + 64
-                if held >= BLOCK_BYTES:
+                if held >= BLOCK_CHARS:
                     yield row(vocabulary, ids, sizes, codes)
                     vocabulary, ids, sizes, codes, held = {}, [], [], [], 0
         if ids:
@@ -138,60 +166,43 @@ def _blocks(pattern: str):
 
 
 def _encode(ranks):
-    """Encode each distinct piece once; rows come sorted by piece."""
-
-    def pack(rows: dict[int, tuple[list[int], list[list[int]]]]) -> pa.RecordBatch:
-        blocks, packed = [], []
-        for block, (at, ids) in rows.items():
-            head = np.array([len(at)], dtype="<u4")
-            sizes = np.array([len(x) for x in ids], dtype="<u4")
-            flat = np.array([i for x in ids for i in x], dtype="<u4")
-            parts = (head, np.array(at, dtype="<u4"), sizes, flat)
-            planes = [np.ascontiguousarray(p.view(np.uint8).reshape(-1, 4).T).tobytes() for p in parts]
-            blocks.append(block)
-            packed.append(zstandard.compress(b"".join(planes), 3))
-        return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(packed, pa.binary())], ["block", "ids"])
+    """Ids of the pieces of each block; rows come sorted by part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ranks.value
-        last, ids, rows, held = None, [], {}, 0
+        now, known = None, {}
         for batch in batches:
-            for block, at, piece in zip(*(batch.column(c).to_pylist() for c in ("block", "at", "piece")), strict=True):
-                if piece != last:
-                    last, ids = piece, encode_piece(piece, table)
-                places, found = rows.setdefault(block, ([], []))
-                places.append(at)
-                found.append(ids)
-                held += 1
-            if held >= PACK:
-                yield pack(rows)
-                rows, held = {}, 0
-        yield pack(rows)
+            packed = []
+            for part, sent in zip(batch.column("part").to_pylist(), batch.column("sent").to_pylist(), strict=True):
+                if part != now:
+                    now, known = part, {}
+                (step, size), data = _unpack(sent, 2)
+                data, ends = bytes(data), np.cumsum(size).tolist()
+                found, start = [], 0
+                for end in ends:
+                    piece, start = data[start:end], end
+                    ids = known.get(piece)
+                    if ids is None:
+                        ids = known[piece] = encode_piece(piece, table)
+                    found.append(ids)
+                packed.append(_pack(step, np.array([len(x) for x in found]), np.array([i for x in found for i in x])))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(packed, pa.binary())], ["block", "ids"])
 
     return run
 
 
-def _column(planes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    part = np.ascontiguousarray(planes[: 4 * n].reshape(4, n).T).view("<u4").ravel() if n else np.zeros(0, dtype="<u4")
-    return part, planes[4 * n :]
-
-
-def _lookup(parts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+def _lookup(packed: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the n pieces of a block, flat, and where each piece's begin."""
     sizes = np.zeros(n + 1, dtype=np.int64)
     held = []
-    for p in parts:
-        rest = np.frombuffer(zstandard.decompress(p), dtype=np.uint8)
-        head, rest = _column(rest, 1)
-        at, rest = _column(rest, int(head[0]))
-        size, rest = _column(rest, int(head[0]))
-        flat, _ = _column(rest, int(size.sum()))
-        sizes[at.astype(np.int64) + 1] = size
+    for p in packed:
+        (step, size, flat), _ = _unpack(p, 3)
+        at = np.cumsum(step)
+        sizes[at + 1] = size
         held.append((at, size, flat))
     begin = np.cumsum(sizes)
     out = np.zeros(int(begin[-1]), dtype=np.int64)
     for at, size, flat in held:
-        size = size.astype(np.int64)
         local = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
         out[np.repeat(begin[at], size) + local] = flat
     return out, begin
@@ -205,8 +216,8 @@ def _assemble(finish, schema_names: list[str], kinds: list[pa.DataType]):
         for batch in batches:
             for i in range(batch.num_rows):
                 doc_ids, sizes, n = (batch.column(c)[i].as_py() for c in ("doc_ids", "sizes", "n_pieces"))
-                flat, begin = _lookup(batch.column("parts")[i].as_py() or [], n)
-                codes = _unpack(batch.column("codes")[i].as_py()).astype(np.int64)
+                flat, begin = _lookup(batch.column("ids")[i].as_py() or [], n)
+                (codes,), _ = _unpack(batch.column("codes")[i].as_py(), 1)
                 lengths = (begin[1:] - begin[:-1])[codes]
                 ends = np.cumsum(sizes)
                 rows, held = [], 0
@@ -228,22 +239,22 @@ def _rows(rows: list, names: list[str], kinds: list[pa.DataType]) -> pa.RecordBa
 
 
 def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """Blocks with the ids of their distinct pieces (column ``parts``)."""
+    """Blocks with the ids of their distinct pieces (column ``ids``)."""
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(ranks)
+    parts = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = written(
-        docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_blocks(pattern), _BLOCKS), "bpe-blocks"
+        docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_blocks(pattern, parts), _BLOCKS), "bpe-blocks"
     )
-    pieces = blocks.select("block", F.posexplode("pieces").alias("at", "piece"))
+    sent = blocks.select("block", F.posexplode("parts").alias("part", "sent")).where(F.col("sent").isNotNull())
     ids = (
-        pieces.repartition("piece")
-        .sortWithinPartitions("piece")
+        sent.repartition("part")
+        .sortWithinPartitions("part")
         .mapInArrow(_encode(table), "block long, ids binary")
         .groupBy("block")
-        .agg(F.collect_list("ids").alias("parts"))
+        .agg(F.collect_list("ids").alias("ids"))
     )
-    slim = blocks.select("block", F.size("pieces").alias("n_pieces"), "doc_ids", "sizes", "codes")
-    return slim.join(ids, "block", "left")
+    return blocks.select("block", "n_pieces", "doc_ids", "sizes", "codes").join(ids, "block", "left")
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
