@@ -4,8 +4,10 @@ Each stage takes (spark, docs, sf_dir) and works on all that the one before kept
 ``run`` writes a stage's rows as Parquet and reads them again as the next one's
 documents. All stages but the last return the columns of documents.
 
-Rows that agree in all columns are told apart by their number only, so of such
-rows any may be the one that stays. Null texts pass as empty ones.
+Columns beside those of documents are not carried along. Of rows that agree in id
+and text one stays where one is to stay. A null text is an empty one: it is not
+toxic, has no near duplicate, secret or word, and so leaves with the mixing, as
+all documents without words do when their source takes no whole copy.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from newsloom.llm import bpe, jaccard, mixing, secrets, toxicity
 from newsloom.llm.store import fresh
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 KEY = ["_id", "_none", "_row"]
 
 
@@ -32,6 +35,7 @@ def _first_of(rows: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the tagger predicts toxic go."""
+    docs = docs.select(*COLUMNS)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.reject(docs, toxicity.fit(docs, labels.where(~toxicity.fold())))
 
@@ -39,27 +43,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the document with the smallest id stays."""
     kept = _keyed(jaccard.near_duplicates(docs).where("leads")).select(*KEY).distinct()
-    rows = _keyed(docs.withColumn("_row", F.xxhash64("doc_id", "text")))
-    return _first_of(rows.join(kept, KEY, "left_semi")).select(*docs.columns)
+    rows = _keyed(docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("_row")))
+    return _first_of(rows.join(kept, KEY, "left_semi")).select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts are replaced by a mark."""
-    found = secrets.scan(docs)
+    found = secrets.scan(docs.select(*COLUMNS))
     marks = F.array_sort(F.concat("base", "added"))
     clean = found.withColumn("text", secrets.redact(F.col("text"), marks))
     return clean.withColumn(
         "n_chars", F.when(F.size(marks) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    ).select(*docs.columns)
+    ).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated or left out so that sources reach their weights."""
-    keyed = docs.withColumn("_row", F.xxhash64(*docs.columns))
+    keyed = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("_row"))
     mixed = mixing.mix(keyed, keep=["_row"]).where("copies > 0")
     copies = _keyed(mixed).groupBy(*KEY).agg(F.sum("copies").alias("_copies"))
     rows = _first_of(_keyed(keyed).join(copies, KEY))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*COLUMNS)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
