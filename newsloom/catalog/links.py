@@ -294,11 +294,15 @@ def _added(spark, d):
 
 @query(
     "tag_labels",
-    """SELECT p_partkey, CASE p_name WHEN 'ai' THEN 'AI' ELSE array_to_string(list_transform(string_split(p_name, ' '),
-      lambda w: upper(w[1:1]) || lower(w[2:])), '-') END AS label FROM part""",
+    r"""WITH t AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN replace(p_name, ' ', '-') WHEN 1 THEN replace(p_name, ' ', '_')
+        WHEN 2 THEN replace(p_name, ' ', '/') ELSE '3d' || replace(p_name, ' ', chr(39)) END AS tag FROM part)
+    SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(tag, '\p{L}+|\P{L}+'),
+      lambda w: upper(w[1:1]) || lower(w[2:])), '') AS label FROM t""",
 )
 def _labels(spark, d):
     from newsloom.operators.tags import tag_label
 
-    tag = F.replace("p_name", F.lit(" "), F.lit("-"))
+    k = F.col("p_partkey") % 4
+    joint = F.when(k == 0, "-").when(k == 1, "_").when(k == 2, "/").otherwise("'")
+    tag = F.concat(F.when(k == 3, "3d").otherwise(""), F.replace("p_name", F.lit(" "), joint))
     return table(spark, d, "part").select("p_partkey", tag_label(tag).alias("label"))

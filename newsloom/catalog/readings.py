@@ -364,7 +364,10 @@ def _units(spark, d):
     return placed.select(
         F.col("o_custkey").alias("week_start"),
         (F.col("rank") - 1).cast("int").alias("pos"),
-        F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.col("o_orderstatus")).alias("id"),
+        F.when(F.col("o_orderkey") % 3 == 0, "")
+        .when(F.col("o_orderkey") % 7 == 0, "focus-3")
+        .otherwise(F.col("o_orderstatus"))
+        .alias("id"),
         F.when(F.col("o_orderkey") % 2 == 0, "Key_Scripture").otherwise("odd").alias("kind"),
         F.col("o_orderpriority").alias("title"),
         F.when(F.col("o_orderkey") % 5 == 0, F.lit("A")).otherwise("").alias("anchor_ref"),
@@ -374,15 +377,18 @@ def _units(spark, d):
 
 
 UNITS_SQL = """
-u AS (SELECT o_custkey AS week_start, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderstatus END AS g FROM orders),
-g AS (SELECT *, CASE WHEN g = '' THEN 'focus-' || (pos + 1) ELSE g END AS i FROM u),
-n AS (SELECT *, CASE WHEN pos = min(pos) OVER (PARTITION BY week_start, i) THEN i ELSE 'focus-' || (pos + 1) END AS id FROM g)
+u AS (SELECT o_custkey AS week_start, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, o_orderkey AS k,
+  CASE WHEN o_orderkey % 3 = 0 THEN '' WHEN o_orderkey % 7 = 0 THEN 'focus-3' ELSE o_orderstatus END AS g FROM orders),
+g AS (SELECT *, 'focus-' || (pos + 1) AS f, CASE WHEN g = '' THEN 'focus-' || (pos + 1) ELSE g END AS i FROM u),
+n AS (SELECT week_start, pos, k, i AS id, [i] AS seen FROM g WHERE pos = 0
+  UNION ALL SELECT g.week_start, g.pos, g.k, CASE WHEN list_contains(seen, i) THEN f ELSE i END,
+    list_append(seen, CASE WHEN list_contains(seen, i) THEN f ELSE i END) FROM n JOIN g ON g.week_start = n.week_start AND g.pos = n.pos + 1)
 """
 
 
 @query(
     "weekly_units",
-    f"""WITH {UNITS_SQL} SELECT week_start, CAST(pos AS INTEGER) AS pos, id, CASE WHEN k % 2 = 0 THEN 'key_scripture' ELSE 'narrative_unit' END AS kind,
+    f"""WITH RECURSIVE {UNITS_SQL} SELECT week_start, CAST(pos AS INTEGER) AS pos, id, CASE WHEN k % 2 = 0 THEN 'key_scripture' ELSE 'narrative_unit' END AS kind,
       CASE WHEN k % 5 = 0 THEN 'A' ELSE 'B' END AS anchor_ref, CASE WHEN k % 5 = 0 THEN 'A,B' ELSE 'B' END AS refs FROM n""",
 )
 def _weekly(spark, d):
@@ -392,7 +398,7 @@ def _weekly(spark, d):
 
 @query(
     "unit_of_day",
-    f"""WITH {UNITS_SQL}, s AS (SELECT week_start, id, pos AS day FROM n WHERE pos < 6),
+    f"""WITH RECURSIVE {UNITS_SQL}, s AS (SELECT week_start, id, pos AS day FROM n WHERE pos < 6),
     d AS (SELECT DISTINCT o_custkey AS week_start, CAST(o_orderdate AS DATE) AS date, CASE WHEN dayofweek(o_orderdate) = 0 THEN 0 ELSE dayofweek(o_orderdate) - 1 END AS today FROM orders)
     SELECT date, d.week_start, arg_min(id, (day - today + 6) % 6) AS unit_id FROM d JOIN s ON d.week_start = s.week_start GROUP BY date, d.week_start""",
 )

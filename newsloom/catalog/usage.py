@@ -30,6 +30,15 @@ calls AS (SELECT conv_id AS run_date, CASE WHEN turn % 3 = 0 THEN 'collect' ELSE
 """
 
 
+# The wording of every framing question, as rows.
+FRAMING_SQL = ", ".join(
+    "('{}', '{}', '{}')".format(q, side, (w.lower() if q in C.LOWERED else w).replace("'", "''"))
+    for q, sides in C.FRAMING.items()
+    for side, words in sides.items()
+    for w in words
+)
+
+
 @query(
     "usage_fold",
     f"""WITH {CALLS_SQL}, m AS (SELECT run_date, stage, model, row_number() OVER (PARTITION BY run_date, stage ORDER BY count(*) DESC, min(pos)) AS rn FROM calls GROUP BY run_date, stage, model),
@@ -113,14 +122,11 @@ def _ranking(spark, d):
 
 @query(
     "framing_flags",
-    f"""WITH {CALLS_SQL}, f AS (SELECT run_date, bool_or(regexp_matches(lower(text), 'symbolic|intermediaries|limited impact|evasion')) AS a,
-      bool_or(regexp_matches(lower(text), 'dawn')) AS b FROM calls GROUP BY run_date)
-    SELECT run_date, 'russia_sanctions_framing' AS question, 'skeptical' AS side, a AS used FROM f
-    UNION ALL SELECT run_date, 'non_western_sources', 'dawn', b FROM f""",
+    f"""WITH {CALLS_SQL}, w(question, side, word) AS (VALUES {FRAMING_SQL})
+    SELECT run_date, question, side, bool_or(contains(lower(text), word)) AS used FROM calls, w GROUP BY ALL""",
 )
 def _framing(spark, d):
-    flags = C.framing_flags(calls(spark, d))
-    return flags.where("(question = 'russia_sanctions_framing' and side = 'skeptical') or side = 'dawn'")
+    return C.framing_flags(calls(spark, d))
 
 
 @query(

@@ -133,12 +133,30 @@ def scale_position(value: Column, low: Column, high: Column) -> Column:
     return F.when(high == low, 50.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), pct)))
 
 
+def fixed(value: Column, digits: int = 1) -> Column:
+    """Number with up to four decimals, rounded from its exact binary value.
+
+    Ties, which only exact halves are, go to the even digit.
+    """
+    unit, size = 2**49, 10**digits
+    x = value.cast("double")
+    whole = F.floor(F.abs(x))
+    scaled = (F.abs(x) - whole) * F.lit(float(unit))
+    part = F.floor(scaled).cast("long") * F.lit(size)
+    low, rest = F.shiftright(part, 49), part.bitwiseAND(F.lit(unit - 1))
+    beyond = (rest > unit // 2) | ((rest == unit // 2) & ((scaled != F.floor(scaled)) | (low % 2 == 1)))
+    total = whole.cast("long") * F.lit(size) + low + beyond.cast("long")
+    sign = F.when(x < 0, "-").otherwise("")
+    tail = F.lpad((total % size).cast("string"), digits, "0")
+    return F.concat(sign, F.floor(total / F.lit(size)).cast("string"), F.lit("."), tail)
+
+
 def price_text(price: Column, symbol: Column) -> Column:
     """Quote as shown: large ones whole, indexes without currency."""
     return (
         F.when(price > 1000, F.format_number(F.bround(price, 0), 0))
-        .when(symbol.startswith("^"), F.format_string("%.2f", price))
-        .otherwise(F.format_string("$%.2f", price))
+        .when(symbol.startswith("^"), fixed(price, 2))
+        .otherwise(F.concat(F.lit("$"), fixed(price, 2)))
     )
 
 

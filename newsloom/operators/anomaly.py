@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from newsloom.functions.bands import fixed
 from newsloom.functions.text import any_contains
 from newsloom.functions.urls import netloc
 from newsloom.operators.joins import HOT_ROWS
@@ -197,18 +198,18 @@ def length_drift(
 
 def drift_detail(count: str = "items") -> Column:
     more = F.format_string(
-        "Today's digest has %d items — %.1fx the %d-day average (%.1f)",
+        "Today's digest has %d items — %sx the %d-day average (%s)",
         F.col(count),
-        F.col("ratio"),
+        fixed(F.col("ratio")),
         F.col("window_runs"),
-        F.col("window_mean"),
+        fixed(F.col("window_mean")),
     )
     less = F.format_string(
-        "Today's digest has %d items — only %.1f%% of the %d-day average (%.1f)",
+        "Today's digest has %d items — only %s%% of the %d-day average (%s)",
         F.col(count),
-        F.col("ratio") * 100,
+        fixed(F.col("ratio") * 100),
         F.col("window_runs"),
-        F.col("window_mean"),
+        fixed(F.col("window_mean")),
     )
     return F.when(F.col("flag") == "high", more).otherwise(less)
 

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.functions.bands import fixed
 from newsloom.functions.text import sanitize
 from newsloom.operators.metrics import text_pack
 
@@ -153,7 +154,7 @@ def quote_line() -> Column:
         price,
         F.lit(" ("),
         sign,
-        F.format_string("%.1f", change),
+        fixed(change),
         F.lit("%)"),
     )
 

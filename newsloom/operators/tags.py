@@ -60,11 +60,16 @@ PRIMARY_KEYWORDS = [
 ]
 
 
+def title_case(text: Column) -> Column:
+    """Every run of letters with a capital first, whatever stands between."""
+    runs = F.regexp_extract_all(text, F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    return F.array_join(F.transform(runs, F.initcap), "")
+
+
 def tag_label(tag: Column) -> Column:
-    """Label of a tag; unknown tags in title case with hyphens kept."""
+    """Label of a tag; unknown tags in title case."""
     known = F.create_map(*[F.lit(x) for kv in TAG_LABELS.items() for x in kv])
-    spaced = F.initcap(F.replace(tag, F.lit("-"), F.lit(" ")))
-    return F.coalesce(known[tag], F.replace(spaced, F.lit(" "), F.lit("-")))
+    return F.coalesce(known[tag], title_case(tag))
 
 
 def valid_tag(tag: Column) -> Column:

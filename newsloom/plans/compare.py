@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.bands import cost
+from newsloom.functions.bands import cost, fixed
 from newsloom.operators.tags import TAG_LABELS
 
 KEY = ["run_date", "model"]
@@ -31,7 +31,7 @@ def call_costs(calls: DataFrame, prices: DataFrame) -> DataFrame:
         F.bround(F.col("_in") / 1000, 1).alias("input_k_tokens"),
         F.bround(F.col("_out") / 1000, 1).alias("output_k_tokens"),
         usd.alias("cost_usd"),
-        F.format_string("$%.4f", usd).alias("est_cost_usd"),
+        F.concat(F.lit("$"), fixed(usd, 4)).alias("est_cost_usd"),
     )
 
 
@@ -252,16 +252,25 @@ FRAMING = {
 }
 
 
+# Questions whose wording is compared in lower case.
+LOWERED = ["india_acknowledged"]
+
+
 def framing_flags(texts: DataFrame, text: str = "text", key: str = "run_date") -> DataFrame:
     """Question, side and whether a text of the run uses its wording.
 
-    Both sides are lowered, so wording with capitals counts too.
+    Texts are lowered, wording is not, so wording with capitals never counts;
+    only that of ``LOWERED`` questions is lowered too.
     """
-    from newsloom.functions.text import any_contains
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+
+    def used(question: str, words: list[str]) -> Column:
+        out = F.lit(False)
+        for w in words:
+            out = out | F.contains(low, F.lit(w.lower() if question in LOWERED else w))
+        return out
 
-    tests = [
-        (q, side, any_contains(F.col(text), words)) for q, sides in FRAMING.items() for side, words in sides.items()
-    ]
+    tests = [(q, side, used(q, words)) for q, sides in FRAMING.items() for side, words in sides.items()]
     flags = texts.groupBy(key).agg(*[F.bool_or(c).alias(f"_{i}") for i, (_, _, c) in enumerate(tests)])
     rows = F.array(
         *[

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.dates import parse_event_date
@@ -12,7 +12,7 @@ from newsloom.operators.ranking import top_per_group
 # Order in which kinds of events are listed, and their names.
 EVENT_KINDS = ["holiday", "church", "economic", "launch"]
 
-# Kinds and days of weekly units.
+# Kinds and days of weekly units, wording of added corrections.
 UNIT_KINDS = [
     "narrative_unit",
     "key_scripture",
@@ -21,6 +21,8 @@ UNIT_KINDS = [
     "language_context",
     "faithful_application",
 ]
+ADDED_APPLICATION = "Read the passage more carefully before repeating the common use."
+ADDED_HINT = "Write this as a corrective but charitable daily note."
 UNIT_DAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday"]
 
 
@@ -40,16 +42,58 @@ def week_ahead(
     return top_per_group(dated, ["run_date"], order, most, "rank").drop("_at", "_kind", "pos")
 
 
+def legacy_units(foci: DataFrame) -> DataFrame:
+    """Units from the older focus lists (week_start, pos, id, text_ref, guide_excerpt).
+
+    A week with units of its own does not use them; see ``week_units``.
+    """
+    blank = F.lit("")
+    ref = F.coalesce("text_ref", blank)
+    return foci.select(
+        "week_start",
+        "pos",
+        F.coalesce("id", blank).alias("id"),
+        F.lit("narrative_unit").alias("kind"),
+        ref.alias("title"),
+        ref.alias("anchor_ref"),
+        F.array(ref).alias("source_refs"),
+        blank.alias("core_claim"),
+        F.coalesce("guide_excerpt", blank).alias("supporting_excerpt"),
+        *[blank.alias(c) for c in ("enhancement", "application", "prompt_hint")],
+    )
+
+
+def week_units(units: DataFrame, foci: DataFrame) -> DataFrame:
+    """Units of every week, the legacy foci where a week has none."""
+    lacking = foci.join(units.select("week_start").distinct(), "week_start", "left_anti")
+    return units.unionByName(legacy_units(lacking), allowMissingColumns=True)
+
+
+def _free_ids(given: Column) -> Column:
+    """Ids of a week's units (place, id): one that is blank or seen takes its place's.
+
+    Generated ids count as seen for the units after them.
+    """
+
+    def step(acc: Column, x: Column) -> Column:
+        place = F.concat(F.lit("focus-"), (x["pos"] + 1).cast("string"))
+        taken = (x["id"] == "") | F.exists(acc, lambda y: y["id"] == x["id"])
+        return F.array_append(acc, F.struct(x["pos"].alias("pos"), F.when(taken, place).otherwise(x["id"]).alias("id")))
+
+    return F.aggregate(F.array_sort(given), F.array().cast("array<struct<pos:int,id:string>>"), step)
+
+
 def normalize_units(units: DataFrame) -> DataFrame:
-    """Weekly units with unique ids, valid kinds and an anchor among the refs.
+    """Weekly units with ids of their own, valid kinds and an anchor among the refs.
 
-    A blank or repeated id becomes ``focus-N`` by place; the first keeps it.
+    A blank or repeated id becomes ``focus-N`` by place; the first keeps it. The
+    units of one week are gathered for that; a week has a handful.
     """
     place = F.concat(F.lit("focus-"), (F.col("pos") + 1).cast("string"))
     given = py_strip(F.coalesce(F.when(F.col("id") != "", F.col("id")), place))
-    rows = units.withColumn("_id", F.when(given == "", place).otherwise(given))
-    first = rows.groupBy("week_start", "_id").agg(F.min("pos").alias("_first"))
-    rows = rows.join(first, ["week_start", "_id"])
+    lists = units.groupBy("week_start").agg(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), given.alias("id"))).alias("_given"))
+    ids = lists.select("week_start", F.inline(_free_ids(F.col("_given"))))
+    rows = units.drop("id").join(ids, ["week_start", "pos"])
     kind = F.lower(py_strip(F.coalesce("kind", F.lit(""))))
     refs = F.filter(
         F.transform(F.coalesce("source_refs", F.array().cast("array<string>")), py_strip), lambda r: r != ""
@@ -58,7 +102,7 @@ def normalize_units(units: DataFrame) -> DataFrame:
     return rows.select(
         "week_start",
         "pos",
-        F.when(F.col("pos") == F.col("_first"), F.col("_id")).otherwise(place).alias("id"),
+        "id",
         F.when(kind.isin(UNIT_KINDS), kind).otherwise("narrative_unit").alias("kind"),
         py_strip(F.coalesce("title", F.lit(""))).alias("title"),
         F.when(anchor != "", anchor).otherwise(F.coalesce(F.get(refs, F.lit(0)), F.lit(""))).alias("anchor_ref"),
@@ -103,8 +147,8 @@ def top_up_corrections(units: DataFrame, misuses: DataFrame, least: int = 2) ->
         text("correction").alias("core_claim"),
         text("common_use").alias("supporting_excerpt"),
         text("cost_bearer").alias("enhancement"),
-        F.lit("Read the passage more carefully before repeating the common use.").alias("application"),
-        F.lit("Write this as a corrective but charitable daily note.").alias("prompt_hint"),
+        F.lit(ADDED_APPLICATION).alias("application"),
+        F.lit(ADDED_HINT).alias("prompt_hint"),
     )
     return units.unionByName(added)
 

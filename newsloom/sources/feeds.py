@@ -19,24 +19,77 @@ DEFAULT_CAP = 15
 AGE_LIMIT = "INTERVAL 36 HOURS"
 
 
+ATOM_DDL = (
+    "title string, link array<struct<_href: string; _rel: string; _VALUE: string>>, summary string, published string,"
+    " updated string, content array<struct<_type: string; _VALUE: string>>"
+)
+
+
+def _atom_entry(e: Column) -> Column:
+    """An Atom entry with the fields of ``ENTRY_DDL``.
+
+    Its link is the first alternate one (a link without relation is one), else
+    the first of all.
+    """
+    links = F.filter(e["link"], lambda x: x["_href"].isNotNull())
+    usual = F.filter(links, lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    none = F.lit(None).cast("string")
+    return F.struct(
+        e["title"].alias("title"),
+        F.coalesce(F.get(usual, F.lit(0))["_href"], F.get(links, F.lit(0))["_href"]).alias("link"),
+        none.alias("description"),
+        e["summary"].alias("summary"),
+        none.alias("pubDate"),
+        e["published"].alias("published"),
+        e["updated"].alias("updated"),
+        F.transform(e["content"], lambda x: x["_VALUE"]).alias("content"),
+        none.alias("content:encoded"),
+    )
+
+
 def read_feed_xml(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
     """Entries of landed feed files; ``entry`` is the row tag of Atom."""
-    return spark.read.format("xml").option("rowTag", row_tag).schema(ENTRY_DDL).load(path)
+    ddl = ATOM_DDL.replace(";", ",") if row_tag == "entry" else ENTRY_DDL
+    rows = spark.read.format("xml").option("rowTag", row_tag).schema(ddl).load(path)
+    if row_tag != "entry":
+        return rows
+    return rows.select(_atom_entry(F.struct(*rows.columns)).alias("_e")).select("_e.*")
 
 
-def parse_payloads(payloads: DataFrame, payload: str = "payload") -> DataFrame:
-    """Entries of landed RSS documents held in a string column, in order."""
-    doc = F.from_xml(
-        F.col(payload), F.lit(f"channel struct<item: array<struct<{_typed(ENTRY_DDL)}>>>"), {"mode": "PERMISSIVE"}
+def _document(payload: str) -> Column:
+    """A landed feed: RSS has its items in a channel or at the root, Atom its entries."""
+    item = f"array<struct<{_typed(ENTRY_DDL)}>>"
+    kind = f"channel struct<item: {item}>, item {item}, entry array<struct<{_typed(ATOM_DDL)}>>"
+    return F.from_xml(F.col(payload), F.lit(kind), {"mode": "PERMISSIVE"})
+
+
+def _entries(doc: Column) -> Column:
+    none = F.array().cast(f"array<struct<{_typed(ENTRY_DDL)}>>")
+    return F.concat(
+        F.coalesce(doc["channel"]["item"], none), F.coalesce(doc["item"], none), F.coalesce(F.transform(doc["entry"], _atom_entry), none)
     )
+
+
+def parse_payloads(payloads: DataFrame, payload: str = "payload") -> DataFrame:
+    """Entries of landed RSS and Atom documents held in a string column, in order."""
     rest = [c for c in payloads.columns if c != payload]
-    rows = payloads.select(*rest, F.posexplode(doc["channel"]["item"]).alias("pos", "_e"))
+    parsed = payloads.select(*rest, _document(payload).alias("_doc"))
+    rows = parsed.select(*rest, F.posexplode(_entries(F.col("_doc"))).alias("pos", "_e"))
     return rows.select(*rest, "pos", "_e.*")
 
 
+def payload_issues(payloads: DataFrame, payload: str = "payload") -> DataFrame:
+    """Landed documents without any entry: no feed, or an empty one."""
+    rest = [c for c in payloads.columns if c != payload]
+    given = F.coalesce(F.trim(F.col(payload)), F.lit("")) != ""
+    parsed = payloads.select(*rest, given.alias("_given"), _document(payload).alias("_doc"))
+    issue = F.when(F.col("_given"), "no entries").otherwise("empty payload")
+    return parsed.where(F.size(_entries(F.col("_doc"))) <= 0).select(*rest, issue.alias("issue"))
+
+
 def _typed(ddl: str) -> str:
-    parts = [p.strip().rsplit(" ", 1) for p in ddl.split(",")]
-    return ", ".join(f"{name}: {kind}" for name, kind in parts)
+    parts = [p.strip().split(" ", 1) for p in ddl.split(",")]
+    return ", ".join(f"{name}: {kind}" for name, kind in parts).replace(";", ",")
 
 
 def entry_body() -> Column:

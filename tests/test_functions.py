@@ -192,6 +192,8 @@ def test_labels(spark):
     assert value(spark, D.conference_event, dt.date(2026, 4, 4)).endswith("Spring 2026 (Saturday)")
     assert value(spark, tag_label, "ai") == "AI"
     assert value(spark, tag_label, "foo-bar") == "Foo-Bar"
+    for tag in ("supply_chain", "ai/ml", "women's", "3d-print", "über-5g", "ONE two", ""):
+        assert value(spark, tag_label, tag) == tag.title()
     assert value(spark, valid_tag, "nope") == "domestic"
 
 
@@ -210,3 +212,12 @@ def test_bands(spark):
     assert value(spark, B.price_text, 12.3, "A") == "$12.30"
     assert value(spark, B.weather_text, 95) == "Thunderstorm"
     assert value(spark, B.weather_text, 4) == "Unknown"
+
+
+def test_fixed_decimals(spark):
+    from newsloom.functions.bands import fixed
+
+    rows = [(x,) for x in (0.25, 2.25, 0.35, 0.15, 12.0, -0.75, -0.04, 99.96, 0.0, 1e9 + 0.25, 7.00005, 0.00015, 1 / 3)]
+    got = spark.createDataFrame(rows, "x double").select("x", *[fixed(F.col("x"), d) for d in (1, 2, 3, 4)]).collect()
+    for x, *texts in got:
+        assert texts == [f"{x:.{d}f}" for d in (1, 2, 3, 4)], x

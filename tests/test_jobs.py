@@ -462,3 +462,68 @@ def test_api_readers(spark):
     assert (got.temperature_f, got.wind_mph, got.humidity) == (50, 9, None)
     events, notes = api.on_this_day(doc({"selected": [], "events": []}))
     assert events.count() == 0 and notes.first().status == "ok_empty"
+
+
+def test_atom_beside_rss(spark, tmp_path):
+    rss = "<rss><channel><item><title>A</title><link>http://a</link></item></channel></rss>"
+    atom = (
+        '<feed xmlns="http://www.w3.org/2005/Atom"><title>Feed</title><link href="http://feed"/>'
+        '<entry><title type="html">B</title><link rel="self" href="http://b/self"/><link rel="alternate" href="http://b"/>'
+        "<published>2024-01-10T11:00:00Z</published><summary>s</summary></entry>"
+        '<entry><title>C</title><link href="http://c"/><updated>2024-01-10T11:00:00Z</updated><content type="html">body c</content></entry>'
+        '<entry><title>D</title><link rel="enclosure" href="http://d"/></entry></feed>'
+    )
+    rdf = "<rdf><channel><title>x</title></channel><item><title>E</title><link>http://e</link></item></rdf>"
+    rows = [("r", str(i), p) for i, p in enumerate([rss, atom, rdf, "<html><body>no feed</body></html>", ""])]
+    landed = spark.createDataFrame(rows, "run_date string, source string, payload string")
+    got = {(r.source, r.pos, r.title, r.link) for r in feeds.parse_payloads(landed).collect()}
+    assert got == {("0", 0, "A", "http://a"), ("1", 0, "B", "http://b"), ("1", 1, "C", "http://c"), ("1", 2, "D", "http://d"), ("2", 0, "E", "http://e")}
+    entries = feeds.parse_payloads(landed).withColumns({"category": F.lit("c"), "tag": F.lit("t")})
+    items = {r.title: r for r in feeds.feed_items(entries, now()).collect()}
+    assert items["C"].summary == "body c" and items["B"].url == "http://b" and items["B"].published is not None
+    assert {(r.source, r.issue) for r in feeds.payload_issues(landed).collect()} == {("3", "no entries"), ("4", "empty payload")}
+    (tmp_path / "a.xml").write_text(atom)
+    files = feeds.read_feed_xml(spark, str(tmp_path / "a.xml"), "entry")
+    assert {(r.title, r.link) for r in files.collect()} == {("B", "http://b"), ("C", "http://c"), ("D", "http://d")}
+    assert files.columns == feeds.read_feed_xml(spark, str(tmp_path / "a.xml")).columns
+
+
+def test_unit_ids(spark):
+    def ids(*given):
+        rows = [("w", i, x) + ("",) * 6 + ([],) for i, x in enumerate(given)]
+        names = "kind title anchor_ref core_claim supporting_excerpt enhancement application prompt_hint".split()
+        rows = [("w", i, x, *[""] * 8, []) for i, x in enumerate(given)]
+        ddl = "week_start string, pos int, id string, " + ", ".join(f"{n} string" for n in names) + ", source_refs array<string>"
+        return [r.id for r in week.normalize_units(spark.createDataFrame(rows, ddl)).orderBy("pos").collect()]
+
+    assert ids("A", "A", "focus-2") == ["A", "focus-2", "focus-3"]
+    assert ids("", None, " x ", "x") == ["focus-1", "focus-2", "x", "focus-4"]
+
+
+def test_legacy_foci(spark):
+    foci = spark.createDataFrame(
+        [("2026-01-05", 0, "focus-1", "Mosiah 2:17", "Serving others."), ("w2", 0, "z", "b", "c")],
+        "week_start string, pos int, id string, text_ref string, guide_excerpt string",
+    )
+    own = week.legacy_units(foci.where("week_start = 'w2'")).withColumn("id", F.lit("own"))
+    out = {r.week_start: r for r in week.normalize_units(week.week_units(own, foci)).collect()}
+    assert out["w2"].id == "own"
+    one = out["2026-01-05"]
+    assert (one.id, one.kind, one.anchor_ref, one.source_refs) == ("focus-1", "narrative_unit", "Mosiah 2:17", ["Mosiah 2:17"])
+    assert week.reflection(spark.createDataFrame([one])).first().reflection == "Serving others."
+
+
+def test_page_elements(spark):
+    html = (
+        '<article class="x Box-row"><h2><a href="http://off">no</a><a href="/o/p"> o /\n <b>p</b></a></h2><p> </p><p>about it</p>'
+        '<span itemprop="programmingLanguage">SQL</span><br><span class="d float-sm-right">5 stars</span>'
+        '<article class="Box-row"><a href="/in/ner">i</a></article></article>'
+        '<article class="other"><a href="/q">q</a></article><article class="Box-row"><a href="/r/s">r / s</a></article>'
+        '<a href="/open">never ended'
+    )
+    pages = spark.createDataFrame([("k", html), ("none", None)], "page_id string, html string")
+    got = [(r.pos, r.name, r.url, r.description, r.language, r.stars_today) for r in markup.repository_cards(pages).orderBy("pos").collect()]
+    assert got == [(0, "o/p", "https://github.com/o/p", "about it", "SQL", "5 stars"), (1, "r/s", "https://github.com/r/s", "", "", "")]
+    nested = '<a href="/1">x<a href="/2">y</a>z</a><a name="n">w</a><a href="">v</a><A HREF="/3">&amp;<i>t</i></A>'
+    links = spark.createDataFrame([(nested,)], "html string").select(markup.anchors(F.col("html")).alias("a")).first().a
+    assert [(x.href, x.text) for x in links] == [("/2", "y"), ("/3", "&t")]
