@@ -10,7 +10,7 @@ from newsloom.catalog.texts import WORD_SQL
 from newsloom.operators import anomaly as A
 from newsloom.operators import phrases as P
 from newsloom.operators.selection import diverse_top
-from newsloom.session import cut, widen
+from newsloom.session import cut
 
 TAG_SQL = "CASE p_type WHEN 'ECONOMY' THEN 'war' WHEN 'SMALL' THEN 'ai' WHEN 'PROMO' THEN 'defense' ELSE 'econ' END"
 
@@ -140,7 +140,7 @@ ov AS (SELECT doc_id, count(*) AS overlap_count, min(dg.g) AS sample_phrase FROM
 
 def _sections(spark, d):
     run = F.lit("r").alias("run_date")
-    docs = widen(table(spark, d, "documents").select(run, F.col("doc_id").alias("pos"), "text", "source"))
+    docs = table(spark, d, "documents").select(run, F.col("doc_id").alias("pos"), "text", "source")
     marks = table(spark, d, "benchmark").select(run, F.col("item_id").alias("pos"), "text")
     return docs, marks
 

@@ -1,7 +1,7 @@
 """Contract checks over JSON documents built from events and orders.
 
-A document holds the rows of one user or customer among 100,000 neighbouring
-ids, so no document grows with the table, however often a key occurs.
+A document holds the events of a user on one day, or the orders of a customer in
+a five-year period.
 """
 
 from __future__ import annotations
@@ -13,19 +13,16 @@ from newsloom.operators import contracts as C
 from newsloom.session import cut
 
 
-CHUNK = 100_000
-
-
 def customer_run():
-    """Key of a document: customer and stretch of order keys."""
-    return F.format_string("%d-%d", "o_custkey", F.floor(F.col("o_orderkey") / CHUNK)).alias("run_date")
+    """Key of a document: customer and five-year period."""
+    return F.format_string("%d-%d", "o_custkey", F.floor(F.year("o_orderdate") / 5)).alias("run_date")
 
 
 def desk_documents(spark, d):
     """One document per day and user, of drifting shapes, from its events."""
     e = table(spark, d, "events").select(
         F.to_date("ts").alias("run_date"),
-        F.format_string("u%d-%d", "user_id", F.floor(F.col("event_id") / CHUNK)).alias("desk"),
+        F.format_string("u%d", "user_id").alias("desk"),
         "event_id",
         "event_type",
         F.get_json_object("props", "$.k").cast("int").alias("k"),
@@ -51,8 +48,8 @@ def desk_documents(spark, d):
 
 
 BASE_SQL = """
-e AS (SELECT CAST(ts AS DATE) AS run_date, 'u' || user_id || '-' || (event_id // 100000) AS desk, event_id, event_type, CAST(json_extract(props, '$.k') AS INTEGER) AS k,
-  row_number() OVER (PARTITION BY CAST(ts AS DATE), user_id, event_id // 100000 ORDER BY event_id) - 1 AS pos FROM events)
+e AS (SELECT CAST(ts AS DATE) AS run_date, 'u' || user_id AS desk, event_id, event_type, CAST(json_extract(props, '$.k') AS INTEGER) AS k,
+  row_number() OVER (PARTITION BY CAST(ts AS DATE), user_id ORDER BY event_id) - 1 AS pos FROM events)
 """
 
 
@@ -122,7 +119,7 @@ def edition_documents(spark, d):
 
 @query(
     "edition_contract",
-    """WITH o AS (SELECT o_custkey || '-' || (o_orderkey // 100000) AS run_date, o_orderkey AS k, o_orderstatus, row_number() OVER (PARTITION BY o_custkey, o_orderkey // 100000 ORDER BY o_orderkey) - 1 AS pos FROM orders),
+    """WITH o AS (SELECT o_custkey || '-' || (year(o_orderdate) // 5) AS run_date, o_orderkey AS k, o_orderstatus, row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) // 5 ORDER BY o_orderkey) - 1 AS pos FROM orders),
     f AS (SELECT run_date, min(k) AS first FROM o GROUP BY run_date)
     SELECT run_date, 'cross_domain_output.cross_domain_connections' AS path, 'required section missing; defaulted to empty' AS message FROM f
     UNION ALL SELECT run_date, 'cross_domain_output.deep_dives', 'required section missing; defaulted to empty' FROM f WHERE first % 3 = 2
@@ -136,7 +133,7 @@ def _edition(spark, d):
 
 @query(
     "edition_reading",
-    """SELECT o_custkey || '-' || (o_orderkey // 100000) AS run_date, 0 AS pos, 'True' AS title, 'http://w' AS url FROM orders GROUP BY 1""",
+    """SELECT o_custkey || '-' || (year(o_orderdate) // 5) AS run_date, 0 AS pos, 'True' AS title, 'http://w' AS url FROM orders GROUP BY 1""",
 )
 def _reading(spark, d):
     parts, _ = C.edition_output(edition_documents(spark, d))
@@ -155,7 +152,7 @@ def plan_documents(spark, d):
 
 
 PLAN_SQL = """
-o AS (SELECT o_custkey || '-' || (o_orderkey // 100000) AS run_date, o_orderkey AS k, o_orderstatus, row_number() OVER (PARTITION BY o_custkey, o_orderkey // 100000 ORDER BY o_orderkey) - 1 AS pos FROM orders),
+o AS (SELECT o_custkey || '-' || (year(o_orderdate) // 5) AS run_date, o_orderkey AS k, o_orderstatus, row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) // 5 ORDER BY o_orderkey) - 1 AS pos FROM orders),
 g AS (SELECT *, row_number() OVER (PARTITION BY run_date ORDER BY pos) AS rn FROM o WHERE o_orderstatus <> 'P'),
 l AS (SELECT run_date, pos AS last FROM g WHERE rn = 2)
 """
@@ -213,7 +210,7 @@ def seam_inputs(spark, d):
 
 
 SEAM_SQL = """
-o AS (SELECT o_custkey || '-' || (o_orderkey // 100000) AS run_date, o_orderkey AS k, o_orderstatus, o_orderpriority, row_number() OVER (PARTITION BY o_custkey, o_orderkey // 100000 ORDER BY o_orderkey) - 1 AS pos FROM orders),
+o AS (SELECT o_custkey || '-' || (year(o_orderdate) // 5) AS run_date, o_orderkey AS k, o_orderstatus, o_orderpriority, row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) // 5 ORDER BY o_orderkey) - 1 AS pos FROM orders),
 has AS (SELECT run_date, bool_or(k % 4 <> 0) AS checked FROM o GROUP BY run_date),
 v AS (SELECT o.* FROM o WHERE k % 4 <> 0 AND o_orderpriority NOT LIKE '1%' AND k % 5 <> 0),
 r AS (SELECT *, CASE o_orderstatus WHEN 'F' THEN 'high' WHEN 'O' THEN 'low' ELSE 'medium' END AS confidence, count(*) OVER (PARTITION BY run_date) AS n,

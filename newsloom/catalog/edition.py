@@ -106,7 +106,7 @@ def _inputs(spark, d):
     desk = cut(desk_items(spark, d))
     _, dives = P.passthrough_edition(desk)
     known = known_urls(link_urls(desk.where("pos % 4 <> 0")))
-    reading = month_runs(spark, d).where("o_orderkey % 50 = 0").select(
+    reading = month_runs(spark, d).select(
         "run_date", F.col("o_orderkey").alias("pos"), F.lit("t").alias("title"), F.lit("http://nowhere.org/x").alias("url")
     )
     return desk, dives, known, reading
@@ -208,7 +208,7 @@ def _category_pack(spark, d):
         F.col("doc_id").alias("pos"),
         "source",
         F.lit("wire").alias("reliability"),
-        F.substring("text", 1, 40).alias("title"),
+        F.substring_index("text", "\n", 1).alias("title"),
         F.col("text").alias("summary"),
         F.lit("http://x").alias("url"),
     )

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from newsloom.catalog.carriers import FEEDS_SQL, feeds
 from newsloom.catalog.registry import query, table
 from newsloom.plans import enrich as E
-from newsloom.session import widen
 
 NOW_SQL = "TIMESTAMP '2024-01-31 00:00:00'"
 
@@ -18,7 +17,7 @@ def _now():
 
 def _items(spark, d):
     """Documents as one run of items; one URL per hundred copies of a title."""
-    docs = widen(table(spark, d, "documents"))
+    docs = table(spark, d, "documents")
     return docs.select(
         F.lit("2024-01-30").cast("date").alias("run_date"),
         F.col("doc_id").alias("pos"),
@@ -141,7 +140,7 @@ o AS (SELECT doc_id, s, CASE WHEN length(replace(s, chr(13), '')) > 700 THEN tri
       CASE WHEN length(s) >= 800 THEN 'no_model_config' ELSE '' END AS fallback_reason, md5(own) AS digest FROM o""",
 )
 def _summary(spark, d):
-    docs = widen(table(spark, d, "documents")).select(
+    docs = table(spark, d, "documents").select(
         "doc_id", F.lit("r").alias("run_date"), F.col("doc_id").cast("string").alias("url"), "text", F.lit("rss_body").alias("origin")
     )
     out = E.canonical_summary(docs)
@@ -154,7 +153,7 @@ def _summary(spark, d):
       CASE WHEN length(text) >= 800 THEN CAST(length(text) // 4 AS BIGINT) END AS tokens_in FROM documents""",
 )
 def _model(spark, d):
-    docs = widen(table(spark, d, "documents")).select(
+    docs = table(spark, d, "documents").select(
         "doc_id", F.lit("r").alias("run_date"), F.col("doc_id").cast("string").alias("url"), "text", F.lit("rss_body").alias("origin")
     )
     out = E.canonical_summary(docs, E.truncating_model)
@@ -163,7 +162,7 @@ def _model(spark, d):
 
 def _landed(spark, d, name: str):
     """Pages as landed fetch results for the items' URLs."""
-    docs = widen(table(spark, d, "documents"))
+    docs = table(spark, d, "documents")
     url = F.concat(F.lit("http://n.org/"), F.md5("text"))
     ok = F.min("doc_id") % (3 if name == "http" else 2) != 0
     return docs.groupBy(url.alias("url")).agg(F.max("text").alias("text"), ok.alias("ok")).select(
@@ -188,7 +187,7 @@ def _resolve(spark, d):
 
 @query("enrich_run")
 def _run(spark, d):
-    cache = _cache(spark, d).limit(0)
+    cache = _cache(spark, d)
     items, records, _, _ = E.enrich_run(
         _items(spark, d),
         _feeds(spark, d),

@@ -97,10 +97,10 @@ def _status_histogram(spark, d):
     "source_counts",
     f"""WITH {ITEMS_SQL} SELECT run_date, CAST(count(*) FILTER (category = 'en') AS BIGINT) AS en_items,
     CAST(count(*) FILTER (category = 'fr') AS BIGINT) AS fr_items,
-    CAST(count(*) FILTER (category = 'de') AS BIGINT) AS de_items FROM items GROUP BY run_date""",
+    CAST(count(*) FILTER (category = 'de') AS BIGINT) AS de_items, CAST(count(*) FILTER (category = 'es') AS BIGINT) AS es_items FROM items GROUP BY run_date""",
 )
 def _source_counts(spark, d):
-    return source_counts(items(spark, d), ["en", "fr", "de"], kind="category")
+    return source_counts(items(spark, d), ["en", "fr", "de", "es"], kind="category")
 
 
 @query(

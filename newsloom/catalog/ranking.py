@@ -178,15 +178,15 @@ def _useful_first(spark, d):
 
 @query(
     "local_selection",
-    f"""WITH {ITEMS_SQL}, g AS (SELECT *, length(trim(summary, ' ' || chr(10) || chr(9))) >= 40 AS useful FROM items WHERE category = 'en'
-      AND NOT contains(summary, 'PRNewswire') AND NOT contains(summary, 'Business Wire') AND NOT contains(summary, 'GlobeNewswire') AND NOT contains(summary, 'PR Newswire')),
+    f"""WITH {ITEMS_SQL}, g AS (SELECT *, length(trim(summary, ' ' || chr(10) || chr(9))) >= 40 AS useful FROM items WHERE
+      NOT contains(summary, 'PRNewswire') AND NOT contains(summary, 'Business Wire') AND NOT contains(summary, 'GlobeNewswire') AND NOT contains(summary, 'PR Newswire')),
     r AS (SELECT *, row_number() OVER (PARTITION BY run_date ORDER BY CASE WHEN useful THEN 0 ELSE 1 END, pos) AS rn FROM g)
     SELECT run_date, pos, source, rn::INTEGER AS rank FROM r WHERE rn <= 4""",
 )
 def _local(spark, d):
     from newsloom.plans.local import local_selection
 
-    rows = items(spark, d).where(F.col("category") == "en").withColumn("url", F.lit("")).withColumn("rss_body", F.lit(""))
+    rows = items(spark, d).withColumn("url", F.lit("")).withColumn("rss_body", F.lit(""))
     return local_selection(rows).select("run_date", "pos", "source", "rank")
 
 
@@ -209,14 +209,12 @@ def _breaker(spark, d):
 
 @query(
     "newest_first",
-    f"""SELECT o_custkey AS custkey, o_orderkey AS pos, rn::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey
-      ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 3""",
+    """SELECT o_orderkey AS pos, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate END AS published FROM orders ORDER BY 2 DESC NULLS LAST""",
 )
 def _newest(spark, d):
-    o = table(spark, d, "orders").select(
-        F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("pos"), "o_orderdate"
-    )
-    return R.top_per_group(o, ["custkey"], [F.desc("o_orderdate"), "pos"], 3, "rank").drop("o_orderdate")
+    # Every fifth item is undated.
+    dated = F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderdate"))
+    return R.newest_first(table(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), dated.alias("published")))
 
 
 @query(

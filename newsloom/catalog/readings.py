@@ -1,7 +1,7 @@
 """Weather, calendar and landed JSON, carried by events and orders.
 
-Documents hold the rows of one key among 100,000 neighbouring ids, so none
-grows with the table; a run may have several.
+Documents hold the readings of a user on one day, or the orders of a customer in
+a five-year period; a run may have several.
 """
 
 from __future__ import annotations
@@ -13,15 +13,12 @@ from newsloom.functions import bands as B
 from newsloom.functions import dates as T
 from newsloom.operators import metrics as M
 from newsloom.operators import weather as W
-from newsloom.operators.ranking import position_in_group, top_per_group
+from newsloom.operators.ranking import position_in_group
 from newsloom.plans import week as K
 from newsloom.sources import api as A
 
-CHUNK = 100_000
-
-
-def chunk(c: str):
-    return F.floor(F.col(c) / CHUNK).alias("chunk")
+def period():
+    return F.floor(F.year("o_orderdate") / 5)
 
 
 AQI_SQL = """CASE WHEN aqi IS NULL THEN 'unavailable' WHEN aqi <= 50 THEN 'Good' WHEN aqi <= 100 THEN 'Moderate' WHEN aqi <= 150 THEN 'Unhealthy for Sensitive Groups'
@@ -42,7 +39,7 @@ def hourly_documents(spark, d):
     e = table(spark, d, "events").select("user_id", "event_id", "ts", "value", "event_type")
     v = F.when(F.col("event_type") != "error", (F.col("value") * 3).cast("int"))
     rows = F.array_sort(F.collect_list(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm").alias("t"), v.alias("v"))))
-    docs = e.groupBy(F.col("user_id").alias("run_date"), chunk("event_id")).agg(rows.alias("r"))
+    docs = e.groupBy(F.col("user_id").alias("run_date"), F.to_date("ts")).agg(rows.alias("r"))
     body = F.to_json(
         F.struct(F.struct(F.col("r")["t"].alias("time"), F.col("r")["v"].alias("us_aqi")).alias("hourly")),
         {"ignoreNullFields": "false"},
@@ -255,15 +252,14 @@ def _quotes(spark, d):
 
 @query(
     "ranked_stories",
-    """WITH r AS (SELECT o_custkey AS run_date, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS pos FROM orders),
+    """WITH r AS (SELECT o_custkey || '-' || (year(o_orderdate) // 5) AS run_date, o_orderkey AS id,
+      row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) // 5 ORDER BY o_orderdate, o_orderkey) - 1 AS pos FROM orders),
     k AS (SELECT r.*, CAST(trunc(o_totalprice) AS INTEGER) AS score FROM r JOIN orders ON o_orderkey = id WHERE pos < 5 AND o_orderstatus <> 'P')
     SELECT run_date, id, score, CAST(row_number() OVER (PARTITION BY run_date ORDER BY score DESC, pos) AS INTEGER) AS rank FROM k""",
 )
 def _stories(spark, d):
     o = table(spark, d, "orders")
-    # A ranked list is as long as its publisher makes it: fifty ids here.
-    head = top_per_group(o.select("o_custkey", "o_orderdate", "o_orderkey"), ["o_custkey"], ["o_orderdate", "o_orderkey"], 50)
-    ranks = head.groupBy(F.col("o_custkey").alias("run_date")).agg(
+    ranks = o.groupBy(F.format_string("%d-%d", "o_custkey", period()).alias("run_date")).agg(
         F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey"))), lambda x: x["o_orderkey"])).alias("payload")
     )
     body = F.to_json(
@@ -279,8 +275,8 @@ def _stories(spark, d):
 
 @query(
     "launch_list",
-    """WITH l AS (SELECT o_custkey || '-' || (o_orderkey // 100000) AS run_date, o_orderkey, o_orderdate, CASE WHEN o_orderstatus = 'F' THEN 'military' ELSE 'unknown' END AS mission_type,
-       row_number() OVER (PARTITION BY o_custkey, o_orderkey // 100000 ORDER BY o_orderkey) - 1 AS pos FROM orders)
+    """WITH l AS (SELECT o_custkey || '-' || (year(o_orderdate) // 5) AS run_date, o_orderkey, o_orderdate, CASE WHEN o_orderstatus = 'F' THEN 'military' ELSE 'unknown' END AS mission_type,
+       row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) // 5 ORDER BY o_orderkey) - 1 AS pos FROM orders)
     SELECT run_date, 'L' || o_orderkey AS name, strftime(o_orderdate, '%Y-%m-%d %H:%MZ') AS date, mission_type, 'Pad, Cape' AS launch_site,
       CAST(row_number() OVER (PARTITION BY run_date ORDER BY CASE WHEN mission_type = 'military' THEN 0 ELSE 1 END, strftime(o_orderdate, '%Y-%m-%d %H:%MZ'), pos) AS BIGINT) AS rank
     FROM l WHERE o_orderdate <= TIMESTAMP '1998-01-11 00:00:00'""",
@@ -296,7 +292,7 @@ def _launches(spark, d):
             F.struct(F.lit("Pad").alias("name"), F.struct(F.lit("Cape").alias("name")).alias("location")).alias("pad"),
         ).alias("r"),
     )
-    run = F.format_string("%d-%d", "o_custkey", F.floor(F.col("o_orderkey") / CHUNK))
+    run = F.format_string("%d-%d", "o_custkey", period())
     docs = o.groupBy(run.alias("run_date")).agg(
         F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["r"]).alias("results"))).alias("payload")
     )
@@ -317,7 +313,7 @@ def _economic(spark, d):
         F.date_format("o_orderdate", "yyyy-MM-dd 08:30:00").alias("time"),
         F.format_string("Release %d", "o_orderkey").alias("event"),
     )
-    docs = o.groupBy(F.col("o_custkey").alias("run_date"), chunk("o_orderkey")).agg(
+    docs = o.groupBy(F.col("o_custkey").alias("run_date"), period()).agg(
         F.to_json(F.struct(F.collect_list(item).alias("economicCalendar"))).alias("payload")
     )
     return A.economic_events(docs).select("run_date", "date", "time", "event", "impact")
@@ -339,7 +335,7 @@ def _aggregator(spark, d):
         F.unix_timestamp("o_orderdate").alias("published"),
         F.struct(F.lit("<b>x</b> y").alias("content")).alias("summary"),
     )
-    docs = o.groupBy(F.to_date(F.date_trunc("month", "o_orderdate")).alias("run_date"), "o_custkey", chunk("o_orderkey")).agg(
+    docs = o.groupBy(F.to_date(F.date_trunc("month", "o_orderdate")).alias("run_date"), "o_custkey").agg(
         F.to_json(F.struct(F.collect_list(item).alias("items"))).alias("payload")
     )
     out = aggregator_items(docs)

@@ -26,7 +26,7 @@ def _anchors(spark, d):
 
 @query(
     "index_links",
-    r"""WITH a AS (SELECT doc_id, trim(regexp_replace(substr(text, 1, 60), '\s+', ' ', 'g')) AS title FROM documents),
+    r"""WITH a AS (SELECT doc_id, trim(regexp_replace(split_part(text, chr(10), 1), '\s+', ' ', 'g')) AS title FROM documents),
     f AS (SELECT * FROM a WHERE length(title) BETWEEN 18 AND 180 AND len(string_split(title, ' ')) >= 3 AND NOT contains(lower(title), 'subscribe')
       AND NOT contains(lower(title), 'sign in') AND NOT contains(lower(title), 'log in') AND doc_id % 4 <> 3)
     SELECT source AS page_id, 'https://' || source || '.org/' || CASE f.doc_id % 4 WHEN 0 THEN 'n/' WHEN 1 THEN 'list/' ELSE 'up/' END || f.doc_id AS url, title
@@ -41,10 +41,10 @@ def _index(spark, d):
         .when(k == 2, F.concat(F.lit("../up/"), i))
         .otherwise(F.concat(F.lit("/tag/"), i))
     )
-    shown = F.replace(F.replace(F.substring("text", 1, 60), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    shown = F.replace(F.replace(F.substring_index("text", "\n", 1), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     link = F.concat(F.lit('<li><a class="x" href="'), href, F.lit('">'), shown, F.lit("</a></li>"))
-    docs = table(spark, d, "documents").select("source", F.floor(F.col("doc_id") / 1000).alias("n"), link.alias("a"))
-    # An index page shows a thousand neighbouring documents at most.
+    docs = table(spark, d, "documents").select("source", F.floor(F.col("doc_id") / 70).alias("n"), link.alias("a"))
+    # An index page shows a day's documents.
     pages = docs.groupBy(F.col("source").alias("page_id"), "n").agg(F.array_join(F.collect_list("a"), "").alias("html"))
     pages = pages.withColumn("url", F.concat(F.lit("https://"), F.col("page_id"), F.lit(".org/list/")))
     keyed = pages.withColumn("page", F.struct("page_id", "n"))
@@ -74,13 +74,10 @@ def _cards(spark, d):
 
 
 def feed_documents(spark, d):
-    """Documents as landed feed files: one per source and run.
-
-    Every 100,000 documents open 14 further runs, which bounds a file.
-    """
+    """Documents as landed feed files: one per source and day, 70 documents a day."""
     docs = table(spark, d, "documents").select(
         "doc_id", "source", F.date_add(
-            F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 14 + F.floor(F.col("doc_id") / 100_000) * 14).cast("int")
+            F.lit("2024-01-01").cast("date"), F.floor(F.col("doc_id") / 70).cast("int")
         ).alias("run_date"), "text"
     )
     when = F.when(F.col("doc_id") % 5 == 0, "").otherwise(
@@ -103,7 +100,7 @@ def feed_documents(spark, d):
 
 @query(
     "feed_items",
-    """WITH d AS (SELECT *, DATE '2024-01-01' + CAST(doc_id % 14 + 14 * (doc_id // 100000) AS INTEGER) AS run_date, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id % 60 END AS age FROM documents),
+    """WITH d AS (SELECT *, DATE '2024-01-01' + CAST(doc_id // 70 AS INTEGER) AS run_date, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id % 60 END AS age FROM documents),
     f AS (SELECT *, row_number() OVER (PARTITION BY run_date, source ORDER BY doc_id) AS rn FROM d
       WHERE age IS NULL OR CAST(run_date AS TIMESTAMP) - to_hours(CAST(age AS INTEGER)) >= TIMESTAMP '2024-01-09 12:00:00' - INTERVAL 36 HOUR)
     SELECT run_date, source, 'Doc ' || doc_id AS title, 'http://d/' || doc_id AS url FROM f WHERE rn <= CASE source WHEN 'src1' THEN 1 ELSE 2 END""",
@@ -118,7 +115,7 @@ def _feed(spark, d):
 
 @query(
     "collect_diagnostics",
-    """WITH d AS (SELECT *, DATE '2024-01-01' + CAST(doc_id % 14 + 14 * (doc_id // 100000) AS INTEGER) AS run_date, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id % 60 END AS age,
+    """WITH d AS (SELECT *, DATE '2024-01-01' + CAST(doc_id // 70 AS INTEGER) AS run_date, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id % 60 END AS age,
       CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) AS k FROM documents),
     n AS (SELECT run_date, source, k, least(15, count(*) FILTER (age IS NULL OR CAST(run_date AS TIMESTAMP) - to_hours(CAST(age AS INTEGER)) >= TIMESTAMP '2024-01-09 12:00:00' - INTERVAL 36 HOUR)) AS c
       FROM d GROUP BY ALL),

@@ -9,13 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a temporary one only when unset."""
+    """Folder in ``spark.checkpoint.dir``, which all executors must reach.
+
+    Only a session on one machine, as in tests, gets a temporary folder instead.
+    """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="newsloom-checkpoint-"))
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="newsloom-checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -49,13 +53,3 @@ def local_session(name: str = "newsloom", cores: str = "*", memory: str = "16g")
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def widen(df: DataFrame) -> DataFrame:
-    """Spread a scan over the cores when its files make too few tasks.
-
-    Costly per-row work on a small table would otherwise run in one task. A
-    table of many files or row groups has enough tasks and stays as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
