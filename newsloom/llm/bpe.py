@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.store import written
+from newsloom.llm.store import bucketed
 
 # Characters of text whose documents form a block.
 BLOCK_CHARS = 32 << 20
@@ -243,8 +243,9 @@ def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFram
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(ranks)
     parts = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = written(
-        docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_blocks(pattern, parts), _BLOCKS), "bpe-blocks"
+    # The packed sequences stay where they are written; only pieces and ids move.
+    blocks = bucketed(
+        docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_blocks(pattern, parts), _BLOCKS), "bpe-blocks", "block"
     )
     sent = blocks.select("block", F.posexplode("parts").alias("part", "sent")).where(F.col("sent").isNotNull())
     ids = (
@@ -254,7 +255,9 @@ def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFram
         .groupBy("block")
         .agg(F.collect_list("ids").alias("ids"))
     )
-    return blocks.select("block", "n_pieces", "doc_ids", "sizes", "codes").join(ids, "block", "left")
+    # The ids grow with the corpus, so they are never broadcast.
+    slim = blocks.select("block", "n_pieces", "doc_ids", "sizes", "codes")
+    return slim.join(ids.hint("merge"), "block", "left")
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:

@@ -38,3 +38,17 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = fresh(spark, what)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, what: str, column: str) -> DataFrame:
+    """The rows, written once in buckets of a column.
+
+    There are as many buckets as shuffle partitions, so that a join on the column
+    reads them in place while only the other side is shuffled.
+    """
+    spark = df.sparkSession
+    name = f"newsloom_{uuid.uuid4().hex}"
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.write.format("parquet").option("compression", "zstd").option("path", fresh(spark, what))
+    writer.bucketBy(count, column).saveAsTable(name)
+    return spark.table(name)
