@@ -87,6 +87,8 @@ def running(
     ``buckets`` are coarsened leading parts of ``order``: rows of an earlier
     bucket come before all rows of a later one. Totals of earlier buckets come
     from a partial aggregation; only rows of one bucket are sorted together.
+    Buckets must be few per group, as ``position_bucket`` and ``quantile_buckets``
+    make them: their totals are added up group by group.
     """
     work = df.withColumns(dict(buckets))
     names = list(buckets)
@@ -117,6 +119,27 @@ def position_bucket(pos: str = "pos", rows: int = BUCKET_ROWS) -> dict[str, Colu
     return {"_bucket": F.floor(F.col(pos) / F.lit(rows))}
 
 
+def quantile_buckets(
+    df: DataFrame, group: Sequence[str], value: str, pos: str = "pos", rows: int = BUCKET_ROWS, parts: int = 64
+) -> DataFrame:
+    """``df`` with buckets (``_place``, ``_tie``) along a number, then a position.
+
+    Bounds are approximate quantiles of each group, from partial aggregates. A
+    place is either between two bounds or at one, where all rows tie and the
+    position goes on. A group of no more than ``rows`` rows is one bucket; a
+    larger one has ``2 * parts`` places at most.
+    """
+    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(F.col(value), shares, 1_000).alias("_bounds"))
+    on = [F.col(f"d.{g}").eqNullSafe(F.col(f"s.{g}")) for g in group]
+    out = df.alias("d").join(sizes.alias("s"), on, "inner").select("d.*", "s._n", F.array_distinct("s._bounds").alias("_bounds"))
+    below = F.size(F.filter("_bounds", lambda q: q < F.col(value)))
+    at = F.array_contains("_bounds", F.col(value))
+    place = F.when(F.col("_n") <= rows, 0).otherwise(2 * below + at.cast("int"))
+    tie = F.when((F.col("_n") > rows) & at, F.floor(F.col(pos) / F.lit(rows))).otherwise(0)
+    return out.withColumns({"_place": place, "_tie": tie}).drop("_n", "_bounds")
+
+
 def position_in_group(
     df: DataFrame, group: Sequence[str], pos: str = "pos", rows: int = BUCKET_ROWS, out: str = "rank"
 ) -> DataFrame:
@@ -220,8 +243,10 @@ def tiered_budget(
     """
     wanted = df.where(needed)
     keys = [*group, tier]
-    buckets = {f"_{p}": F.col(p) for p in priority} | position_bucket(pos, rows)
-    ranked = running(wanted, keys, buckets, [*priority, pos], {"budget_rank": F.lit(1)})
+    *lead, last = priority
+    placed = quantile_buckets(wanted, [*keys, *lead], last, pos, rows)
+    buckets = {f"_{p}": F.col(p) for p in lead} | {"_at": F.col("_place"), "_bucket": F.col("_tie")}
+    ranked = running(placed, keys, buckets, [*priority, pos], {"budget_rank": F.lit(1)}).drop("_place", "_tie")
     sizes = wanted.groupBy(*keys).agg(F.count(F.lit(1)).alias("tier_needed"))
     on = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
     out = ranked.alias("r").join(sizes.alias("s"), on, "inner").select("r.*", "s.tier_needed")
@@ -318,19 +343,15 @@ def breach_positions(
         [pos],
         {"_fails": F.col("_fail"), "_oks": F.col("_ok")},
     )
-    # Failures in a row = failures so far minus failures before this island.
+    # Failures in a row = failures so far minus failures before this island, so
+    # the breaching row of an island is known by its number: a unique key.
     start = (
         seq.where(F.col("_fail") == 1)
         .groupBy(*group, "_oks")
-        .agg(F.min("_fails").alias("_first"))
-    )
-    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*group, "_oks")]
-    reached = (
-        seq.where(F.col("_fail") == 1)
-        .alias("a")
-        .join(start.alias("b"), on, "inner")
-        .where(F.col("a._fails") - F.col("b._first") + 1 == limit)
+        .agg((F.min("_fails") + F.lit(limit - 1)).alias("_fails"))
     )
+    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*group, "_oks", "_fails")]
+    reached = seq.where(F.col("_fail") == 1).alias("a").join(start.alias("b"), on, "inner")
     cols = [F.col(f"a.{g}").alias(g) for g in group]
     return reached.groupBy(*cols).agg(F.min(F.col(f"a.{pos}")).alias("breach_pos"))
 

@@ -139,3 +139,21 @@ def test_metrics_match_statistics(spark):
         assert r.median_chars == int(statistics.median(n))
         assert r.p10_chars == n[round(0.1 * (len(n) - 1))]
         assert r.empty_count == n.count(0)
+
+
+def test_budget_of_one_large_group(spark):
+    """A tier of very many lengths falls into few buckets and ranks exactly."""
+    rows = spark.range(100_000).select(
+        F.lit("r").alias("run_date"),
+        F.lit("active").alias("tier"),
+        F.lit(2).alias("p0"),
+        F.lit(1).alias("p1"),
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.pmod(F.xxhash64("id"), F.lit(10**9))).alias("p2"),
+        F.col("id").alias("pos"),
+    )
+    placed = R.quantile_buckets(rows, ["run_date", "tier", "p0", "p1"], "p2", rows=1_000)
+    sizes = [r["count"] for r in placed.groupBy("_place", "_tie").count().collect()]
+    assert len(sizes) <= 128 + 100 and max(sizes) <= 4_000
+    out = R.tiered_budget(rows, F.lit(True), {"active": 10}, "skipped", rows=1_000).toPandas()
+    want = out.sort_values(["p0", "p1", "p2", "pos"])["budget_rank"].tolist()
+    assert want == list(range(1, 100_001)) and out["allowed"].sum() == 10
