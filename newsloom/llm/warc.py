@@ -35,7 +35,7 @@ REVISIT_BYTES = 1_000
 SHARD_BYTES = 4 << 20
 FILE_BYTES = 16 << 20
 # Ids sampled for the range boundaries, and shards at most.
-SAMPLE, SHARDS = 16_384, 8_192
+SAMPLE, SHARDS = 8_192, 4_096
 DATE = "2024-01-01T00:00:00Z"
 
 # Names of the WARC standard.
@@ -43,11 +43,17 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMESPACE = uuid.NAMESPACE_URL
 
 
-def boundaries(pages: DataFrame, shards: int) -> list[int]:
-    """Page ids that start shards 1, 2, ...: quantiles of a fixed sample."""
+def boundaries(pages: DataFrame, shards: int, rows: int) -> list[int]:
+    """Page ids that start shards 1, 2, ...: quantiles of a fixed sample.
+
+    The sample is the ids with the lowest hashes. Of a large table only a share
+    with about four times as many competes, so tasks send few ids to the driver.
+    """
     if shards <= 1:
         return []
-    ids = pages.where(F.col("page_id").isNotNull()).select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE)
+    h = F.xxhash64("page_id")
+    share = max(1, rows // (4 * SAMPLE))
+    ids = pages.where(F.col("page_id").isNotNull() & (F.pmod(h, F.lit(share)) == 0)).select("page_id").orderBy(h, "page_id").limit(SAMPLE)
     held = sorted(r[0] for r in ids.collect())
     return sorted({held[len(held) * k // shards] for k in range(1, shards)}) if held else []
 
@@ -175,8 +181,9 @@ def write_archives(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), "url", "html").withColumn("digest", F.sha1(html))
     slim = rows.select("page_id", "digest", F.octet_length(html).alias("size"))
-    total = slim.agg(F.sum("size")).first()[0] or 0
-    starts = np.array(boundaries(rows, min(SHARDS, -(-total // shard_bytes))), dtype=np.int64)
+    sums = slim.agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
+    shards = min(SHARDS, -(-(sums["bytes"] or 0) // shard_bytes))
+    starts = np.array(boundaries(rows, shards, sums["rows"]), dtype=np.int64)
 
     @F.pandas_udf("int")
     def shard(page_id):
