@@ -138,19 +138,27 @@ def fixed(value: Column, digits: int = 1) -> Column:
 
     Ties, which only exact halves are, go to the even digit.
     """
-    unit, size = 2**49, 10**digits
+    unit, size = 2**62, 10**digits
     x = value.cast("double")
     whole = F.floor(F.abs(x))
-    scaled = (F.abs(x) - whole) * F.lit(float(unit))
-    part = F.floor(scaled).cast("long") * F.lit(size)
-    low, rest = F.shiftright(part, 49), part.bitwiseAND(F.lit(unit - 1))
-    beyond = (rest > unit // 2) | ((rest == unit // 2) & ((scaled != F.floor(scaled)) | (low % 2 == 1)))
-    total = whole.cast("long") * F.lit(size) + low + beyond.cast("long")
+    # The fraction as whole parts of 2^-62, in exact arithmetic from there on.
+    parts = ((F.abs(x) - whole) * F.lit(float(unit))).cast("long").cast("decimal(19,0)") * F.lit(size).cast("decimal(6,0)")
+    one = F.lit(unit).cast("decimal(19,0)")
+    rest = parts % one
+    low = ((parts - rest) / one).cast("long")
+    half = F.lit(unit // 2).cast("decimal(19,0)")
+    up = (rest > half) | ((rest == half) & (low % 2 == 1))
+    total = whole.cast("long") * F.lit(size) + low + up.cast("long")
     sign = F.when(x < 0, "-").otherwise("")
     tail = F.lpad((total % size).cast("string"), digits, "0")
     return F.concat(sign, F.floor(total / F.lit(size)).cast("string"), F.lit("."), tail)
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """The number itself rounded like ``fixed``."""
+    return fixed(value, digits).cast("double")
+
+
 def price_text(price: Column, symbol: Column) -> Column:
     """Quote as shown: large ones whole, indexes without currency."""
     return (

@@ -569,9 +569,3 @@ def audit_artifacts(
     for p in parts:
         out = p.select(*cols) if out is None else out.unionByName(p.select(*cols))
     return out
-
-
-# ---- weekly units -------------------------------------------------------
-
-# Kinds of a weekly unit.
-UNIT_KINDS = ["correction", "theme", "context", "application"]

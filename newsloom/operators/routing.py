@@ -11,59 +11,19 @@ from newsloom.functions.bands import fixed
 from newsloom.functions.text import sanitize
 from newsloom.operators.metrics import text_pack
 
-# Desks with label, categories, transcript channels, tags and
-# how many items they normally, at most and at least put out.
-DESKS = {
-    "geopolitics_events": (
-        "Geopolitics & World News",
-        ["non-western", "western-analysis", "global-south", "maritime", "dprk-taiwan"],
-        ["Beau of the Fifth Column", "Perun"],
-        ["war", "domestic", "econ"],
-        (6, 10, 3),
-    ),
-    "perspective": (
-        "Perspective & Framing",
-        ["substack-independent", "perspective-diversity"],
-        [],
-        ["domestic"],
-        (3, 5, 0),
-    ),
-    "defense_space": ("Defense & Space", ["defense-mil", "arms-control"], ["Perun"], ["defense", "space"], (3, 6, 1)),
-    "ai_tech": (
-        "AI & Technology",
-        ["ai-tech", "cyber", "ai-governance"],
-        ["Theo - t3.gg", "Folding Ideas"],
-        ["ai", "tech", "cyber"],
-        (3, 6, 1),
-    ),
-    "energy_materials": (
-        "Energy & Materials",
-        ["energy-materials", "european-energy"],
-        [],
-        ["energy", "econ"],
-        (2, 4, 1),
-    ),
-    "culture_structural": (
-        "Culture & Structural Shifts",
-        ["culture-structural"],
-        ["Folding Ideas"],
-        ["domestic", "science"],
-        (2, 3, 0),
-    ),
-    "science_biotech": ("Science & Biotech", ["science-biotech"], [], ["biotech", "science"], (2, 4, 1)),
-    "econ": ("Economics & Trade", ["econ-trade"], [], ["econ"], (2, 4, 1)),
-}
+# Older names of desks.
 DESK_ALIASES = {"geopolitics": "geopolitics_events"}
 
 DESK_DDL = "desk string, desk_pos int, categories array<string>, channels array<string>"
 
 
 def resolve_desks(
-    manifest: Sequence[Mapping] | None = None, desks: Mapping[str, tuple] = DESKS
+    desks: Mapping[str, Mapping[str, Sequence[str]]], manifest: Sequence[Mapping] | None = None
 ) -> list[tuple[str, int, list[str], list[str]]]:
     """Desks in use: the manifest's, with its categories where it names some.
 
-    Unknown names are left out; without any known one all desks are in use.
+    ``desks`` gives ``categories`` and ``channels`` by name. Unknown names of the
+    manifest are left out; without any known one all desks are in use.
     """
     chosen: dict[str, tuple[list[str], list[str]]] = {}
     for entry in manifest or []:
@@ -72,14 +32,16 @@ def resolve_desks(
         name = DESK_ALIASES.get(entry.get("name"), entry.get("name"))
         if name in desks:
             own = entry.get("categories")
-            chosen[name] = (list(desks[name][1] if own is None else own), list(desks[name][2]))
+            chosen[name] = (list(desks[name]["categories"] if own is None else own), list(desks[name].get("channels", [])))
     if not chosen:
-        chosen = {name: (list(d[1]), list(d[2])) for name, d in desks.items()}
+        chosen = {name: (list(d["categories"]), list(d.get("channels", []))) for name, d in desks.items()}
     return [(name, i, cats, channels) for i, (name, (cats, channels)) in enumerate(chosen.items())]
 
 
-def desk_table(spark: SparkSession, manifest: Sequence[Mapping] | None = None) -> DataFrame:
-    return spark.createDataFrame(resolve_desks(manifest), DESK_DDL)
+def desk_table(
+    spark: SparkSession, desks: Mapping[str, Mapping[str, Sequence[str]]], manifest: Sequence[Mapping] | None = None
+) -> DataFrame:
+    return spark.createDataFrame(resolve_desks(desks, manifest), DESK_DDL)
 
 
 def route_items(items: DataFrame, desks: DataFrame) -> DataFrame:
@@ -90,13 +52,13 @@ def route_items(items: DataFrame, desks: DataFrame) -> DataFrame:
     """
     wanted = desks.select("desk", "desk_pos", F.explode("categories").alias("category"))
     usable = items.where(~F.col("analysis_mode").eqNullSafe("headline_radar"))
-    return usable.join(F.broadcast(wanted), "category", "inner")
+    return usable.join(wanted, "category", "inner")
 
 
 def route_transcripts(transcripts: DataFrame, desks: DataFrame) -> DataFrame:
     """Transcripts per desk by channel; a channel may feed several desks."""
     wanted = desks.select("desk", "desk_pos", F.explode("channels").alias("channel"))
-    return transcripts.join(F.broadcast(wanted), "channel", "inner")
+    return transcripts.join(wanted, "channel", "inner")
 
 
 def unrouted_categories(items: DataFrame, desks: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions.bands import rounded
 from newsloom.functions.text import sanitize, sanitize_title
 from newsloom.operators.joins import key_counts
 from newsloom.operators.ranking import circuit_breaker
@@ -100,7 +101,7 @@ def source_diagnostics(sources: DataFrame) -> DataFrame:
         "source",
         status.alias("status"),
         F.when(~F.col("failed"), F.col("item_count")).alias("item_count"),
-        F.bround("elapsed_seconds", 2).alias("elapsed_seconds"),
+        rounded(F.col("elapsed_seconds"), 2).alias("elapsed_seconds"),
     )
 
 

@@ -217,7 +217,7 @@ def test_bands(spark):
 def test_fixed_decimals(spark):
     from newsloom.functions.bands import fixed
 
-    rows = [(x,) for x in (0.25, 2.25, 0.35, 0.15, 12.0, -0.75, -0.04, 99.96, 0.0, 1e9 + 0.25, 7.00005, 0.00015, 1 / 3)]
+    rows = [(x,) for x in (0.25, 2.25, 0.35, 0.15, 12.0, -0.75, -0.04, 99.96, 0.0, 1e9 + 0.25, 7.00005, 0.00015, 1 / 3, -5.45, -7.95, 0.545, 0.125, 3.0625, 1e-7)]
     got = spark.createDataFrame(rows, "x double").select("x", *[fixed(F.col("x"), d) for d in (1, 2, 3, 4)]).collect()
     for x, *texts in got:
         assert texts == [f"{x:.{d}f}" for d in (1, 2, 3, 4)], x

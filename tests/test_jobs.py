@@ -304,10 +304,17 @@ def test_seam_ids_unchecked_without_desk_items(spark):
     }
 
 
+DESKS = {
+    "geopolitics_events": {"categories": ["non-western", "maritime"], "channels": ["Perun"]},
+    "perspective": {"categories": ["perspective-diversity"]},
+    "econ": {"categories": ["econ-trade"], "channels": []},
+}
+
+
 def test_desk_manifest():
-    desks = D.resolve_desks([{"name": "geopolitics", "categories": ["x"]}, {"name": "nope"}, {"name": "econ"}, 5])
+    desks = D.resolve_desks(DESKS, [{"name": "geopolitics", "categories": ["x"]}, {"name": "nope"}, {"name": "econ"}, 5])
     assert [(d[0], d[2]) for d in desks] == [("geopolitics_events", ["x"]), ("econ", ["econ-trade"])]
-    assert len(D.resolve_desks([])) == 8 and len(D.resolve_desks([{"name": "nope"}])) == 8
+    assert len(D.resolve_desks(DESKS)) == 3 and len(D.resolve_desks(DESKS, [{"name": "nope"}])) == 3
 
 
 def test_weather_day_limit_and_mirror(spark):
