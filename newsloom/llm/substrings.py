@@ -9,9 +9,12 @@ automaton per anchor; each run is streamed through it, and its matching
 statistics tell which windows another run holds too. Words are compared, so
 hashes only decide who meets whom.
 
-Equal runs meet as one row with a count, so copies never pile up in a task. An
-anchor with more than ``WIDE`` different runs is split by whole windows instead,
-which are counted; no run is left out. The corpus is its own reference, without
+Equal runs meet as one row with a count, so copies never pile up in a task.
+Where the different runs of an anchor are too many words for an automaton
+(``AUTOMATON`` bytes), the task counts their windows instead. Beyond ``CROWD``
+bytes they are dealt out: runs fall into parts by a second anchor, parts that
+occur once cannot repeat, and the windows of the others are counted by a
+shuffle. All three ways give the same result, and no run is left out. The corpus is its own reference, without
 a size bound, so shards travel by shuffle and not by broadcast.
 
 Null texts count as empty and keep nothing. Rows that repeat a document count
@@ -28,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.arrays import Words, covered, keyed, on_row, slices
+from newsloom.llm.arrays import SpanHasher, Words, covered, keyed, mix, on_row, slices
 from newsloom.llm.store import written
 
 WINDOW = 35
 GRAM = 8
-# Different runs that one automaton takes.
-WIDE = 256
+# Bytes of an anchor's runs that one automaton takes, and that one task takes.
+AUTOMATON, CROWD = 128 << 10, 32 << 20
+# Seed of the second anchor and of second hashes.
+SECOND = 0x5851F42D4C957F2D
 
 
 class Runs:
@@ -44,9 +49,9 @@ class Runs:
     with more than one, windows of the run itself can be equal.
     """
 
-    def __init__(self, words: Words, window: int):
+    def __init__(self, words: Words, window: int, seed: int = 0):
         k = min(GRAM, window)
-        grams, reach = words.grams(k), window - k + 1
+        grams, reach = mix(words.grams(k) ^ np.uint64(seed)), window - k + 1
         whole = np.flatnonzero(words.inside(window))
         if not len(whole):
             self.doc = self.start = self.windows = self.places = np.zeros(0, dtype=np.int64)
@@ -244,20 +249,42 @@ def _suspects(window: int, content: bool):
     return run
 
 
+def by_automaton(group: list[tuple[bytes, int, bytes]], window: int) -> Iterator[tuple[bytes, list[int]]]:
+    """Starts of the repeated windows of each run (key, count, words)."""
+    texts = [words.split(b" ") for _, _, words in group]
+    automaton = None
+    if any(n == 1 for _, n, _ in group):
+        automaton = SuffixAutomaton()
+        for (_, n, _), t in zip(group, texts, strict=True):
+            automaton.add(t, n)
+        automaton.close()
+    for (key, n, _), t in zip(group, texts, strict=True):
+        # All windows of a run that occurs twice do so too.
+        yield key, list(range(len(t) - window + 1)) if n > 1 else automaton.repeated(t, window)
+
+
+def by_count(group: list[tuple[bytes, int, bytes]], window: int) -> Iterator[tuple[bytes, list[int]]]:
+    """The same by counting 128-bit hashes of windows."""
+    offsets = np.cumsum([0, *(len(words) for _, _, words in group)])
+    w = Words(np.frombuffer(b"".join(words for _, _, words in group), dtype=np.uint8), offsets)
+    at = np.flatnonzero(w.inside(window))
+    a, b = w.grams(window)[at], SpanHasher(mix(w.hashes ^ np.uint64(SECOND)))(at, at + window)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    name = np.cumsum(np.append(False, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    times = np.array([n for _, n, _ in group])[w.doc[at[order]]]
+    hit = np.sort(at[order][(np.bincount(name, weights=times) >= 2)[name]])
+    ends = np.searchsorted(hit, w.first)
+    for i, (key, _, _) in enumerate(group):
+        yield key, (hit[ends[i] : ends[i + 1]] - w.first[i]).tolist()
+
+
 def _match(window: int):
     """Repeated windows per run; rows come sorted by anchor."""
 
     def verdicts(group: list[tuple[bytes, int, bytes]]) -> Iterator[tuple[bytes, list[int]]]:
-        texts = [words.split(b" ") for _, _, words in group]
-        automaton = None
-        if any(n == 1 for _, n, _ in group):
-            automaton = SuffixAutomaton()
-            for (_, n, _), t in zip(group, texts, strict=True):
-                automaton.add(t, n)
-            automaton.close()
-        for (key, n, _), t in zip(group, texts, strict=True):
-            # All windows of a run that occurs twice do so too.
-            starts = list(range(len(t) - window + 1)) if n > 1 else automaton.repeated(t, window)
+        way = by_automaton if sum(len(words) for _, _, words in group) <= AUTOMATON else by_count
+        for key, starts in way(group, window):
             if starts:
                 yield key, _spans(starts)
 
@@ -292,47 +319,75 @@ def _match(window: int):
     return run
 
 
+def _parts(window: int):
+    """Parts of runs by a second anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, _, data, offsets in slices(batch.column("words")):
+                parts = Runs(Words(data, offsets), window, SECOND)
+                row = pa.array(parts.doc + a)
+                n = batch.column("n").take(row).to_numpy() * parts.places
+                columns = [batch.column(c).take(row) for c in ("anchor", "run")]
+                columns += [pa.array(v) for v in (n, parts.anchor, parts.start, parts.windows)]
+                yield pa.RecordBatch.from_arrays(columns, ["anchor", "run", "n", "second", "start", "windows"])
+
+    return run
+
+
 def _windows(window: int):
+    """Distinct windows in the given parts of runs, with their places."""
+
+    def flush(rows: list) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.binary()]
+        columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays(columns, ["anchor", "run", "n", "at", "window"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for anchor, key, n, text in zip(*(batch.column(c).to_pylist() for c in ("anchor", "run", "n", "words")), strict=True):
-                words = text.split(b" ")
-                for i in range(len(words) - window + 1):
-                    rows.append((anchor, key, n, i, hashlib.md5(b" ".join(words[i : i + window])).digest()))
+            for anchor, key, n, text, parts in zip(*(batch.column(c).to_pylist() for c in ("anchor", "run", "n", "words", "parts")), strict=True):
+                words, found = text.split(b" "), {}
+                for part in parts:
+                    for i in range(part["start"], part["start"] + part["windows"]):
+                        found.setdefault(hashlib.md5(b" ".join(words[i : i + window])).digest(), []).append(i)
+                rows += [(anchor, key, n * len(at), at, digest) for digest, at in found.items()]
                 if len(rows) > 20_000:
-                    yield _window_batch(rows)
+                    yield flush(rows)
                     rows = []
-            yield _window_batch(rows)
+            yield flush(rows)
 
     return run
 
 
-def _window_batch(rows: list) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
-    columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-    return pa.RecordBatch.from_arrays(columns, ["anchor", "run", "n", "at", "window"])
-
-
 def repeated_windows(runs: DataFrame, window: int) -> DataFrame:
     """(anchor, run, spans): windows of each run that occur elsewhere too.
 
     ``runs`` has one row per (anchor, run) with its words and its count ``n``.
     """
-    wide = runs.groupBy("anchor").count().where(F.col("count") > WIDE).select("anchor")
+    wide = runs.groupBy("anchor").agg(F.sum(F.octet_length("words")).alias("bytes")).where(F.col("bytes") > CROWD).select("anchor")
     narrow = (
         runs.join(wide, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor", "run")
     )
     matched = narrow.mapInArrow(_match(window), "anchor long, run binary, spans array<int>")
-    # Dealt by run, so that the many runs of one anchor spread over the tasks.
-    single = runs.join(wide, "anchor", "left_semi").repartition("run").mapInArrow(
-        _windows(window), "anchor long, run binary, n long, at int, window binary"
+    crowded = runs.join(wide, "anchor", "left_semi")
+    parts = crowded.select("anchor", "run", "n", "words").mapInArrow(
+        _parts(window), "anchor long, run binary, n long, second long, start long, windows long"
+    )
+    twice = parts.groupBy("anchor", "second").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", "second")
+    suspect = (
+        parts.join(twice, ["anchor", "second"], "left_semi")
+        .groupBy("anchor", "run")
+        .agg(F.collect_list(F.struct("start", "windows")).alias("parts"))
+    )
+    single = crowded.join(suspect, ["anchor", "run"]).select("anchor", "run", "n", "words", "parts").mapInArrow(
+        _windows(window), "anchor long, run binary, n long, at array<int>, window binary"
     )
     often = single.groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select("window")
     counted = (
         single.join(often, "window", "left_semi")
         .groupBy("anchor", "run")
-        .agg(F.flatten(F.transform(F.sort_array(F.collect_set("at")), lambda i: F.array(i, i + 1))).alias("spans"))
+        .agg(F.flatten(F.transform(F.array_sort(F.flatten(F.collect_list("at"))), lambda i: F.array(i, i + 1))).alias("spans"))
     )
     return matched.unionByName(counted)
 

@@ -45,15 +45,27 @@ def test_substrings(docs, window):
     assert digests == Counter({(i, sha(t)): n for (i, _, _, t), n in got.items()})
 
 
-def test_substrings_of_crowded_anchors(docs, monkeypatch):
+@pytest.mark.parametrize("name", ["CROWD", "AUTOMATON"])
+def test_substrings_of_crowded_anchors(docs, monkeypatch, name):
     from newsloom.llm import substrings
 
-    monkeypatch.setattr(substrings, "WIDE", 1)
+    monkeypatch.setattr(substrings, name, 1)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     got = rows_of(substrings.remove_repeats(docs, 20), "doc_id", "n_words", "n_removed", "kept")
     assert got == expected_windows(rows, 20)
 
 
+def test_counts_agree_with_the_automaton():
+    import random
+
+    from newsloom.llm.substrings import by_automaton, by_count
+
+    rng = random.Random(4)
+    for size in (2, 3, 5):
+        group = [(bytes([i]), rng.choice([1, 1, 2]), b" ".join(rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(size, 20)))) for i in range(12)]
+        assert list(by_automaton(group, size)) == list(by_count(group, size))
+
+
 def test_automaton_counts_occurrences():
     from newsloom.llm.substrings import SuffixAutomaton
 
