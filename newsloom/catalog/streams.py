@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsloom.catalog.registry import query, table
+from newsloom.catalog.registry import SQL, query, table
 from newsloom.streaming import jobs as S
 
 
@@ -53,6 +53,13 @@ def _cooldown(spark, d):
     return S.run_append(S.cooldown_stream(_attempts(_events(spark, d))), "cooldown")
 
 
+@query("cooldown_replay", SQL["stream_cooldown"])
+def _cooldown_replay(spark, d):
+    # Every attempt of every feed; cooldown_run below is one step of it from a carried state.
+    events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return S.cooldown_replay(_attempts(events))
+
+
 @query(
     "cooldown_run",
     """WITH a AS (SELECT 'feed' || user_id AS feed_key, event_id AS attempt, CAST(date_part('day', ts) AS INTEGER) AS day, CAST(floor(epoch_us(ts) / 1000000) AS DOUBLE) AS at_s,

@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -152,6 +153,36 @@ def cooldown_stream(attempts: DataFrame, too_many: int = TOO_MANY_SECONDS, gone:
     )
 
 
+def cooldown_replay(attempts: DataFrame, too_many: int = TOO_MANY_SECONDS, gone: int = GONE_SECONDS) -> DataFrame:
+    """Decide the whole history of every feed at once, as ``cooldown_stream`` does.
+
+    A task reads its feeds sorted by time and holds one state, so a feed of any
+    length needs no memory; its attempts depend on each other and stay in one
+    task. An attempt without a time is never skipped and opens no cooldown.
+    """
+    names = ["feed_key", "attempt", "at", "status_code", "has_content"]
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, until = None, 0.0
+        for batch in batches:
+            feeds, numbers, times, codes, contents = (batch.column(c).to_pylist() for c in names)
+            outcomes, ends = [], []
+            for feed, at, status, ok in zip(feeds, times, codes, contents, strict=True):
+                if feed != now:
+                    now, until = feed, 0.0
+                if at is not None and until > at:
+                    outcomes.append("skipped_cooldown")
+                else:
+                    until = 0.0 if at is None else _after(at, status, bool(ok), too_many, gone)
+                    outcomes.append("ok" if ok else "http_error")
+                ends.append(until)
+            columns = [pa.array(feeds, pa.string()), pa.array(numbers, pa.int64()), pa.array(outcomes, pa.string()), pa.array(ends, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, [f.name for f in DECISION])
+
+    dealt = attempts.select(*names).repartition("feed_key")
+    return dealt.sortWithinPartitions("feed_key", F.asc_nulls_last("at"), "attempt").mapInArrow(decide, DECISION)
+
+
 STATE_DDL = "feed_key string, cooldown_until double, last_checked double, last_status int, last_error string, last_success double"
 
 

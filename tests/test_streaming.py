@@ -87,3 +87,37 @@ def test_cache_sink_keeps_newest(spark, tmp_path):
     rows = land(spark, str(tmp_path), batches).select("url", F.col("source").alias("status"), F.col("ts").alias("fetched_at"))
     got = {r.url: r.status for r in S.run_cache_sink(rows, "sink").collect()}
     assert got == {"u1": "new", "u2": "x"}
+
+
+def test_cooldown_replay_decides_every_attempt(spark):
+    h = 3600.0
+    rows = [
+        ("f", 0, 0.0, 429, False),
+        ("f", 1, 5 * h, 200, True),
+        ("f", 2, 6 * h, 404, False),
+        ("f", 3, 29 * h, 200, True),
+        ("f", 4, 30 * h, 500, False),
+        ("f", 5, 31 * h, 200, True),
+        ("g", 6, 1 * h, 200, True),
+        ("g", 7, 1 * h, None, None),  # no answer: no cooldown
+        ("g", 8, None, 404, False),
+    ]
+    ddl = "feed_key string, attempt bigint, at double, status_code int, has_content boolean"
+    attempts = spark.createDataFrame(rows[::-1], ddl)
+    with_batches = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        got = [tuple(r) for r in S.cooldown_replay(attempts).orderBy("attempt").collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", with_batches)
+    assert got == [
+        ("f", 0, "http_error", 6 * h),
+        ("f", 1, "skipped_cooldown", 6 * h),
+        ("f", 2, "http_error", 30 * h),
+        ("f", 3, "skipped_cooldown", 30 * h),
+        ("f", 4, "http_error", 0.0),
+        ("f", 5, "ok", 0.0),
+        ("g", 6, "ok", 0.0),
+        ("g", 7, "http_error", 0.0),
+        ("g", 8, "http_error", 0.0),
+    ]
