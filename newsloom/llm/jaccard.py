@@ -3,10 +3,12 @@
 Documents are sets of 5-word shingles. A set is embedded as minhash tokens, and
 each run splits the sets on sampled tokens: sets that share the run's first
 ``FIRST`` tokens form a bucket, and a bucket that is too large is split again on
-two further tokens, drawn by a hash of its path. Buckets that are small enough
-are compared by brute force on the full shingle sets, so every reported link is
-exact. Runs repeat until a pair at the threshold is missed with a probability
-below ``1 - RECALL``.
+two further tokens. Those are minhashes of functions seeded by the bucket's path,
+so no two splits share a token and their misses are independent. Buckets that are
+small enough are compared by brute force on the full shingle sets, so every
+reported link is exact. Runs repeat until a pair at the threshold is missed with
+a probability below ``1 - RECALL``, even if all its buckets are split ``DEPTH``
+times.
 
 Equal sets are joined first and count as one with a weight. A pair that meets in
 several buckets is counted in the lowest of them, which both sides know from
@@ -38,11 +40,21 @@ SHINGLE = 5
 SIMILAR = (4, 5)
 FIRST = 2
 RECALL = 0.99999
-RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - (SIMILAR[0] / SIMILAR[1]) ** FIRST))
-DEEPER = 8
-TOKENS = RUNS * FIRST + DEEPER
-# Sets of a bucket beyond which it is split, and split how often at most.
-BUCKET, DEPTH = 16_384, 4
+# Sets of a bucket beyond which it is split, split how often at most, and on how many tokens.
+BUCKET, DEPTH, WAYS = 16_384, 4, 2
+
+
+def meeting(depth: int) -> float:
+    """Probability that a pair at the threshold shares a bucket of a run after ``depth`` splits."""
+    same = SIMILAR[0] / SIMILAR[1]
+    stay = 1.0
+    for _ in range(depth):
+        stay = 1 - (1 - same * stay) ** WAYS
+    return same**FIRST * stay
+
+
+RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - meeting(DEPTH)))
+TOKENS = RUNS * FIRST
 # Sets that are compared with as many others at once.
 TILE = 512
 
@@ -138,34 +150,44 @@ def _start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Paths that go on by each of two tokens chosen by a hash of the path."""
+    """Paths of a set that go on by tokens of their own."""
+    ways = np.arange(1, WAYS + 1, dtype=np.uint64)
     for batch in batches:
-        t = _table(batch.column("tokens"))
-        path = batch.column("path").to_numpy().astype(np.uint64)
-        draw = mix(path)
-        one = (draw % np.uint64(DEEPER)).astype(np.int64)
-        two = (one + 1 + ((draw >> np.uint64(32)) % np.uint64(DEEPER - 1)).astype(np.int64)) % DEEPER
-        rows = np.arange(len(t))
-        ways = [_fold(path + np.uint64(i + 1), t[rows, RUNS * FIRST + c]) for i, c in enumerate((one, two))]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(ways).astype(np.int64)), pa.concat_arrays([batch.column("name")] * 2)], ["path", "name"]
-        )
+        names, paths = batch.column("name"), batch.column("paths").to_pylist()
+        for a, b, data, offsets in slices(batch.column("text")):
+            sets = ShingleSets(data, offsets)
+            new = []
+            for i in range(b - a):
+                keys = sets.key[sets.first[i] : sets.first[i + 1]]
+                path = np.array(paths[a + i], dtype=np.int64).astype(np.uint64)
+                seeds = mix(path[:, None] ^ mix(ways)).ravel()
+                tokens = np.array([mix(keys ^ seed).min() >> np.uint64(32) for seed in seeds], dtype=np.uint64)
+                new.append(_fold((path[:, None] + ways).ravel(), tokens).astype(np.int64))
+            rows = np.repeat(np.arange(a, b), [len(x) for x in new])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(new)), names.take(pa.array(rows))], ["path", "name"]
+            )
+
 
+def buckets(sets: DataFrame, rows: DataFrame, limit: int = BUCKET) -> DataFrame:
+    """(path, name, size): members of every bucket of two sets or more.
 
-def buckets(sets: DataFrame, limit: int = BUCKET) -> DataFrame:
-    """(path, name, size): members of every bucket of two sets or more."""
-    rows = sets.select("tokens", "name").mapInArrow(_start, "path long, name binary")
+    ``rows`` are the documents, read again for the sets of crowded buckets.
+    """
+    paths = sets.select("tokens", "name").mapInArrow(_start, "path long, name binary")
     out = None
     for depth in range(DEPTH + 1):
-        sizes = written(rows.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "jaccard-sizes")
+        sizes = written(paths.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "jaccard-sizes")
         small = sizes if depth == DEPTH else sizes.where(F.col("size") <= limit)
-        part = rows.join(small, "path")
+        part = paths.join(small, "path")
         out = part if out is None else out.unionByName(part)
         large = sizes.where(F.col("size") > limit)
         if depth == DEPTH or large.isEmpty():
             break
-        crowded = rows.join(large, "path", "left_semi").join(sets.select("name", "tokens"), "name")
-        rows = written(crowded.select("path", "tokens", "name").mapInArrow(_split, "path long, name binary").distinct(), "jaccard-paths")
+        crowded = paths.join(large, "path", "left_semi").groupBy("name").agg(F.collect_list("path").alias("paths"))
+        crowded = crowded.join(sets.select("name", "sample"), "name").select("sample.doc_id", "sample._row", "name", "paths")
+        texts = on_row(rows, crowded, "inner").select("text", "name", "paths")
+        paths = written(texts.mapInArrow(_split, "path long, name binary").distinct(), "jaccard-paths")
     return written(out.select("path", "name", "size"), "jaccard-buckets")
 
 
@@ -359,7 +381,7 @@ def near_duplicates(docs: DataFrame, limit: int = BUCKET) -> DataFrame:
         ),
         "jaccard-sets",
     )
-    asked = useful(buckets(sets, limit)).join(sets.select("name", "weight", "sample"), "name")
+    asked = useful(buckets(sets, rows, limit)).join(sets.select("name", "weight", "sample"), "name")
     asked = written(asked.select(F.col("sample.doc_id"), F.col("sample._row"), "name", "weight", "paths", "leaves"), "jaccard-asked")
     # One row of each sampled document; rows that repeat it are dropped in the tile.
     texts = on_row(rows, asked, "inner").select("text", "name", "weight", "paths", "leaves")

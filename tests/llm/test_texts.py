@@ -1,6 +1,7 @@
 """Operators on whole texts against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -119,6 +120,20 @@ def test_near_duplicates(docs, limit):
     assert set(leads.values()) == {1} or limit
 
 
+def test_split_buckets_lose_no_pair(spark):
+    from newsloom.llm import jaccard
+
+    # One word in the middle of 49 differs: 40 of 50 shingles are shared, the threshold.
+    n, rng = 3_000, random.Random(5)
+    rows = []
+    for i in range(n):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(49)]
+        rows.append((2 * i, " ".join(words)))
+        rows.append((2 * i + 1, " ".join([*words[:24], "x", *words[25:]])))
+    found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), limit=1)
+    assert found.where("n_links = 1").count() == 2 * n
+
+
 def test_tiles(docs, monkeypatch):
     from newsloom.llm import jaccard
 
