@@ -11,6 +11,7 @@ from newsloom.functions import bands as B
 from newsloom.functions import dates as T
 from newsloom.functions import text as X
 from newsloom.operators import routing as D
+from newsloom.operators.ranking import position_bucket, running
 from newsloom.operators.validation import validate_urls
 from newsloom.plans import collect as C
 from newsloom.plans.health import feed_checks, new_feed_errors
@@ -19,6 +20,19 @@ from newsloom.sources import api as A
 from newsloom.sources import tables as S
 
 FIRST_DAY = "2024-01-01"
+# Rows of a landed document at most; a run of more has several.
+DOCUMENT_ROWS = 500
+
+
+def in_documents(rows, run, order, buckets=None):
+    """Rows with the document (run_date, part) of their position in the run.
+
+    ``buckets`` coarsen the leading part of ``order``, as in ``running``.
+    """
+    runs = rows.withColumn("run_date", F.col(run) if isinstance(run, str) else run)
+    placed = running(runs, ["run_date"], buckets or position_bucket(order[0]), order, {"_at": F.lit(1)})
+    return placed.withColumn("part", F.floor((F.col("_at") - 1) / DOCUMENT_ROWS).cast("int")).drop("_at")
+
 
 DESKS = {
     "world": {"categories": ["en", "fr"], "channels": ["src0", "src1"]},
@@ -195,8 +209,8 @@ def _air(spark, d):
         F.when(F.col("event_type") != "error", F.col("value").cast("int")).alias("AQI"),
     )
     rows = F.transform(F.array_sort(F.collect_list(F.struct("event_id", one.alias("x")))), lambda r: r["x"])
-    docs = table(spark, d, "events").groupBy(F.col("user_id").alias("run_date")).agg(F.to_json(rows).alias("payload"))
-    return A.air_forecast(docs)
+    placed = in_documents(table(spark, d, "events"), "user_id", ["event_id"])
+    return A.air_forecast(placed.groupBy("run_date", "part").agg(F.to_json(rows).alias("payload")))
 
 
 @query(
@@ -212,7 +226,7 @@ def _on_this_day(spark, d):
     def of(kind):
         return F.transform(F.array_sort(F.collect_list(F.when(kind, one))), lambda r: r["x"])
 
-    docs = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("run_date")).agg(
+    docs = in_documents(table(spark, d, "orders"), "o_custkey", ["o_orderkey"]).groupBy("run_date", "part").agg(
         F.to_json(F.struct(of(chosen).alias("selected"), of(~chosen).alias("events"))).alias("payload")
     )
     return A.on_this_day(docs, 3)[0]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from newsloom.catalog.desks import in_documents
 from newsloom.catalog.registry import query, table
 from newsloom.functions import bands as B
 from newsloom.functions import dates as T
@@ -259,7 +260,9 @@ def _quotes(spark, d):
 )
 def _stories(spark, d):
     o = table(spark, d, "orders")
-    ranks = o.groupBy(F.format_string("%d-%d", "o_custkey", period()).alias("run_date")).agg(
+    run, month = F.format_string("%d-%d", "o_custkey", period()), F.trunc("o_orderdate", "month")
+    placed = in_documents(o, run, ["o_orderdate", "o_orderkey"], {"_b_month": month})
+    ranks = placed.groupBy("run_date", "part").agg(
         F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey"))), lambda x: x["o_orderkey"])).alias("payload")
     )
     body = F.to_json(
@@ -293,7 +296,7 @@ def _launches(spark, d):
         ).alias("r"),
     )
     run = F.format_string("%d-%d", "o_custkey", period())
-    docs = o.groupBy(run.alias("run_date")).agg(
+    docs = in_documents(o, run, ["o_orderkey"]).groupBy("run_date", "part").agg(
         F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["r"]).alias("results"))).alias("payload")
     )
     now = F.lit("1998-01-01 00:00:00").cast("timestamp")
@@ -306,14 +309,14 @@ def _launches(spark, d):
     FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 2 = 0""",
 )
 def _economic(spark, d):
-    o = table(spark, d, "orders")
+    o = in_documents(table(spark, d, "orders"), "o_custkey", ["o_orderkey"])
     item = F.struct(
         F.when(F.col("o_orderkey") % 2 == 0, "us").otherwise("DE").alias("country"),
         F.when(F.col("o_orderstatus") == "F", "High").otherwise("low").alias("impact"),
         F.date_format("o_orderdate", "yyyy-MM-dd 08:30:00").alias("time"),
         F.format_string("Release %d", "o_orderkey").alias("event"),
     )
-    docs = o.groupBy(F.col("o_custkey").alias("run_date"), period()).agg(
+    docs = o.groupBy("run_date", "part").agg(
         F.to_json(F.struct(F.collect_list(item).alias("economicCalendar"))).alias("payload")
     )
     return A.economic_events(docs).select("run_date", "date", "time", "event", "impact")

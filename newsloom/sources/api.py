@@ -1,7 +1,9 @@
 """Rows out of landed JSON answers: weather, air, quotes, launches, stories.
 
 Every reader takes one document per row, with ``run_date`` and the JSON text in
-``payload``, so a whole history of answers is read in one pass.
+``payload``, so a whole history of answers is read in one pass. ``air_forecast``,
+``launches``, ``stories`` (ranks) and ``on_this_day`` also take a run in several
+documents, numbered by ``part``.
 """
 
 from __future__ import annotations
@@ -26,6 +28,11 @@ DAILY_DDL = (
 )
 
 
+def _in_parts(docs: DataFrame) -> DataFrame:
+    """Documents with their number inside the run, 0 where a run has one."""
+    return docs if "part" in docs.columns else docs.withColumn("part", F.lit(0))
+
+
 def forecast_periods(docs: DataFrame) -> DataFrame:
     """Half-day forecast periods in order."""
     doc = F.from_json("payload", PERIODS_DDL)
@@ -113,12 +120,13 @@ def air_by_day(hourly: DataFrame) -> DataFrame:
 
 def air_forecast(docs: DataFrame) -> DataFrame:
     """Forecast per day; a later entry for a day replaces an earlier one."""
-    rows = docs.select(
+    rows = _in_parts(docs).select(
         "run_date",
+        "part",
         F.posexplode(F.from_json("payload", "array<struct<DateForecast: string, AQI: int>>")).alias("pos", "x"),
-    ).select("run_date", "pos", F.substring("x.DateForecast", 1, 10).alias("date"), F.col("x.AQI").alias("aqi"))
+    ).select("run_date", "part", "pos", F.substring("x.DateForecast", 1, 10).alias("date"), F.col("x.AQI").alias("aqi"))
     last = rows.where(F.coalesce("date", F.lit("")) != "").groupBy("run_date", "date").agg(
-        F.max_by(F.struct("aqi"), "pos").alias("_x")
+        F.max_by(F.struct("aqi"), F.struct("part", "pos")).alias("_x")
     )
     aqi = F.col("_x.aqi")
     return last.select(
@@ -181,13 +189,14 @@ def launches(docs: DataFrame, now: Column, days: int = 10, first: list[str] | No
     """Launches up to a horizon; priority missions first, then by date."""
     blank = F.lit("")
     doc = F.from_json("payload", LAUNCH_DDL)
-    rows = docs.select("run_date", F.posexplode(doc["results"]).alias("pos", "r"))
+    rows = _in_parts(docs).select("run_date", "part", F.posexplode(doc["results"]).alias("pos", "r"))
     at = F.try_to_timestamp(F.col("r.net"))
     kind = F.lower(F.coalesce("r.mission.type", blank))
     pad, place = F.col("r.pad.name"), F.col("r.pad.location.name")
     near = rows.where(F.coalesce("r.net", blank) != "").where(at <= now + F.expr(f"INTERVAL {int(days)} DAYS"))
     out = near.select(
         "run_date",
+        "part",
         "pos",
         F.coalesce("r.name", blank).alias("name"),
         F.coalesce("r.rocket.configuration.full_name", blank).alias("vehicle"),
@@ -201,7 +210,7 @@ def launches(docs: DataFrame, now: Column, days: int = 10, first: list[str] | No
     lead = F.when(F.col("mission_type").isin(first or PRIORITY_MISSIONS), 0).otherwise(1)
     listed = out.withColumn("_lead", lead)
     buckets = {"_b_lead": F.col("_lead"), "_b_date": F.col("date")}
-    return running(listed, ["run_date"], buckets, ["_lead", "date", "pos"], {"rank": F.lit(1)}).drop("_lead")
+    return running(listed, ["run_date"], buckets, ["_lead", "date", "part", "pos"], {"rank": F.lit(1)}).drop("_lead", "part")
 
 
 def stories(ranks: DataFrame, docs: DataFrame, most: int = 15) -> DataFrame:
@@ -209,7 +218,11 @@ def stories(ranks: DataFrame, docs: DataFrame, most: int = 15) -> DataFrame:
 
     ``ranks``: run_date, payload = JSON list of ids; ``docs``: id, payload.
     """
-    ids = ranks.select("run_date", F.posexplode(F.slice(F.from_json("payload", "array<bigint>"), 1, most)).alias("pos", "id"))
+    ids = _in_parts(ranks).select(
+        "run_date", "part", F.posexplode(F.slice(F.from_json("payload", "array<bigint>"), 1, most)).alias("pos", "id")
+    )
+    if "part" in ranks.columns:
+        ids = top_per_group(ids, ["run_date"], ["part", "pos"], most, "_rank").withColumn("pos", F.col("_rank") - 1)
     d = F.from_json("payload", "type string, title string, url string, score int, descendants int")
     info = docs.select("id", d.alias("d")).where((F.col("d.type") == "story") & (F.coalesce("d.title", F.lit("")) != ""))
     out = ids.join(info, "id", "inner").select(
@@ -248,16 +261,24 @@ def on_this_day(docs: DataFrame, most: int = 8) -> tuple[DataFrame, DataFrame]:
         "payload",
         "selected array<struct<year: string, text: string>>, events array<struct<year: string, text: string>>",
     )
-    parsed = docs.select("run_date", F.col("payload").isNull().alias("failed"), doc.alias("d"))
+    split = "part" in docs.columns
+    parsed = _in_parts(docs).select("run_date", "part", F.col("payload").isNull().alias("failed"), doc.alias("d"))
     none = F.array().cast("array<struct<year:string,text:string>>")
     out = None
     for name in ("selected", "events"):
         rows = parsed.select(
             "run_date",
+            "part",
             F.lit(name).alias("list"),
             F.posexplode(F.slice(F.coalesce(F.col("d")[name], none), 1, most)).alias("pos", "e"),
-        ).select("run_date", "list", "pos", F.coalesce("e.year", F.lit("")).alias("year"), F.coalesce("e.text", F.lit("")).alias("text"))
+        ).select("run_date", "part", "list", "pos", F.coalesce("e.year", F.lit("")).alias("year"), F.coalesce("e.text", F.lit("")).alias("text"))
         out = rows if out is None else out.unionByName(rows)
+    if split:
+        out = top_per_group(out, ["run_date", "list"], ["part", "pos"], most, "_rank").withColumn("pos", F.col("_rank") - 1)
     count = F.size(F.coalesce(F.col("d.selected"), none)) + F.size(F.coalesce(F.col("d.events"), none))
-    status = F.when(F.col("failed"), "failed").when(count == 0, "ok_empty")
-    return out, parsed.select("run_date", status.alias("status")).where("status is not null")
+    told = parsed.select("run_date", "failed", count.alias("count"))
+    if split:
+        told = told.groupBy("run_date").agg(F.max("failed").alias("failed"), F.sum("count").alias("count"))
+    status = F.when(F.col("count") == 0, F.when(F.col("failed"), "failed").otherwise("ok_empty"))
+    notes = told.select("run_date", status.alias("status")).where("status is not null")
+    return out.select("run_date", "list", "pos", "year", "text"), notes

@@ -471,6 +471,41 @@ def test_api_readers(spark):
     assert events.count() == 0 and notes.first().status == "ok_empty"
 
 
+def test_runs_in_several_documents(spark):
+    def docs(*payloads):
+        return spark.createDataFrame([("r", i, p and json.dumps(p)) for i, p in payloads], "run_date string, part int, payload string")
+
+    air = api.air_forecast(docs((1, [{"DateForecast": "2026-01-01", "AQI": 7}]), (0, [{"DateForecast": "x"}, {"DateForecast": "2026-01-01", "AQI": 9}])))
+    assert [(r.date, r.aqi) for r in air.orderBy("date").collect()] == [("2026-01-01", 7), ("x", None)]
+    one = {"year": "1", "text": "b"}
+    events, notes = api.on_this_day(docs((1, {"selected": [one, one, one]}), (0, {"selected": [{"year": "0", "text": "a"}]}), (2, None)), 3)
+    assert [(r.pos, r.year) for r in events.orderBy("pos").collect()] == [(0, "0"), (1, "1"), (2, "1")]
+    assert notes.count() == 0
+    assert api.on_this_day(docs((0, None), (1, {"selected": []})))[1].first().status == "failed"
+    items = spark.createDataFrame([(i, json.dumps({"type": "story", "title": "t", "score": i})) for i in range(5)], "id long, payload string")
+    assert [(r.id, r["rank"]) for r in api.stories(docs((1, [4, 3]), (0, [1, 2])), items, 3).orderBy("rank").collect()] == [(4, 1), (2, 2), (1, 3)]
+    flight = {"net": "2026-01-01T00:00:00Z"}
+    parts = docs((1, {"results": [flight | {"name": "c"}]}), (0, {"results": [flight | {"name": "a"}, flight | {"name": "b"}]}))
+    listed = api.launches(parts, F.lit("2026-01-01").cast("timestamp"))
+    assert [r.name for r in listed.orderBy("rank").collect()] == ["a", "b", "c"]
+
+
+def test_landed_documents_are_bounded(spark, tmp_path, monkeypatch):
+    from newsloom.catalog import desks
+
+    n = 1_300
+    spark.range(n).selectExpr(
+        "id as event_id", "7L as user_id", "timestamp'2024-01-01' + make_interval(0, 0, 0, cast(id % 3 as int)) as ts",
+        "'view' as event_type", "cast(id as double) as value",
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    seen, read = [], desks.A.air_forecast
+    monkeypatch.setattr(desks.A, "air_forecast", lambda docs: seen.append(docs) or read(docs))
+    got = {(r.date, r.aqi) for r in desks._air(spark, str(tmp_path)).collect()}
+    assert got == {("2024-01-01", 1299), ("2024-01-02", 1297), ("2024-01-03", 1298)}
+    sizes = [len(json.loads(r.payload)) for r in seen[0].collect()]
+    assert sum(sizes) == n and max(sizes) <= 500
+
+
 def test_atom_beside_rss(spark, tmp_path):
     rss = "<rss><channel><item><title>A</title><link>http://a</link></item></channel></rss>"
     atom = (
