@@ -142,3 +142,57 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from newsloom.llm.jaccard import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents")).drop("_row", "leads")
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsloom.llm.codes import compress, digest, hex_code
+
+    out, books = compress(table(spark, sf_dir, "embeddings"))
+    return out.select(
+        F.col("id").alias("vec_id"),
+        hex_code(F.col("codes")).alias("code"),
+        "error",
+        "label_error",
+        F.lit(digest(books)).alias("codebooks_sha256"),
+    )
+
+
+def _codes_sql(rounds: int = 2) -> str:
+    """Two rounds unrolled: books b, assignments a."""
+    assign = """
+a{i} AS MATERIALIZED (
+  SELECT p.vec_id, p.part, p.piece, arg_min(b.entry, [d, b.entry]) AS entry, min(d) AS d
+  FROM p JOIN b{i} b USING (part), LATERAL (SELECT list_sum(list_transform(range(1, len(p.piece) + 1),
+    lambda j: (p.piece[j] - b.piece[j]) * (p.piece[j] - b.piece[j])))::BIGINT AS d)
+  GROUP BY p.vec_id, p.part, p.piece)"""
+    refine = """
+c{j} AS (
+  SELECT part, entry, j, sum(piece[j])::BIGINT AS s, count(*) AS c
+  FROM a{i}, range(1, (SELECT width + 1 FROM w)) t(j) GROUP BY part, entry, j),
+n{j} AS (SELECT part, entry, list(((s - ((s % c) + c) % c) // c)::BIGINT ORDER BY j) AS piece FROM c{j} GROUP BY part, entry),
+b{j} AS MATERIALIZED (SELECT part, entry, coalesce(n.piece, b.piece) AS piece FROM b{i} b LEFT JOIN n{j} n USING (part, entry))"""
+    steps = [part for i in range(rounds) for part in (assign.format(i=i), refine.format(i=i, j=i + 1))]
+    return f"""
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+w AS (SELECT max(len(e)) // 16 AS width FROM v),
+p AS MATERIALIZED (
+  SELECT vec_id, part, e[part * width + 1 : (part + 1) * width] AS piece FROM v, w, range(16) t(part)),
+f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v QUALIFY entry < 64),
+b0 AS MATERIALIZED (SELECT part, entry, piece FROM p JOIN f USING (vec_id)),
+{",".join(steps)},
+{assign.format(i=rounds)},
+h AS (
+  SELECT sha256(string_agg(array_to_string(piece, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds}),
+r AS (
+  SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error
+  FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM r JOIN v USING (vec_id), h
+"""
+
+
+SQL["op13_vector_codes"] = _codes_sql()
