@@ -99,3 +99,60 @@ def test_trie_walk():
         nearest, error = walk(leaves, entries, step)
         all_errors = ((leaves[:, None] - entries[None]) ** 2).sum(axis=2)
         assert (nearest == all_errors.argmin(axis=1)).all() and (error == all_errors.min(axis=1)).all()
+
+
+def cosines(given):
+    """Usable rows, padded, with the matrix of their cosines."""
+    kept = [r for r in usable(given) if r[0] is not None and any(r[1])]
+    width = max(len(r[1]) for r in kept)
+    x = np.array([r[1] + [0.0] * (width - len(r[1])) for r in kept])
+    n = np.sqrt((x * x).sum(axis=1))
+    return kept, np.array([(x * v).sum(axis=1) / (n * m) for v, m in zip(x, n, strict=True)])
+
+
+def brute_nearest(given, asked, k=5):
+    kept, scores = cosines(given)
+    out = Counter()
+    for i, r in enumerate(kept):
+        if asked(r[0]):
+            best = sorted((-scores[i, j], c[0]) for j, c in enumerate(kept) if c[0] != r[0])[:k]
+            out.update((r[0], n, j, round(-s, 12)) for n, (s, j) in enumerate(best, 1))
+    return out
+
+
+@pytest.mark.parametrize(("shard", "leaf"), [(8_192, 64), (60, 5)])
+def test_vantage_trees(spark, monkeypatch, shard, leaf):
+    from pyspark.sql import functions as F
+
+    from newsloom.llm import vptree as v
+
+    monkeypatch.setattr(v, "ROWS", shard)
+    monkeypatch.setattr(v, "LEAF", leaf)
+    given = rows() + [(4_000, [1e-200] * 32, 1, "x", 1, 0.5), (4_050, [1e200] * 32, 1, "x", 1, 0.5)]
+    table = spark.createDataFrame(given, SCHEMA).repartition(3)
+    found = v.nearest(table, F.col("vec_id") % 50 == 0).collect()
+    got = Counter((r.query_id, r.rank, r.vec_id, round(r.score, 12)) for r in found)
+    tiny = [(i, [math.ldexp(x, 600 if i == 4_000 else -600) for x in e] if i in (4_000, 4_050) else e, *rest) for i, e, *rest in given]
+    assert got == brute_nearest(tiny, lambda i: i % 50 == 0)
+    assert v.nearest(table.limit(0), F.lit(True)).count() == 0
+    assert v.nearest(table.where("vec_id = 7"), F.lit(True)).count() == 0
+
+
+def test_relaxed_pruning():
+    """Smaller factors visit fewer leaves; recall falls slowly; factor one is exact."""
+    from newsloom.llm import vptree as v
+
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(12, 8))[rng.integers(0, 12, 4_000)] + rng.normal(0, 0.25, (4_000, 8)), rng.normal(size=(500, 8))])
+    u = x / v.norms(x)[:, None]
+    tree = v.Tree.grow(u, 32)
+    shard = v.Shard(tree.order, x[tree.order], tree)
+    asked = np.arange(0, len(x), 50)
+    best = np.argsort(-np.where(np.arange(len(x))[None] == asked[:, None], -9, u[asked] @ u.T), axis=1)[:, :5]
+    visits, recall = [], []
+    for factor in (1.0, 0.7, 0.4):
+        held = v.Best(asked, x[asked], 5)
+        visits.append(shard.search(held, factor))
+        recall.append(np.mean([len({i for _, i in f} & set(b)) / 5 for f, b in zip(held.found, best, strict=True)]))
+    assert visits[0] > visits[1] > visits[2] and visits[0] < 0.6 * len(asked) * (len(tree.spans) // 2 + 1)
+    assert recall[0] == 1 and recall[1] >= 0.9 and recall[0] >= recall[1] >= recall[2]
