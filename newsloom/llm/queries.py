@@ -219,3 +219,41 @@ r AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+@query
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsloom.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+SQL["op11_phrases"] = r"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(x, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda s: s <> '') AS ws FROM p),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i : i + k - 1], ' '))) AS phrase
+  FROM w, range(1, 5) r(k) WHERE len(ws) >= k),
+f AS MATERIALIZED (
+  SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, count(*) AS f FROM g GROUP BY lang, k, phrase HAVING count(*) >= 30),
+u AS MATERIALIZED (
+  SELECT lang, phrase, f AS a, cut, array_to_string(ws[1 : cut], ' ') AS lp, array_to_string(ws[cut + 1 :], ' ') AS rp
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM f WHERE k > 1)),
+c AS (
+  SELECT u.lang, u.phrase, a, cut, l.f AS l, r.f AS r, (2000000::HUGEINT * a) // (l.f + r.f) AS score
+  FROM u JOIN f l ON l.lang = u.lang AND l.phrase = lp JOIN f r ON r.lang = u.lang AND r.phrase = rp),
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+i AS (
+  SELECT lang, phrase, max(f) AS f FROM (
+    SELECT lang, array_to_string(ws[j : j + s - 1], ' ') AS phrase, f
+    FROM f, range(2, 4) x(s), range(1, 4) y(j) WHERE s < k AND j + s - 1 <= k) GROUP BY lang, phrase),
+o AS (
+  SELECT b.* FROM b LEFT JOIN i USING (lang, phrase) WHERE i.f IS NULL OR 100::HUGEINT * i.f < 80::HUGEINT * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank,
+  phrase, a, l, r, n, score::BIGINT AS score
+FROM o JOIN n USING (lang) QUALIFY rank <= 2000
+"""
