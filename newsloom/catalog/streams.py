@@ -8,9 +8,11 @@ from newsloom.catalog.registry import SQL, query, table
 from newsloom.streaming import jobs as S
 
 
-def _events(spark, d):
-    schema = table(spark, d, "events").schema
-    return S.landed_stream(spark, d, schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+def _events(spark, d, batches: int = 6):
+    """Events landed in the order of their time, one file per micro-batch."""
+    events = table(spark, d, "events")
+    folder = S.land_in_order(events, "events", ["ts", "event_id"], batches)
+    return S.landed_stream(spark, folder, events.schema, "*.parquet", 1).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query(
@@ -23,10 +25,18 @@ def _counts(spark, d):
 
 @query("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
 def _dedup(spark, d):
-    seen = S.first_seen(_events(spark, d), "ts", ["user_id", "event_type"])
+    # A key that comes back after the lateness limit counts as new; in one batch none does.
+    seen = S.first_seen(_events(spark, d, batches=1), "ts", ["user_id", "event_type"])
     return S.run_append(seen.select("user_id", "event_type"), "dedup")
 
 
+@query("stream_dedup_daily", "SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events")
+def _dedup_daily(spark, d):
+    events = _events(spark, d).withColumn("day", F.to_date("ts"))
+    seen = S.first_seen(events, "ts", ["user_id", "event_type", "day"])
+    return S.run_append(seen.select("user_id", "event_type", "day"), "dedup-daily")
+
+
 def _attempts(events):
     kind = F.col("event_type")
     return events.select(
@@ -50,7 +60,46 @@ def _attempts(events):
     SELECT feed_key, attempt, outcome, cooldown_until FROM w""",
 )
 def _cooldown(spark, d):
-    return S.run_append(S.cooldown_stream(_attempts(_events(spark, d))), "cooldown")
+    return S.run_append(S.cooldown_stream(_attempts(_events(spark, d))), "cooldown", rocksdb=True)
+
+
+def _feeds(spark, d):
+    """Feeds with cooldowns of their own: some for too many requests, some for gone pages."""
+    users = table(spark, d, "events").select("user_id").distinct()
+    return users.select(
+        F.concat(F.lit("feed"), F.col("user_id").cast("string")).alias("feed_key"),
+        F.when(F.col("user_id") % 3 == 0, 1800 + 600 * (F.col("user_id") % 7)).alias("cooldown_on_429_seconds"),
+        F.when(F.col("user_id") % 4 == 1, 43200).alias("cooldown_on_error_seconds"),
+    )
+
+
+@query(
+    "stream_cooldown_overrides",
+    """WITH RECURSIVE a AS (SELECT 'feed' || user_id AS feed_key, event_id AS attempt, CAST(floor(epoch_us(ts) / 1000000) AS DOUBLE) AS at_s,
+      event_type <> 'error' AS ok, CASE WHEN event_type <> 'error' THEN 0 WHEN event_id % 2 = 0 THEN CASE WHEN user_id % 3 = 0 THEN 1800 + 600 * (user_id % 7) ELSE 21600 END
+      ELSE CASE WHEN user_id % 4 = 1 THEN 43200 ELSE 86400 END END AS cool FROM events),
+    s AS (SELECT feed_key, CASE WHEN min(attempt) % 2 = 0 THEN min(at_s) + 7200 ELSE 0.0::DOUBLE END AS until FROM a GROUP BY feed_key),
+    n AS (SELECT *, row_number() OVER (PARTITION BY feed_key ORDER BY at_s, attempt) AS rn FROM a),
+    w AS (SELECT feed_key, attempt, rn, CASE WHEN until > at_s THEN 'skipped_cooldown' WHEN ok THEN 'ok' ELSE 'http_error' END AS outcome,
+        CASE WHEN until > at_s THEN until WHEN ok THEN 0.0::DOUBLE ELSE at_s + cool END AS cooldown_until FROM n JOIN s USING (feed_key) WHERE rn = 1
+      UNION ALL SELECT n.feed_key, n.attempt, n.rn, CASE WHEN w.cooldown_until > n.at_s THEN 'skipped_cooldown' WHEN ok THEN 'ok' ELSE 'http_error' END,
+        CASE WHEN w.cooldown_until > n.at_s THEN w.cooldown_until WHEN ok THEN 0.0::DOUBLE ELSE n.at_s + cool END
+      FROM w JOIN n ON n.feed_key = w.feed_key AND n.rn = w.rn + 1)
+    SELECT feed_key, attempt, outcome, cooldown_until FROM w""",
+)
+def _cooldown_overrides(spark, d):
+    # Half of the feeds come from earlier runs inside a cooldown.
+    past = _attempts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))).groupBy("feed_key")
+    past = past.agg(F.min("attempt").alias("first"), F.min("at").alias("at"))
+    state = past.select(
+        "feed_key",
+        F.when(F.col("first") % 2 == 0, F.col("at") + 7200).otherwise(0.0).alias("cooldown_until"),
+        F.lit(None).cast("double").alias("last_checked"),
+        F.lit(429).alias("last_status"),
+        F.lit(None).cast("double").alias("last_success"),
+    )
+    attempts = _attempts(_events(spark, d)).join(_feeds(spark, d), "feed_key", "left")
+    return S.run_append(S.cooldown_stream(attempts, state=state), "cooldown-overrides", rocksdb=True)
 
 
 @query("cooldown_replay", SQL["stream_cooldown"])
@@ -90,10 +139,10 @@ def _cooldown_run(spark, d):
       row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS rn FROM events) WHERE rn = 1""",
 )
 def _cache(spark, d):
-    rows = _events(spark, d).select(
+    rows = _events(spark, d, batches=20).select(
         F.format_string("http://u%d/", "user_id").alias("url"),
         F.col("event_type").alias("status"),
         F.col("event_id").alias("raw_length"),
         F.col("ts").alias("fetched_at"),
     )
-    return S.run_cache_sink(rows, "cache").drop("fetched_at")
+    return S.run_cache_sink(rows, "cache").read().drop("fetched_at")

@@ -14,10 +14,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from newsloom.operators.ranking import top_per_group
 from newsloom.session import checkpoint_dir
+from newsloom.sources.cachelog import CacheLog
 
 LATENESS = "36 hours"
 
@@ -32,24 +33,51 @@ def landed_stream(spark: SparkSession, folder: str, schema: T.StructType, glob:
     )
 
 
+def land_in_order(rows: DataFrame, name: str, by: list[str], files: int) -> str:
+    """Write a table as files that a stream reads in the order of some columns.
+
+    Ranges of the order become files, and their modification times, which the
+    file source goes by, are set one second apart.
+    """
+    spark = rows.sparkSession
+    folder = f"{checkpoint_dir(spark)}/landed/{name}-{uuid.uuid4().hex}"
+    rows.repartitionByRange(files, *by).sortWithinPartitions(*by).write.parquet(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    landed = sorted((f.getPath() for f in fs.listStatus(path) if f.getPath().getName().endswith(".parquet")), key=lambda p: p.getName())
+    for i, file in enumerate(landed):
+        fs.setTimes(file, 1_000_000_000_000 + 1_000 * i, -1)
+    return folder
+
+
 def _folders(spark: SparkSession, name: str) -> tuple[str, str]:
     base = f"{checkpoint_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
     return f"{base}/rows", f"{base}/state"
 
 
-def run_append(stream: DataFrame, name: str) -> DataFrame:
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_append(stream: DataFrame, name: str, rocksdb: bool = False) -> DataFrame:
     """Run an append stream over what is there and return its rows."""
     spark = stream.sparkSession
     rows, state = _folders(spark, name)
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", rows)
-        .option("checkpointLocation", state)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    before = spark.conf.get(PROVIDER)
+    if rocksdb:
+        spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        query = (
+            stream.writeStream.format("parquet")
+            .option("path", rows)
+            .option("checkpointLocation", state)
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set(PROVIDER, before)
     return spark.read.schema(stream.schema).parquet(rows)
 
 
@@ -99,13 +127,7 @@ TOO_MANY_SECONDS = 6 * 3600
 GONE = [400, 401, 404, 410]
 GONE_SECONDS = 24 * 3600
 
-STATE = T.StructType(
-    [
-        T.StructField("cooldown_until", T.DoubleType()),
-        T.StructField("last_status", T.IntegerType()),
-        T.StructField("last_success", T.DoubleType()),
-    ]
-)
+STATE = "cooldown_until double, last_checked double, last_status int, last_success double"
 DECISION = T.StructType(
     [
         T.StructField("feed_key", T.StringType()),
@@ -125,32 +147,101 @@ def _after(at: float, status: int | None, ok: bool, too_many: int, gone: int) ->
     return at + gone if status in GONE else 0.0
 
 
-def cooldown_stream(attempts: DataFrame, too_many: int = TOO_MANY_SECONDS, gone: int = GONE_SECONDS) -> DataFrame:
-    """Decide attempts per feed with the cooldown state of the feed.
+class Cooldown(StatefulProcessor):
+    """Cooldown state of a feed, and the decisions on its attempts.
 
-    ``attempts``: feed_key, attempt, at (epoch seconds), status_code,
-    has_content. An attempt inside a cooldown is skipped and changes nothing.
+    The state is one value per feed; it starts from the table carried over from
+    runs before. With ``forget_days``, timers in event time report a feed as due
+    when its cooldown ends and forget a feed that has had no attempt for so long.
     """
 
-    def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        until, last, success = state.get if state.exists else (0.0, None, None)
-        rows = pd.concat(list(batches)).sort_values(["at", "attempt"])
+    def __init__(self, too_many: int, gone: int, forget_days: int | None):
+        self.too_many, self.gone = too_many, gone
+        self.forget = None if forget_days is None else forget_days * 86_400.0
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("feed", STATE)
+
+    def _timers(self, until: float, checked: float | None) -> None:
+        """Timers for the end of the cooldown and for forgetting, in place of older ones."""
+        if self.forget is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            for at in {until, (checked or 0.0) + self.forget} - {0.0}:
+                self.handle.registerTimer(int(at * 1000))
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:
+        known = lambda v: None if pd.isna(v) else float(v)
+        for r in initialState.itertuples(index=False):
+            status = None if pd.isna(r.last_status) else int(r.last_status)
+            until, checked = known(r.cooldown_until) or 0.0, known(r.last_checked)
+            self.state.update((until, checked, status, known(r.last_success)))
+            self._timers(until, checked if checked is not None else until)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        until, checked, last, success = self.state.get() if self.state.exists() else (0.0, None, None, None)
+        # Slim columns of the feed's attempts of one micro-batch, which its files bound.
+        some = pd.concat(list(rows)).sort_values(["at", "attempt"], na_position="last")
         out = []
-        for r in rows.itertuples():
-            if until > r.at:
-                out.append((key[0], r.attempt, "skipped_cooldown", until))
+        columns = ["attempt", "at", "status_code", "has_content", "own_429", "own_error"]
+        for number, at, code, content, own_429, own_error in some[columns].itertuples(index=False):
+            timed = not pd.isna(at)
+            if timed and until > at:
+                out.append((key[0], number, "skipped_cooldown", until))
                 continue
-            status = None if pd.isna(r.status_code) else int(r.status_code)
-            ok = bool(r.has_content)
-            until, last = _after(r.at, status, ok, too_many, gone), status
-            success = r.at if ok else success
-            out.append((key[0], r.attempt, "ok" if ok else "http_error", until))
-        state.update((until, last, success))
+            status, ok = None if pd.isna(code) else int(code), not pd.isna(content) and bool(content)
+            too_many = self.too_many if pd.isna(own_429) else int(own_429)
+            gone = self.gone if pd.isna(own_error) else int(own_error)
+            until, last = _after(at, status, ok, too_many, gone) if timed else 0.0, status
+            checked = at if timed else checked
+            success = at if ok and timed else success
+            out.append((key[0], number, "ok" if ok else "http_error", until))
+        self.state.update((float(until), checked, last, success))
+        self._timers(until, checked)
         yield pd.DataFrame(out, columns=[f.name for f in DECISION])
 
-    return attempts.groupBy("feed_key").applyInPandasWithState(
-        decide, DECISION, STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until, checked, _, _ = self.state.get() if self.state.exists() else (0.0, None, None, None)
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        if checked is not None and at >= int((checked + self.forget) * 1000):
+            self.state.clear()
+        if until and at == int(until * 1000):
+            due = {"feed_key": [key[0]], "attempt": pd.array([None], dtype="Int64"), "outcome": ["due"], "cooldown_until": [until]}
+            yield pd.DataFrame(due)
+
+    def close(self) -> None:
+        pass
+
+
+def cooldown_stream(
+    attempts: DataFrame,
+    too_many: int = TOO_MANY_SECONDS,
+    gone: int = GONE_SECONDS,
+    state: DataFrame | None = None,
+    forget_days: int | None = None,
+) -> DataFrame:
+    """Decide attempts per feed with the cooldown state of the feed.
+
+    ``attempts``: feed_key, attempt, at (epoch seconds), status_code,
+    has_content, and optionally a feed's own cooldowns
+    (cooldown_on_429_seconds, cooldown_on_error_seconds). An attempt inside a
+    cooldown is skipped and changes nothing; one without a time is never skipped
+    and opens none. ``state`` is a table as ``apply_attempts`` returns it. The
+    session needs the RocksDB state store (``run_append(..., rocksdb=True)``).
+    With ``forget_days`` attempts later than the watermark are dropped.
+    """
+    own = {"own_429": "cooldown_on_429_seconds", "own_error": "cooldown_on_error_seconds"}
+    extra = [(F.col(c) if c in attempts.columns else F.lit(None)).cast("double").alias(n) for n, c in own.items()]
+    given = attempts.select("feed_key", "attempt", "at", F.col("status_code").cast("double").alias("status_code"), "has_content", *extra)
+    if forget_days is not None:
+        given = given.withColumn("ts", F.timestamp_seconds("at")).withWatermark("ts", LATENESS)
+    first = None
+    if state is not None:
+        kept = state.select("feed_key", "cooldown_until", "last_checked", F.col("last_status").cast("double").alias("last_status"), "last_success")
+        first = kept.groupBy("feed_key")
+    mode = "None" if forget_days is None else "EventTime"
+    return given.groupBy("feed_key").transformWithStateInPandas(Cooldown(too_many, gone, forget_days), DECISION, "append", mode, first)
 
 
 def cooldown_replay(attempts: DataFrame, too_many: int = TOO_MANY_SECONDS, gone: int = GONE_SECONDS) -> DataFrame:
@@ -224,37 +315,25 @@ def apply_attempts(
     return decisions, after
 
 
-def cache_sink(base: str):
-    """``foreachBatch`` function that keeps the newest cache entry per URL.
-
-    Every batch writes a new version from the one before; the newest complete
-    version is the cache, and a replayed batch rewrites its own version.
-    """
-    from newsloom.plans.enrich import cache_upsert
+def cache_sink(log: CacheLog):
+    """``foreachBatch`` function that appends a batch to the cache log."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        merged = batch
-        if batch_id > 0:
-            merged = cache_upsert(spark.read.schema(batch.schema).parquet(f"{base}/version={batch_id - 1}"), batch)
-        else:
-            merged = cache_upsert(batch.limit(0), batch)
-        merged.write.mode("overwrite").parquet(f"{base}/version={batch_id}")
+        log.append(batch, batch_id)
 
     return save
 
 
-def run_cache_sink(stream: DataFrame, name: str) -> DataFrame:
-    """Run the cache sink over what is there and return the newest version."""
+def run_cache_sink(stream: DataFrame, name: str) -> CacheLog:
+    """Run the cache sink over what is there and return the log."""
     spark = stream.sparkSession
     base, state = _folders(spark, name)
+    log = CacheLog(spark, base, stream.schema)
     query = (
-        stream.writeStream.foreachBatch(cache_sink(base))
+        stream.writeStream.foreachBatch(cache_sink(log))
         .option("checkpointLocation", state)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    saved = spark.read.option("basePath", base).parquet(f"{base}/version=*")
-    newest = saved.agg(F.max("version").alias("version"))
-    return saved.join(F.broadcast(newest), "version", "left_semi").drop("version")
+    return log

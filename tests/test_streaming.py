@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,7 +71,7 @@ def test_cooldown_state_carries(spark, tmp_path):
     stream = (
         spark.readStream.schema(ddl).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
     )
-    got = {r.attempt: r.outcome for r in S.run_append(S.cooldown_stream(stream), "cool").collect()}
+    got = {r.attempt: r.outcome for r in S.run_append(S.cooldown_stream(stream), "cool", rocksdb=True).collect()}
     want = {0: "http_error", 1: "skipped_cooldown", 2: "http_error", 3: "skipped_cooldown", 4: "http_error", 5: "ok"}
     assert got == want
 
@@ -85,7 +86,7 @@ def test_cooldown_state_carries(spark, tmp_path):
 def test_cache_sink_keeps_newest(spark, tmp_path):
     batches = [[(day(1), "old", "u1"), (day(2), "x", "u2")], [(day(3), "new", "u1")]]
     rows = land(spark, str(tmp_path), batches).select("url", F.col("source").alias("status"), F.col("ts").alias("fetched_at"))
-    got = {r.url: r.status for r in S.run_cache_sink(rows, "sink").collect()}
+    got = {r.url: r.status for r in S.run_cache_sink(rows, "sink").read().collect()}
     assert got == {"u1": "new", "u2": "x"}
 
 
@@ -121,3 +122,111 @@ def test_cooldown_replay_decides_every_attempt(spark):
         ("g", 7, "http_error", 0.0),
         ("g", 8, "http_error", 0.0),
     ]
+
+
+ENTRY = "url string, status string, fetched_at timestamp"
+
+
+def test_cache_log_costs_the_batch(spark, tmp_path):
+    """Twenty batches with updates, removals, ties and a replay; rows rewritten stay logarithmic."""
+    import random
+
+    from newsloom.sources.cachelog import CacheLog
+
+    rng = random.Random(3)
+    schema = spark.createDataFrame([], ENTRY).schema
+    log = CacheLog(spark, f"file://{tmp_path}/log", schema)
+    held, sizes, rewritten, earlier = {}, 0, 0, None
+    assert log.read().count() == 0 and log.runs() == []
+    for n in range(20):
+        rows = [(f"u{rng.randint(0, 60)}", f"s{n}-{i}", day(1 + rng.randint(0, 9))) for i in range(12)]
+        newest = {}
+        for u, s, t in rows:
+            if u not in newest or t > newest[u][1]:
+                newest[u] = (s, t)
+        rows = [(u, s, t) for u, (s, t) in newest.items()]
+        gone = [(f"u{rng.randint(0, 60)}", day(rng.randint(5, 9))) for _ in range(2)] if n % 3 == 2 else []
+        gone = [g for g in dict(gone).items() if g[0] not in newest]
+        removed = spark.createDataFrame(gone, "url string, fetched_at timestamp") if gone else None
+        runs = log.append(spark.createDataFrame(rows, ENTRY), n, removed)
+        for u, s, t in rows + [(u, None, t) for u, t in gone]:
+            if u not in held or t >= held[u][1]:
+                held[u] = (s, t)
+        sizes += len(rows) + len(gone)
+        rewritten += sum(r["rows"] for r in runs if r["last"] == n)
+        assert len(runs) <= 6
+        if n == 10:
+            earlier = (log.versions()[-1], {u: s for u, (s, _) in held.items() if s})
+    want = {u: s for u, (s, _) in held.items() if s}
+    assert {r.url: r.status for r in log.read().collect()} == want
+    assert rewritten <= 4 * sizes
+    # A replayed batch changes nothing, and an older version stays readable.
+    assert log.append(spark.createDataFrame([("u1", "replay", day(30))], ENTRY), 19) == log.runs()
+    assert {r.url: r.status for r in log.read(earlier[0]).collect()} == earlier[1]
+    asked = spark.createDataFrame([("u1",), ("u2",), ("none",)], "url string")
+    assert {r.url: r.status for r in log.lookup(asked).collect()} == {u: s for u, s in want.items() if u in ("u1", "u2")}
+    # Of two writers that saw the same version one fails, and readers see the other's.
+    other = CacheLog(spark, log.base, schema)
+    seen = log.versions()
+    log.append(spark.createDataFrame([("u1", "won", day(30))], ENTRY), 20)
+    other.versions = lambda: seen
+    with pytest.raises(RuntimeError, match="another writer"):
+        other.append(spark.createDataFrame([("u1", "lost", day(31))], ENTRY), 20)
+    want["u1"] = "won"
+    assert log.vacuum() > 0 and len(log.versions()) == 1
+    assert {r.url: r.status for r in CacheLog(spark, log.base, schema).read().collect()} == want
+
+
+OVERRIDES = "feed_key string, attempt bigint, at double, status_code int, has_content boolean, cooldown_on_429_seconds int, cooldown_on_error_seconds int"
+
+
+def attempts_in_batches(spark, tmp_path, rows):
+    for i, r in enumerate(rows):
+        spark.createDataFrame([r], OVERRIDES).coalesce(1).write.parquet(f"{tmp_path}/b{i}")
+    return spark.readStream.schema(OVERRIDES).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
+
+
+def test_cooldown_state_and_overrides(spark, tmp_path):
+    h = 3600.0
+    rows = [
+        ("f", 0, 1 * h, 200, True, None, None),  # inside the carried cooldown
+        ("f", 1, 2 * h, 429, False, 3600, None),
+        ("f", 2, 2.5 * h, 200, True, 3600, None),
+        ("f", 3, 3 * h, 404, False, None, 600),
+        ("f", 4, 3.5 * h, None, None, None, None),  # no answer
+        ("g", 5, None, 429, False, None, None),
+        ("g", 6, 1 * h, 429, False, None, None),
+    ]
+    stream = attempts_in_batches(spark, tmp_path, rows)
+    state = spark.createDataFrame([("f", 2 * h, None, 429, None, None), ("z", 9 * h, None, None, None, None)], S.STATE_DDL)
+    got = S.run_append(S.cooldown_stream(stream, state=state), "carried", rocksdb=True).collect()
+    want = {0: ("skipped_cooldown", 2 * h), 1: ("http_error", 3 * h), 2: ("skipped_cooldown", 3 * h), 3: ("http_error", 3 * h + 600), 4: ("http_error", 0.0)}
+    want |= {5: ("http_error", 0.0), 6: ("http_error", 7 * h)}
+    assert {r.attempt: (r.outcome, r.cooldown_until) for r in got} == want and len(got) == len(want)
+
+
+def test_cooldown_timers(spark, tmp_path):
+    """A feed is reported when its cooldown ends, and forgotten after long silence."""
+    d = 86_400.0
+    rows = [
+        ("f", 0, 1 * d, 404, False, None, 40 * 86_400),  # cools down until day 41
+        ("g", 1, 4 * d, 429, False, None, None),
+        ("g", 2, 6 * d, 200, True, None, None),
+        ("g", 3, 20 * d, 200, True, None, None),
+        ("g", 4, 21 * d, 200, True, None, None),
+        ("f", 5, 22 * d, 200, True, None, None),  # forgotten on day 11, so not skipped
+    ]
+    stream = attempts_in_batches(spark, tmp_path, rows)
+    got = S.run_append(S.cooldown_stream(stream, forget_days=10), "timers", rocksdb=True).collect()
+    assert {r.attempt: r.outcome for r in got if r.outcome != "due"} == {0: "http_error", 1: "http_error", 2: "ok", 3: "ok", 4: "ok", 5: "ok"}
+    assert {(r.feed_key, r.cooldown_until) for r in got if r.outcome == "due"} <= {("g", 4 * d + S.TOO_MANY_SECONDS)}
+
+
+def test_landing_keeps_order(spark):
+    rows = spark.range(500).selectExpr("id", "500 - id AS at")
+    folder = S.land_in_order(rows, "order", ["at"], 4)
+    stream = S.landed_stream(spark, folder, rows.schema, "*.parquet", 1)
+    seen = []
+    query = stream.writeStream.foreachBatch(lambda b, n: seen.append(b.agg(F.min("at"), F.max("at")).first())).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert len(seen) == 4 and all(a[1] < b[0] for a, b in zip(seen, seen[1:], strict=False))
