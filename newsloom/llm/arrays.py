@@ -6,6 +6,7 @@ slice (``SLICE_BYTES``, or one document if that is longer), not the partition.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,7 +50,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class SpanHasher:
-    """Hash of values[start:end] for any spans; equal sequences hash alike."""
+    """Hash of values[start:end] for any spans; equal sequences hash alike.
+
+    Cheap, and not safe against sequences made to collide: it may decide which
+    rows meet, not which are equal.
+    """
 
     def __init__(self, values: np.ndarray):
         up, self.down = powers(len(values))
@@ -65,6 +70,47 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return SpanHasher(values)(starts, ends)
 
 
+def ranks(key: np.ndarray) -> np.ndarray:
+    """Dense ranks from 0, equal for equal values."""
+    order = np.argsort(key, kind="stable")
+    fresh = np.ones(len(key), dtype=bool)
+    fresh[1:] = key[order[1:]] != key[order[:-1]]
+    out = np.empty(len(key), dtype=np.int64)
+    out[order] = np.cumsum(fresh) - 1
+    return out
+
+
+def window_names(ids: np.ndarray, k: int) -> np.ndarray:
+    """A number per window of k ids that equal windows share, and only those.
+
+    Windows of twice the length are ranked by their halves, as in a suffix array.
+    """
+    n = len(ids) - k + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.int64)
+    out, done, part, reach = None, 0, ids.astype(np.int64), 1
+    while True:
+        if k & reach:
+            piece = part[done : done + n]
+            out = piece if out is None else ranks((out << 32) | piece)
+            done += reach
+        if reach * 2 > k:
+            return out
+        part, reach = ranks((part[:-reach] << 32) | part[reach:]), reach * 2
+
+
+def spans_coded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.DictionaryArray:
+    """The byte strings of consecutive spans that don't overlap, each distinct one once."""
+    change = np.zeros(len(data) + 1, dtype=np.int8)
+    full = ends > starts
+    np.add.at(change, starts[full], 1)
+    np.add.at(change, ends[full], -1)
+    inside = np.cumsum(change[:-1], dtype=np.int8) > 0
+    place = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    buffers = [None, pa.py_buffer(place), pa.py_buffer(np.ascontiguousarray(data[inside]))]
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), buffers).dictionary_encode()
+
+
 class Words:
     """Words of consecutive documents in one byte buffer.
 
@@ -97,6 +143,17 @@ class Words:
         at = np.arange(max(m, 0))
         return span_hashes(self.hashes, at, at + k)
 
+    def ids(self) -> np.ndarray:
+        """A number per word that equal words of the buffer share, and only those."""
+        return spans_coded(self.data, self.starts, self.ends).indices.to_numpy().astype(np.int64)
+
+    def lanes(self) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of BLAKE2 per word, as two arrays; the same in every buffer."""
+        coded = spans_coded(self.data, self.starts, self.ends)
+        raw = b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in coded.dictionary.to_pylist()])
+        table, at = np.frombuffer(raw, dtype=np.uint64).reshape(-1, 2), coded.indices.to_numpy()
+        return table[at, 0], table[at, 1]
+
     def inside(self, k: int) -> np.ndarray:
         """Whether the k words from each position are of one document."""
         m = len(self.starts) - k + 1
@@ -105,6 +162,15 @@ class Words:
         return self.doc[:m] == self.doc[k - 1 :]
 
 
+def folded(values: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k values from each position, taken in one after the other."""
+    n = max(len(values) - k + 1, 0)
+    out = np.full(n, np.uint64(k))
+    for i in range(k):
+        out = mix(out * np.uint64(_BASE) + values[i : i + n])
+    return out
+
+
 def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Which of n positions lie in any of the spans."""
     change = np.zeros(n + 1, dtype=np.int64)

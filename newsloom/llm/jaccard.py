@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.arrays import Words, keyed, mix, on_row, slices, span_hashes
+from newsloom.llm.arrays import Words, folded, keyed, mix, on_row, slices
 from newsloom.llm.store import written
 
 SHINGLE = 5
@@ -69,16 +69,22 @@ class ShingleSets:
         n = len(offsets) - 1
         inside = w.inside(SHINGLE)
         at = np.flatnonzero(inside)
-        doc, key = w.doc[at], w.grams(SHINGLE)[at] if len(at) else np.zeros(0, dtype=np.uint64)
-        short = np.flatnonzero((w.counts > 0) & (w.counts < SHINGLE))
-        if len(short):
-            whole = span_hashes(w.hashes, w.first[short], w.first[short + 1])
-            doc, key = np.concatenate([doc, short]), np.concatenate([key, whole])
+        lanes = w.lanes()
+        docs, keys = [w.doc[at]], [[folded(v, SHINGLE)[at]] for v in lanes]
+        # A text of fewer words is one shingle.
+        for k in range(1, SHINGLE):
+            short = np.flatnonzero(w.counts == k)
+            if len(short):
+                docs.append(short)
+                for held, v in zip(keys, lanes, strict=True):
+                    held.append(folded(v, k)[w.first[short]])
+        doc = np.concatenate(docs)
+        key, second = (np.concatenate(held) for held in keys)
         order = np.lexsort((key, doc))
         doc, key = doc[order], key[order]
         fresh = np.ones(len(doc), dtype=bool)
         fresh[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
-        self.doc, self.key = doc[fresh], key[fresh]
+        self.doc, self.key, self.second = doc[fresh], key[fresh], second[order][fresh]
         self.counts = np.bincount(self.doc, minlength=n)
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
         self.full = np.flatnonzero(self.counts)
@@ -87,8 +93,8 @@ class ShingleSets:
         """128-bit name of each set (rows of zeros for empty ones)."""
         out = np.zeros((len(self.counts), 2), dtype=np.uint64)
         if len(self.full):
-            for i in (0, 1):
-                out[self.full, i] = np.add.reduceat(mix(self.key ^ _SEEDS[-1 - i]), self.first[self.full])
+            for i, key in enumerate((self.key, self.second)):
+                out[self.full, i] = np.add.reduceat(mix(key ^ _SEEDS[-1 - i]), self.first[self.full])
         return out
 
     def tokens(self) -> np.ndarray:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm import crf
-from newsloom.llm.arrays import SpanHasher, Words, covered, slices
+from newsloom.llm.arrays import Words, covered, slices, spans_coded, window_names
 
 # Bound of the training sample, in labelled documents per class.
 SAMPLE = 1_500
@@ -68,7 +68,7 @@ class Lines:
         begin = np.maximum(offsets[doc], np.append(breaks, 0)[np.searchsorted(breaks, w.starts[head]) - 1] + 1)
         begin = np.where(np.searchsorted(breaks, w.starts[head]) > 0, begin, offsets[doc])
         end = np.minimum(offsets[doc + 1], np.append(breaks, len(data))[np.searchsorted(breaks, w.starts[head])])
-        dup = self._earlier(SpanHasher(data)(begin, end), doc)
+        dup = self._earlier(spans_coded(data, begin, end).indices.to_numpy(), doc)
         self.n_dup_lines = np.bincount(doc[dup], minlength=n)
         self.doc, self.words = doc, size
         self.counts = np.bincount(doc, minlength=n)
@@ -95,7 +95,7 @@ class Lines:
         if not inside.any():
             return np.zeros(len(w.starts), dtype=bool)
         at = np.flatnonzero(inside)
-        key = w.grams(WINDOW)[at]
+        key = window_names(w.ids(), WINDOW)[at]
         order = np.lexsort((key, w.doc[at]))
         k, d = key[order], w.doc[at][order]
         same = (k[1:] == k[:-1]) & (d[1:] == d[:-1])

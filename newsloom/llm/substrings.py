@@ -6,16 +6,18 @@ window's anchor is the smallest hash among its k-word grams, so equal windows
 have equal anchors, and consecutive windows with one anchor form a run. Runs
 whose anchor occurs once cannot repeat. The others are put into a suffix
 automaton per anchor; each run is streamed through it, and its matching
-statistics tell which windows another run holds too. Words are compared, so
-hashes only decide who meets whom.
+statistics tell which windows another run holds too (a run that itself occurs
+twice needs none: all its windows do). Words are compared, so hashes only decide
+who meets whom.
 
 Equal runs meet as one row with a count, so copies never pile up in a task.
 Where the different runs of an anchor are too many words for an automaton
-(``AUTOMATON`` bytes), the task counts their windows instead. Beyond ``CROWD``
-bytes they are dealt out: runs fall into parts by a second anchor, parts that
-occur once cannot repeat, and the windows of the others are counted by a
-shuffle. All three ways give the same result, and no run is left out. The corpus is its own reference, without
-a size bound, so shards travel by shuffle and not by broadcast.
+(``AUTOMATON`` bytes), the task sorts their windows instead, ranked by their
+words as in a suffix array. Beyond ``CROWD`` bytes they are dealt out: runs fall
+into parts by a second anchor, parts that occur once cannot repeat, and the
+windows of the others are counted by MD5 in a shuffle. All three ways give the
+same result, and no run is left out. The corpus is its own reference, without a
+size bound, so shards travel by shuffle and not by broadcast.
 
 Null texts count as empty and keep nothing. Rows that repeat a document count
 as occurrences of their own; a null doc_id is a value like any other.
@@ -31,14 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.arrays import SpanHasher, Words, covered, keyed, mix, on_row, slices
+from newsloom.llm.arrays import Words, covered, keyed, mix, on_row, ranks, slices, window_names
 from newsloom.llm.store import written
 
 WINDOW = 35
 GRAM = 8
 # Bytes of an anchor's runs that one automaton takes, and that one task takes.
 AUTOMATON, CROWD = 128 << 10, 32 << 20
-# Seed of the second anchor and of second hashes.
+# Seed of the second anchor.
 SECOND = 0x5851F42D4C957F2D
 
 
@@ -264,16 +266,13 @@ def by_automaton(group: list[tuple[bytes, int, bytes]], window: int) -> Iterator
 
 
 def by_count(group: list[tuple[bytes, int, bytes]], window: int) -> Iterator[tuple[bytes, list[int]]]:
-    """The same by counting 128-bit hashes of windows."""
+    """The same by sorting: windows are named by ranks of their words, not by hashes."""
     offsets = np.cumsum([0, *(len(words) for _, _, words in group)])
     w = Words(np.frombuffer(b"".join(words for _, _, words in group), dtype=np.uint8), offsets)
     at = np.flatnonzero(w.inside(window))
-    a, b = w.grams(window)[at], SpanHasher(mix(w.hashes ^ np.uint64(SECOND)))(at, at + window)
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    name = np.cumsum(np.append(False, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-    times = np.array([n for _, n, _ in group])[w.doc[at[order]]]
-    hit = np.sort(at[order][(np.bincount(name, weights=times) >= 2)[name]])
+    name = ranks(window_names(w.ids(), window)[at])
+    times = np.array([n for _, n, _ in group])[w.doc[at]]
+    hit = at[(np.bincount(name, weights=times) >= 2)[name]]
     ends = np.searchsorted(hit, w.first)
     for i, (key, _, _) in enumerate(group):
         yield key, (hit[ends[i] : ends[i + 1]] - w.first[i]).tolist()

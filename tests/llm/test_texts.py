@@ -270,3 +270,69 @@ def test_empty_tables(spark, nothing, tokenizer):
         shard_by_bytes(nothing),
     ]
     assert [df.count() for df in made] == [0] * len(made)
+
+
+# Sequences that collide under polynomial hashes modulo 2^64
+
+
+def thue_morse(n, flip=0):
+    return [(bin(i).count("1") + flip) % 2 for i in range(n)]
+
+
+def colliding(a="a", b="b", n=2_048, sep=""):
+    return tuple(sep.join((a, b)[x] for x in thue_morse(n, flip)) for flip in (0, 1))
+
+
+def test_colliding_sequences_are_told_apart(spark):
+    import numpy as np
+
+    from newsloom.llm.jaccard import near_duplicates
+    from newsloom.llm.quality import Lines
+    from newsloom.llm.substrings import by_automaton, by_count, remove_repeats
+
+    def raw(text):
+        data = np.frombuffer(text.encode(), dtype=np.uint8)
+        return data, np.array([0, len(data)])
+
+    one, two = colliding()
+    lines = Lines(*raw(f"{one}\n{two}\n{one}"))
+    assert lines.n_dup_lines.tolist() == [1]
+    words = [f"p{i}" for i in range(60)]
+    lines = Lines(*raw(" ".join([*words[:4], one, *words[4:40], *words[:4], two, *words[40:]])))
+    assert lines.n_repeat_words.tolist() == [0]
+    # Windows that differ in one colliding word, and texts that do.
+    apart = [" ".join([*words[:20], w, *words[20:40]]) for w in (one, two)]
+    group = [(bytes([i]), 1, t.encode()) for i, t in enumerate(apart)]
+    assert list(by_automaton(group, 35)) == list(by_count(group, 35)) == [(b"\0", []), (b"\1", [])]
+    schema = "doc_id long, text string"
+    docs = spark.createDataFrame(list(enumerate(apart)) + [(7, apart[0])], schema)
+    assert {r.doc_id: r.n_removed for r in remove_repeats(docs).collect()} == {0: 41, 1: 0, 7: 41}
+    other = colliding("xx", "yy", sep=" ")
+    docs = spark.createDataFrame([(0, one), (1, two), (2, f"{one} z"), (3, f"{two} z"), (4, one), (5, other[0][:300]), (6, other[1][:300])], schema)
+    found = {r.doc_id: r.class_id for r in near_duplicates(docs).collect()}
+    assert found[0] == found[4] and len({found[i] for i in (0, 1, 2, 3)}) == 4
+
+
+def test_sorted_windows_agree_with_automata():
+    from newsloom.llm.substrings import by_automaton, by_count
+
+    rng = random.Random(9)
+    for _ in range(25):
+        group = []
+        for i in range(rng.randint(1, 6)):
+            text = " ".join(rng.choice("abc") for _ in range(rng.randint(5, 60)))
+            group.append((bytes([i]), rng.choice([1, 1, 2]), text.encode()))
+        assert list(by_automaton(group, 5)) == [(k, list(s)) for k, s in by_count(group, 5)]
+
+
+def test_window_names():
+    import numpy as np
+
+    from newsloom.llm.arrays import window_names
+
+    ids = np.random.default_rng(1).integers(0, 3, 300)
+    for k in (1, 2, 3, 5, 8, 35):
+        names = window_names(ids, k)
+        cut = [tuple(ids[i : i + k].tolist()) for i in range(len(ids) - k + 1)]
+        assert len(names) == len(cut) and len(set(zip(names.tolist(), cut, strict=True))) == len(set(cut)) == len(set(names.tolist()))
+    assert len(window_names(ids[:3], 4)) == 0
