@@ -1,14 +1,21 @@
 """Exact top-k inner products by pivot-table elimination.
 
-Every vector carries its distances to a few pivots (and to the origin). By the
-triangle inequality each pivot bounds the distance of a query and a candidate
-from below; the largest bound limits their inner product from above. Candidates
-are evaluated in the order of that limit until no later one can enter the top k,
-ties included, so results are exact whatever the pivots are.
-
-Queries and candidates meet in tiles, a block of queries with a block of
-candidates, joined by the pair of block numbers. A tile returns at most k rows
-per query, and a window that Spark trims per task picks the k best.
+Vectors become integers, floor(256 x). Every vector carries its distances to many
+pivots, the origin among them. By the triangle inequality each pivot bounds the
+distance of a query and a candidate from below; the largest bound limits their
+inner product from above. Candidates are evaluated in the order of that limit until
+no later one can enter the top k, ties included, so results are exact whatever the
+pivots are.
+
+Rows are dealt to cells by their nearest pivot, and cells to blocks of bounded
+size. A query first meets one block of its own cell, which gives it a k-th score.
+With it, whole cells are eliminated by the ranges of their distances to the
+pivots; queries travel, packed, to the blocks of the cells that are left. Blocks
+report only rows that reach the k-th score.
+
+Arithmetic is exact: in float64 or int64 where no score can leave them, else in
+Python integers; a score in the result that a long can't hold is an error. Bounds
+are rounded, and widened by more than their error.
 
 Vectors that are null or hold a null or non-finite component take no part, nor
 do rows without id. Shorter vectors count as padded with zeros. Candidates of a
@@ -17,164 +24,295 @@ query are the rows of other ids; equal query rows are one query.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.store import written
+from newsloom.llm.vectors import finite, floors, matrix
 
-PIVOTS = 12
+SCALE = 256
+PIVOTS = 32
 # Vectors that the pivots are chosen from (lowest hashes).
-SAMPLE = 512
-QUERY_ROWS, ROWS = 1_024, 16_384
-# Inner products below this are exact in float64.
-EXACT = 2.0**53
-
-
-def quantised(vector: Column) -> Column:
-    """floor(256 x) per component, as whole numbers; null if a part is unusable."""
-    good = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.when(good, F.transform(vector, lambda x: F.floor(x.cast("double") * 256).cast("long")))
-
-
-def pivots_of(vectors: DataFrame) -> np.ndarray:
-    """Far-apart vectors of a bounded sample, and the origin first."""
-    rows = vectors.select("id", "vector").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
-    if not rows:
-        return np.zeros((1, 1))
-    width = max(len(r["vector"]) for r in rows)
-    sample = np.zeros((len(rows), max(width, 1)))
-    for i, r in enumerate(rows):
-        sample[i, : len(r["vector"])] = r["vector"]
-    chosen = [np.zeros(sample.shape[1])]
-    near = ((sample - chosen[0]) ** 2).sum(axis=1)
+SAMPLE = 1_024
+QUERY_ROWS, ROWS = 512, 8_192
+# Share by which a bound on an inner product is widened; float64 errs by far less.
+SLACK = 1e-9
+
+
+def pivots_of(vectors: DataFrame, width: int) -> np.ndarray:
+    """Far-apart vectors of a bounded sample, the origin first."""
+    rows = vectors.select("id", "vector").orderBy(F.xxhash64("id", "vector"), "id", "vector").limit(SAMPLE).collect()
+    sample = matrix(pa.array([r["vector"] for r in rows], pa.list_(pa.float64())), width) * SCALE
+    chosen = [np.zeros(width)]
+    near = np.sqrt(((sample - chosen[0]) ** 2).sum(axis=1)) if len(rows) else np.zeros(1)
     while len(chosen) <= PIVOTS and near.max() > 0:
         chosen.append(sample[int(near.argmax())])
-        near = np.minimum(near, ((sample - chosen[-1]) ** 2).sum(axis=1))
+        near = np.minimum(near, np.sqrt(((sample - chosen[-1]) ** 2).sum(axis=1)))
     return np.stack(chosen)
 
 
-def _widen(a: np.ndarray, width: int) -> np.ndarray:
-    return a if a.shape[1] >= width else np.pad(a, ((0, 0), (0, width - a.shape[1])))
-
-
 def distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Distances to the pivots, rows x pivots."""
-    width = max(vectors.shape[1], pivots.shape[1])
-    v, p = _widen(vectors, width).astype(float), _widen(pivots, width)
-    square = (v * v).sum(axis=1)[:, None] + (p * p).sum(axis=1)[None] - 2 * (v @ p.T)
-    return np.sqrt(np.maximum(square, 0))
+    """Distances to the pivots, rows x pivots; each difference is squared, so none cancels."""
+    out = np.empty((len(vectors), len(pivots)))
+    for i, p in enumerate(pivots):
+        gap = vectors - p
+        most = max(float(np.abs(gap).max(initial=0)), 1.0)
+        out[:, i] = np.sqrt(((gap / most) ** 2).sum(axis=1)) * most
+    return out
+
+
+def _bytes(a: np.ndarray) -> bytes:
+    return np.ascontiguousarray(a).tobytes()
+
+
+def packed(vectors: np.ndarray) -> bytes:
+    """Integers as int16 or int64 behind a letter, larger ones pickled."""
+    if vectors.dtype == object:
+        return b"o" + pickle.dumps(vectors.tolist())
+    small = np.abs(vectors).max(initial=0) < 2**15
+    return (b"h" if small else b"q") + _bytes(vectors.astype(np.int16 if small else np.int64))
+
+
+def unpacked(raw: bytes, width: int) -> np.ndarray:
+    if raw[:1] == b"o":
+        out = np.array(pickle.loads(raw[1:]), dtype=object)
+        return out.reshape(-1, width)
+    kind = np.int16 if raw[:1] == b"h" else np.int64
+    return np.frombuffer(raw, dtype=kind, offset=1).astype(np.int64).reshape(-1, width)
+
+
+def products(vectors: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Exact inner products: int64, or Python integers where one could leave it."""
+    most = len(q) * max(int(abs(q).max(initial=0)), 1) * max((int(abs(vectors).max()) if vectors.size else 0), 1)
+    if most < 2**53:
+        return np.rint(vectors.astype(float) @ q.astype(float)).astype(np.int64)
+    if most < 2**63:
+        return vectors.astype(np.int64) @ q.astype(np.int64)
+    return vectors.astype(object) @ q.astype(object)
+
+
+class Found:
+    """The k best (score, id) of a query so far, and the score to reach."""
+
+    def __init__(self, own: int, q: np.ndarray, far: np.ndarray, k: int, reach: int | None):
+        self.own, self.q, self.far, self.k, self.reach = own, q, far, k, reach
+        self.best: list[tuple[int, int]] = []
+
+    def look(self, ids: np.ndarray, vectors: np.ndarray, far: np.ndarray) -> int:
+        """Evaluate a block in the order of bounds until no later row can enter; rows evaluated."""
+        gap = np.abs(far - self.far[None]).max(axis=1)
+        length, lengths = self.far[0], far[:, 0]
+        # (|q|^2 + |v|^2 - d^2) / 2, as products of sums and differences.
+        limit = (length * length + (lengths - gap) * (lengths + gap)) / 2
+        limit = np.minimum(limit, length * lengths) + SLACK * (length + lengths) ** 2 + 1
+        limit = np.where(ids == self.own, -np.inf, limit)
+        order = np.argsort(-limit, kind="stable")
+        at, step = 0, 256
+        while at < len(order):
+            if limit[order[at]] == -np.inf or (self.reach is not None and limit[order[at]] < self.reach):
+                break
+            part = order[at : at + step]
+            part = part[ids[part] != self.own]
+            scores = products(vectors[part], self.q)
+            if self.reach is not None:
+                hit = np.flatnonzero((scores >= self.reach).astype(bool))
+                part, scores = part[hit], scores[hit]
+            new = sorted((-int(s), int(i)) for s, i in zip(scores.tolist(), ids[part].tolist(), strict=True))[: self.k]
+            self.best = sorted(self.best + new)[: self.k]
+            if len(self.best) == self.k:
+                self.reach = -self.best[-1][0]
+            at, step = at + step, step * 2
+        return min(at, len(order))
+
+
+def _one(values: dict, schema: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([values[n]], t) for n, t in schema], [n for n, _ in schema])
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+_BLOCK = "block int, ids binary, vectors binary, far binary"
+_QUERIES = "block int, q_ids binary, q_names binary, q_vectors binary, q_far binary, q_reach binary"
+_Q = [(c.split()[0], pa.int32() if "int" in c else pa.binary()) for c in _QUERIES.split(", ")]
+_HIT = [("query_id", pa.int64()), ("query", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]
+
+
+def _pack(width: int, pivots: np.ndarray):
+    """One row per block: ids, integers and pivot distances."""
 
+    def pack(table: pa.Table) -> pa.Table:
+        vectors = floors(matrix(table.column("vector"), width), SCALE)
+        ids = table.column("id").to_numpy().astype(np.int64)
+        row = {"block": table.column("block")[0].as_py(), "ids": _bytes(ids), "vectors": packed(vectors)}
+        row["far"] = _bytes(distances(vectors.astype(float), pivots))
+        kinds = [("block", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary()), ("far", pa.binary())]
+        return pa.Table.from_batches([_one(row, kinds)])
+
+    return pack
 
-def _pack(pivots: np.ndarray):
-    """One row per block: ids, vectors and pivot distances as byte strings."""
 
+def _pack_queries(width: int, pivots: np.ndarray):
     def pack(table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_numpy().astype(np.int64)
-        lists = table.column("vector").to_pylist()
-        width = max(map(len, lists))
-        vectors = np.zeros((len(lists), width), dtype=np.int64)
-        for i, x in enumerate(lists):
-            vectors[i, : len(x)] = x
-        small = len(lists) and np.abs(vectors).max(initial=0) < 2**15
-        return pa.table(
-            {
-                "block": pa.array([table.column("block")[0].as_py()], pa.int32()),
-                "width": pa.array([width], pa.int32()),
-                "small": pa.array([bool(small)], pa.bool_()),
-                "ids": pa.array([ids.tobytes()], pa.binary()),
-                "vectors": pa.array([vectors.astype(np.int16 if small else np.int64).tobytes()], pa.binary()),
-                "far": pa.array([distances(vectors, pivots).tobytes()], pa.binary()),
-            }
-        )
+        vectors = floors(matrix(table.column("vector"), width), SCALE)
+        ids, names = (table.column(c).to_numpy().astype(np.int64) for c in ("id", "name"))
+        row = {"block": table.column("block")[0].as_py(), "q_ids": _bytes(ids), "q_names": _bytes(names), "q_vectors": packed(vectors)}
+        row |= {"q_far": _bytes(distances(vectors.astype(float), pivots)), "q_reach": pickle.dumps([None] * len(ids))}
+        return pa.Table.from_batches([_one(row, _Q)])
 
     return pack
 
 
-_BLOCK = "block int, width int, small boolean, ids binary, vectors binary, far binary"
-
-
-def _unpack(row: dict, side: str, pivots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids = np.frombuffer(row[f"{side}ids"], dtype=np.int64)
-    kind = np.int16 if row[f"{side}small"] else np.int64
-    vectors = np.frombuffer(row[f"{side}vectors"], dtype=kind).reshape(len(ids), row[f"{side}width"]).astype(np.int64)
-    return ids, vectors, np.frombuffer(row[f"{side}far"], dtype=np.float64).reshape(len(ids), pivots)
-
-
-def best_of(q: np.ndarray, q_far: np.ndarray, own: int, ids: np.ndarray, vectors: np.ndarray, far: np.ndarray, k: int) -> list[tuple[int, int]]:
-    """The k best (id, score) of a block for one query, evaluated in bound order."""
-    bound = np.abs(far - q_far[None]).max(axis=1)
-    # Distances are rounded; the margin keeps the limit safe.
-    limit = (q_far[0] ** 2 + far[:, 0] ** 2 - np.maximum(bound - 1e-3, 0) ** 2) / 2 * (1 + 1e-9) + 1
-    limit = np.where(ids == own, -np.inf, limit)
-    order = np.argsort(-limit, kind="stable")
-    exact = float(np.abs(q).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(len(q), 1) < EXACT
-    best: list[tuple[int, int]] = []
-    at, step = 0, 256
-    while at < len(order):
-        if not np.isfinite(limit[order[at]]) or (len(best) == k and limit[order[at]] < -best[-1][0]):
-            break
-        part = order[at : at + step]
-        part = part[ids[part] != own]
-        scores = np.rint(vectors[part].astype(float) @ q.astype(float)).astype(np.int64) if exact else vectors[part] @ q
-        if len(best) == k:
-            hit = scores >= -best[-1][0]
-            part, scores = part[hit], scores[hit]
-        lead = np.lexsort((ids[part], -scores))[:k]
-        best = sorted(best + [(-int(scores[i]), int(ids[part[i]])) for i in lead])[:k]
-        at, step = at + step, step * 2
-    return [(i, -s) for s, i in best]
-
-
-def _tile(k: int, pivots: int):
+def _answer(width: int, pivots: int, k: int):
+    """Queries of a row against its block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            ids, vectors = np.frombuffer(row["ids"], dtype=np.int64), unpacked(row["vectors"], width)
+            far = np.frombuffer(row["far"]).reshape(-1, pivots)
+            names = np.frombuffer(row["q_names"], dtype=np.int64)
+            found = _queries(row, width, pivots, k)
+            for f in found:
+                f.look(ids, vectors, far)
+            hits = [(f.own, int(n), i, -s) for f, n in zip(found, names, strict=True) for s, i in f.best]
+            lists = [pa.array([[h[c] for h in hits]], pa.list_(t)) for c, (_, t) in enumerate(_HIT)]
+            reach = pickle.dumps([f.reach for f in found])
+            own = [pa.array([reach if n == "q_reach" else row[n]], t) for n, t in _Q]
+            yield pa.RecordBatch.from_arrays([*own, *lists], [n for n, _ in [*_Q, *_HIT]])
+
+    return run, f"{_QUERIES}, " + ", ".join(f"{n} array<long>" for n, _ in _HIT)
+
+
+def _queries(row: dict, width: int, pivots: int, k: int) -> list[Found]:
+    ids, vectors = np.frombuffer(row["q_ids"], dtype=np.int64), unpacked(row["q_vectors"], width)
+    far = np.frombuffer(row["q_far"]).reshape(-1, pivots)
+    return [Found(int(i), v, d, k, r) for i, v, d, r in zip(ids, vectors, far, pickle.loads(row["q_reach"]), strict=True)]
+
+
+def survivors(far: np.ndarray, reach: list, ranges: np.ndarray) -> np.ndarray:
+    """Cells x queries: whether a cell can hold a row that reaches the query's score.
+
+    ``ranges``: cells x pivots x (least, largest) distance of a cell's rows.
+    """
+    gap = np.maximum(ranges[:, None, :, 0] - far[None], far[None] - ranges[:, None, :, 1]).max(axis=2)
+    gap = np.maximum(gap, 0)
+    length, longest = far[None, :, 0], ranges[:, None, 0, 1]
+    limit = (length * length + (longest - gap) * (longest + gap)) / 2
+    limit = np.minimum(limit, length * longest) + SLACK * (length + longest) ** 2 + 1
+    return limit >= np.array([-np.inf if r is None else float(r) for r in reach])[None] * (1 - 1e-12) - 1
+
+
+def _travel(width: int, pivots: int, ranges: np.ndarray, blocks: list[list[int]]):
+    """Queries go to the other blocks of every cell that is not eliminated."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            ids, names = (np.frombuffer(row[c], dtype=np.int64) for c in ("q_ids", "q_names"))
+            vectors, reach = unpacked(row["q_vectors"], width), pickle.loads(row["q_reach"])
+            far = np.frombuffer(row["q_far"]).reshape(-1, pivots)
+            for cell, stays in enumerate(survivors(far, reach, ranges)):
+                go, homes = np.flatnonzero(stays), [b for b in blocks[cell] if b != row["block"]]
+                if len(go) and homes:
+                    values = [_bytes(ids[go]), _bytes(names[go]), packed(vectors[go]), _bytes(far[go]), pickle.dumps([reach[i] for i in go])]
+                    columns = [pa.array(homes, pa.int32()), *(pa.array([v] * len(homes), pa.binary()) for v in values)]
+                    yield pa.RecordBatch.from_arrays(columns, [n for n, _ in _Q])
+
+    return run
+
+
+def _place(width: int, pivots: np.ndarray):
+    """Cell (nearest pivot) of every row, with a number that stays once written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, n = TaskContext.get().partitionId() << 40, 0
         for batch in batches:
-            for row in batch.to_pylist():
-                q_ids, q_vectors, q_far = _unpack(row, "q_", pivots)
-                ids, vectors, far = _unpack(row, "", pivots)
-                width = max(q_vectors.shape[1], vectors.shape[1])
-                q_vectors, vectors = _widen(q_vectors, width), _widen(vectors, width)
-                out = [
-                    (int(q), n, i, s)
-                    for n, q in enumerate(q_ids)
-                    for i, s in best_of(q_vectors[n], q_far[n], int(q), ids, vectors, far, k)
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([r[0] for r in out], pa.int64()),
-                        pa.array([(row["q_block"] << 32) | r[1] for r in out], pa.int64()),
-                        pa.array([r[2] for r in out], pa.int64()),
-                        pa.array([r[3] for r in out], pa.int64()),
-                    ],
-                    ["query_id", "query", "vec_id", "score"],
-                )
+            cell = distances(matrix(batch.column("vector"), width) * SCALE, pivots).argmin(axis=1)
+            numbers = pa.array(first + n + np.arange(batch.num_rows), pa.int64())
+            columns = [batch.column(c) for c in ("id", "vector", "asked")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(cell.astype(np.int32)), numbers], ["id", "vector", "asked", "cell", "number"])
+            n += batch.num_rows
 
     return run
 
 
-def _blocks(vectors: DataFrame, rows: int, pivots: np.ndarray) -> tuple[DataFrame, int]:
-    count = max(1, -(-vectors.count() // rows))
-    block = F.pmod(F.xxhash64("id", "vector"), F.lit(count)).cast("int")
-    packed = vectors.withColumn("block", block).groupBy("block").applyInArrow(_pack(pivots), _BLOCK)
-    return packed, count
+def _measure(width: int, pivots: np.ndarray):
+    """Per task and cell: rows, and the range of distances to every pivot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(pivots)
+        low, high, rows = np.full((n, n), np.inf), np.full((n, n), -np.inf), np.zeros(n, dtype=np.int64)
+        for batch in batches:
+            far = distances(floors(matrix(batch.column("vector"), width), SCALE).astype(float), pivots)
+            cell = batch.column("cell").to_numpy()
+            np.minimum.at(low, cell, far)
+            np.maximum.at(high, cell, far)
+            rows += np.bincount(cell, minlength=n)
+        for c in np.flatnonzero(rows):
+            ints = [pa.array(np.full(n, c), pa.int32()), pa.array(np.arange(n), pa.int32()), pa.array(np.full(n, rows[c]), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*ints, pa.array(low[c]), pa.array(high[c])], ["cell", "pivot", "rows", "low", "high"])
+
+    return run
+
+
+def _dealt(counts: dict[int, int], cells: int, rows: int) -> list[list[int]]:
+    """Numbers of the blocks of each cell."""
+    out, n = [], 0
+    for c in range(cells):
+        parts = -(-counts.get(c, 0) // rows)
+        out.append(list(range(n, n + parts)))
+        n += parts
+    return out
+
+
+def _block(blocks: list[list[int]], key: Column) -> Column:
+    """A block of the row's cell, by the hash of a key."""
+    first = F.array(*[F.lit(b[0] if b else 0) for b in blocks])
+    parts = F.array(*[F.lit(max(len(b), 1)) for b in blocks])
+    return F.get(first, F.col("cell")) + F.pmod(key, F.get(parts, F.col("cell"))).cast("int")
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of every row where ``queries``."""
-    table = vectors.select(F.col(id_column).cast("long").alias("id"), quantised(F.col(column)).alias("vector"), queries.alias("asked"))
-    table = written(table.where(F.col("id").isNotNull() & F.col("vector").isNotNull()), "nearest-vectors")
-    pivots = pivots_of(table)
-    asked, n_asked = _blocks(table.where("asked").select("id", "vector").distinct(), QUERY_ROWS, pivots)
-    held, n_held = _blocks(table.select("id", "vector"), ROWS, pivots)
-    asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in asked.columns])
-    # Every pair of blocks once, joined by both numbers.
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_held - 1))))
-    held = held.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))))
-    found = asked.join(held, ["q_block", "block"]).mapInArrow(
-        _tile(k, len(pivots)), "query_id long, query long, vec_id long, score long"
+    vector = F.col(column)
+    table = vectors.where(F.col(id_column).isNotNull() & finite(vector)).select(
+        F.col(id_column).cast("long").alias("id"), vector.cast("array<double>").alias("vector"), F.coalesce(queries, F.lit(False)).alias("asked")
     )
+    width = table.agg(F.max(F.size("vector"))).first()[0] or 1
+    pivots = pivots_of(table, width)
+    n = len(pivots)
+    placed = written(table.mapInArrow(_place(width, pivots), "id long, vector array<double>, asked boolean, cell int, number long"), "nearest-rows")
+    spread = placed.select("vector", "cell").mapInArrow(_measure(width, pivots), "cell int, pivot int, rows long, low double, high double")
+    spread = spread.groupBy("cell", "pivot").agg(F.sum("rows").alias("rows"), F.min("low").alias("low"), F.max("high").alias("high")).collect()
+    # At most one row per cell and pivot.
+    ranges, counts = np.zeros((n, n, 2)), {}
+    for r in spread:
+        ranges[r["cell"], r["pivot"]] = r["low"], r["high"]
+        counts[r["cell"]] = r["rows"]
+    blocks = _dealt(counts, n, ROWS)
+    held = placed.select("id", "vector", _block(blocks, F.xxhash64("number")).alias("block"))
+    held = written(held.groupBy("block").applyInArrow(_pack(width, pivots), _BLOCK), "nearest-blocks")
+    asked = placed.where("asked").select("id", "vector", "cell").distinct().withColumn("name", F.xxhash64("vector"))
+    asked = written(asked, "nearest-queries")
+    # Queries of a cell go to its blocks, in parts of bounded size.
+    asked_in = {r["cell"]: r["count"] for r in asked.groupBy("cell").count().collect()}
+    parts = F.array(*[F.lit(max(1, -(-asked_in.get(c, 0) // (QUERY_ROWS * max(len(blocks[c]), 1))))) for c in range(n)])
+    at = F.xxhash64("id", "name")
+    asked = asked.withColumn("block", _block(blocks, at)).withColumn("part", F.pmod(F.xxhash64(at), F.get(parts, F.col("cell"))))
+    homes = asked.select("id", "name", "vector", "block", "part").groupBy("block", "part").applyInArrow(_pack_queries(width, pivots), _QUERIES)
+    run, schema = _answer(width, n, k)
+    first = written(homes.join(held, "block").mapInArrow(run, schema), "nearest-first")
+    going = first.select(*[c for c, _ in _Q]).mapInArrow(_travel(width, n, ranges, blocks), _QUERIES)
+    second = going.join(held, "block").mapInArrow(run, schema)
+    hits = F.inline(F.arrays_zip(*[c for c, _ in _HIT]))
+    found = first.select(hits).unionByName(second.select(hits))
     order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

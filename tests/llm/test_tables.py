@@ -103,6 +103,55 @@ def test_top_k(spark, monkeypatch, sizes):
     assert n.nearest(table.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("scale", [2.0**26, 1e8, 1e30])
+def test_top_k_of_large_components(spark, scale):
+    """Scores beyond 2^53 and 2^63 are compared exactly; what a long can't hold is an error."""
+    from newsloom.llm import nearest as n
+
+    rows = [(0, [scale, 1.0]), (1, [scale, 2.0]), (2, [1.0, 1.0]), (3, [scale, 2.0]), (50, [-scale, 0.5]), (51, [0.25 / scale, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [math.floor(256 * int(x)) if abs(x) >= 1 else math.floor(256 * x) for x in v] for i, v in rows}
+    want = {}
+    for q in (0, 50):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], w, strict=True)), i) for i, w in whole.items() if i != q)
+        want |= {(q, r): (i, -s) for r, (s, i) in enumerate(best[:2], 1)}
+    asked = n.nearest(table, F.col("vec_id") % 50 == 0, 2)
+    if all(abs(s) < 2**63 for _, s in want.values()):
+        assert {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in asked.collect()} == want
+    else:
+        with pytest.raises(Exception, match="Overflow|too large|out of"):
+            asked.collect()
+
+
+def test_cells_are_eliminated():
+    """Queries skip cells that can't hold a better row, and few rows are evaluated."""
+    import numpy as np
+
+    from newsloom.llm import nearest as n
+
+    rng = np.random.default_rng(3)
+    centres = rng.integers(-4_000, 4_000, (40, 16))
+    vectors = (centres[rng.integers(0, 40, 6_000)] + rng.integers(-40, 40, (6_000, 16))).astype(np.int64)
+    pivots = np.concatenate([np.zeros((1, 16)), vectors[:32].astype(float)])
+    far = n.distances(vectors.astype(float), pivots)
+    cell = far.argmin(axis=1)
+    ranges = np.array([[far[cell == c].min(axis=0), far[cell == c].max(axis=0)] if (cell == c).any() else np.zeros((2, 33)) for c in range(33)]).transpose(0, 2, 1)
+    asked = np.arange(0, 6_000, 60)
+    scores = vectors[asked] @ vectors.T
+    scores[np.arange(len(asked)), asked] = -(2**62)
+    reach = np.sort(scores, axis=1)[:, -5]
+    stays = n.survivors(far[asked], reach.tolist(), ranges)
+    best = np.argsort(-scores, axis=1)[:, :5]
+    assert all(stays[cell[b], i].all() for i, b in enumerate(best))
+    assert stays.mean() < 0.6
+    ids, looked = np.arange(len(vectors)), 0
+    for i, q in enumerate(asked[:30]):
+        f = n.Found(int(q), vectors[q], far[q], 5, None)
+        looked += f.look(ids, vectors, far)
+        assert [-s for s, _ in f.best] == np.sort(scores[i])[::-1][:5].tolist()
+    assert looked < 0.5 * 30 * len(vectors)
+
+
 # Bin packing
 
 
