@@ -4,7 +4,7 @@ Base findings are matches of three patterns. The entropy scan adds candidate
 strings of which some window of ``WINDOW`` characters has a Shannon entropy above
 the limit of its character class. Counts of the window are kept while it slides:
 the entering and the leaving character each change one count and one term of the
-sum. Candidates on the allow list, and those that touch a base finding, add
+sum, so the time is linear in the candidate. Candidates on the allow list, and those that touch a base finding, add
 nothing. All of it is SQL expressions on the row, so texts are not shuffled and
 no key can be hot.
 
@@ -43,8 +43,21 @@ ALLOW = (
 )
 
 
+# Matches whose places are added up at once.
+STRETCH = 512
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def found(text: Column, pattern: str, kind: int) -> Column:
-    """Matches of a pattern as (start, kind, end, value), in code points."""
+    """Matches of a pattern as (start, kind, end, value), in code points.
+
+    Places are sums of the lengths before; they are added up stretch by stretch,
+    so that long lists are copied once per stretch, not once per match.
+    """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     pairs = F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
@@ -57,47 +70,83 @@ def found(text: Column, pattern: str, kind: int) -> Column:
         one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), p["hit"].alias("value"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    whole = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.regexp_like(text, F.lit(pattern)), whole).otherwise(none)
+    def stretch(held: Column):
+        def add(acc: Column, i: Column) -> Column:
+            some = F.slice(held, i * STRETCH + 1, F.lit(STRETCH))
+            part = F.aggregate(some, F.struct(acc["at"].alias("at"), none.alias("out")), step)
+            return let(part, lambda p: F.struct(p["at"].alias("at"), F.concat(acc["out"], p["out"]).alias("out")))
+
+        count = F.floor((F.size(held) + STRETCH - 1) / STRETCH).cast("int")
+        parts = F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1)
+        return F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc["out"])
 
+    return F.when(F.regexp_like(text, F.lit(pattern)), let(pairs, stretch)).otherwise(none)
 
-def _term(n: Column) -> Column:
-    """n log2 n, with 0 for none."""
-    return F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
+
+# Counts of the window's characters: five bits for each of the characters from '+' to
+# 'z', twelve to a long. Terms n log2 n are whole numbers, so sums don't drift.
+LEAST, EACH, PER_LONG, LONGS = 43, 5, 12, 7
+UNIT = 1 << 32
+TERMS = [round(n * math.log2(n) * UNIT) if n else 0 for n in range(WINDOW + 1)]
 
 
 def entropy_range(value: Column, limit: Column) -> Column:
     """(first, end): from the first to the last window above the limit; null if none."""
+    none = F.lit(None).cast("int")
     start = F.struct(
-        F.array_repeat(F.lit(0), 128).alias("counts"),
-        F.lit(0.0).alias("sum"),
-        F.lit(None).cast("int").alias("first"),
-        F.lit(None).cast("int").alias("end"),
+        F.array_repeat(F.lit(0).cast("long"), LONGS).alias("counts"),
+        F.lit(0).cast("long").alias("sum"),
+        F.lit(0).alias("at"),
+        none.alias("first"),
+        none.alias("end"),
+        F.floor((F.lit(math.log2(WINDOW)) - limit) * WINDOW * UNIT).alias("most"),
     )
-
-    def slide(acc: Column, i: Column) -> Column:
-        enter = F.ascii(F.substr(value, i, F.lit(1)))
-        leave = F.when(i > WINDOW, F.ascii(F.substr(value, i - WINDOW, F.lit(1)))).otherwise(F.lit(-1))
-        many, few = F.get(acc["counts"], enter), F.get(acc["counts"], leave)
-        same = enter == leave
-        change = F.when(same, 0.0).otherwise(
-            _term(many + 1) - _term(many) + F.when(leave >= 0, _term(few - 1) - _term(few)).otherwise(0.0)
-        )
-        counts = F.when(same, acc["counts"]).otherwise(
-            F.transform(acc["counts"], lambda n, j: n + (j == enter).cast("int") - (j == leave).cast("int"))
+    terms = F.array(*[F.lit(t).cast("long") for t in TERMS])
+
+    def bits(c: Column) -> Column:
+        return (c % PER_LONG) * EACH
+
+    def held(counts: Column, c: Column) -> Column:
+        word = F.get(counts, F.floor(c / PER_LONG).cast("int"))
+        return F.call_function("shiftright", word, bits(c)).bitwiseAND(F.lit(31).cast("long")).cast("int")
+
+    def one(c: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), bits(c))
+
+    def slide(acc: Column, p: Column) -> Column:
+        enter, leave = p["enter"], p["leave"]
+        many, few = held(acc["counts"], enter), held(acc["counts"], leave)
+        word = lambda c: F.floor(c / PER_LONG).cast("int")
+        grown = F.transform(acc["counts"], lambda n, j: F.when(j == word(enter), n + one(enter)).otherwise(n))
+        moved = F.transform(
+            acc["counts"],
+            lambda n, j: n + F.when(j == word(enter), one(enter)).otherwise(0) - F.when(j == word(leave), one(leave)).otherwise(0),
         )
-        total = acc["sum"] + change
-        above = (i >= WINDOW) & (F.lit(math.log2(WINDOW)) - total / WINDOW >= limit)
-        return F.struct(
-            counts.alias("counts"),
-            total.alias("sum"),
-            F.when(above, F.coalesce(acc["first"], i - WINDOW)).otherwise(acc["first"]).alias("first"),
-            F.when(above, i).otherwise(acc["end"]).alias("end"),
-        )
-
-    return F.aggregate(
-        F.sequence(F.lit(1), F.length(value)), start, slide, lambda acc: F.struct(acc["first"].alias("first"), acc["end"].alias("end"))
-    )
+        more = F.get(terms, many + 1) - F.get(terms, many)
+        change = F.when(leave < 0, more).when(enter == leave, F.lit(0).cast("long"))
+        change = change.otherwise(more + F.get(terms, few - 1) - F.get(terms, few))
+        counts = F.when(leave < 0, grown).when(enter == leave, acc["counts"]).otherwise(moved)
+
+        def ended(total: Column) -> Column:
+            at = acc["at"] + 1
+            above = (at >= WINDOW) & (total <= acc["most"])
+            return F.struct(
+                counts.alias("counts"),
+                total.alias("sum"),
+                at.alias("at"),
+                F.when(above, F.coalesce(acc["first"], at - WINDOW)).otherwise(acc["first"]).alias("first"),
+                F.when(above, at).otherwise(acc["end"]).alias("end"),
+                acc["most"].alias("most"),
+            )
+
+        return let(acc["sum"] + change, ended)
+
+    def walk(codes: Column) -> Column:
+        left = F.slice(F.concat(F.array_repeat(F.lit(-1), WINDOW), codes), F.lit(1), F.size(codes))
+        pairs = F.zip_with(codes, left, lambda e, x: F.struct(e.alias("enter"), x.alias("leave")))
+        return F.aggregate(pairs, start, slide, lambda acc: F.struct(acc["first"].alias("first"), acc["end"].alias("end")))
+
+    return let(F.transform(F.split(value, ""), lambda c: F.ascii(c) - LEAST), walk)
 
 
 def limit_of(value: Column) -> Column:

@@ -336,3 +336,42 @@ def test_window_names():
         cut = [tuple(ids[i : i + k].tolist()) for i in range(len(ids) - k + 1)]
         assert len(names) == len(cut) and len(set(zip(names.tolist(), cut, strict=True))) == len(set(cut)) == len(set(names.tolist()))
     assert len(window_names(ids[:3], 4)) == 0
+
+
+def brute_entropy(value, limit, size=20):
+    import math
+
+    above = []
+    for i in range(len(value) - size + 1):
+        counts = Counter(value[i : i + size])
+        # The sum of n log2 n in whole units, as the operator keeps it.
+        total = sum(round(n * math.log2(n) * 2**32) for n in counts.values())
+        if total <= math.floor((math.log2(size) - limit) * size * 2**32):
+            above.append(i)
+    return (above[0], above[-1] + size) if above else None
+
+
+def test_entropy_of_long_candidates(spark):
+    """Random candidates of thousands of characters, and one of a million in linear time."""
+    import time
+
+    from newsloom.llm import secrets as s
+
+    rng = random.Random(6)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    values = []
+    for i in range(25):
+        few = "".join(rng.sample(alphabet, rng.randint(3, 12)))
+        parts = [few * 4] if i < 5 else [rng.choice([few * 4, "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 40)))]) for _ in range(rng.randint(1, 60))]
+        values.append("q9Z" + "".join(parts))
+    docs = spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")
+    found = docs.select("doc_id", s.entropy_range(F.col("text"), F.lit(3.8)).alias("r")).collect()
+    want = {i: brute_entropy(v, 3.8) for i, v in enumerate(values) if len(v) >= 20}
+    assert {r.doc_id: (r.r.first, r.r.end) if r.r.first is not None else None for r in found if r.doc_id in want} == want
+    assert any(want.values()) and not all(want.values())
+    long = "x " + "".join(rng.choice(alphabet) for _ in range(1_000_000)) + " token=abcdef123 " * 2_000
+    docs = spark.createDataFrame([(1, long)], "doc_id long, text string")
+    began = time.perf_counter()
+    row = s.scan(docs).select("base", "added").first()
+    assert time.perf_counter() - began < 30
+    assert len(row.base) == 2_000 and len(row.added) == 1 and row.added[0].end - row.added[0].start > 999_000
