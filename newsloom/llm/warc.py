@@ -32,8 +32,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REVISIT_BYTES = 1_000
-SHARD_BYTES = 4 << 20
-FILE_BYTES = 16 << 20
+# Bytes of payload per shard, and of a compressed file; files a reading task takes.
+SHARD_BYTES = 64 << 20
+FILE_BYTES = 8 << 20
+READ_FILES = 16
 # Ids sampled for the range boundaries, and shards at most.
 SAMPLE, SHARDS = 8_192, 4_096
 DATE = "2024-01-01T00:00:00Z"
@@ -278,7 +280,10 @@ def read_archives(spark: SparkSession, folder: str, payload: bool = False) -> Da
                 yield _batch(rows)
 
     files = spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest").select("file")
-    return files.repartition("file").mapInArrow(run, _READ)
+    # The manifest is tiny, so the number of tasks is stated: no task takes many files.
+    count = files.count()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // READ_FILES))
+    return files.repartitionByRange(max(min(count, tasks), 1), "file").mapInArrow(run, _READ)
 
 
 def _batch(rows: list) -> pa.RecordBatch:

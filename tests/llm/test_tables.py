@@ -56,6 +56,9 @@ def test_archives(spark, tmp_path, limits):
         for r in back.where("record_type = 'response'").collect():
             assert hashlib.sha1(r.payload).hexdigest() == r.payload_digest
         rows = {r.file: r.bytes for r in manifest.collect()}
+        # Files are spread over the reading tasks, however small the manifest is.
+        tasks = back.select(F.spark_partition_id().alias("task")).distinct().count()
+        assert tasks == min(len(rows), int(spark.conf.get("spark.sql.shuffle.partitions")))
         names.append({f: hashlib.sha256((tmp_path / str(k) / f).read_bytes()).hexdigest() for f in rows})
         assert all((tmp_path / str(k) / f).stat().st_size == n for f, n in rows.items())
     # Equal input, however it is partitioned, gives equal files.
