@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from newsloom.llm import crf
 from newsloom.llm.arrays import Words, covered, slices, spans_coded, window_names
 
-# Bound of the training sample, in labelled documents per class.
-SAMPLE = 1_500
+# Bound of the training sample, in labelled documents per class; only documents of
+# at most so many lines are trained on.
+SAMPLE, SAMPLE_LINES = 1_500, 2_000
 # Share of words in content lines from which a document stays.
 CONTENT = 0.5
 WINDOW = 5
@@ -125,23 +126,24 @@ def fit(docs: DataFrame, labels: DataFrame) -> crf.Chain | None:
             for a, b, data, offsets in slices(batch.column("text")):
                 lines = Lines(data, offsets)
                 ends = np.cumsum(lines.counts)
-                x = [lines.x[e - c : e].ravel() for c, e in zip(lines.counts, ends, strict=True)]
+                short = lines.counts <= SAMPLE_LINES
+                x = [lines.x[e - c : e].tobytes() if s else b"" for c, e, s in zip(lines.counts, ends, short, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(a, b - a),
                         batch.column("quality").slice(a, b - a),
-                        pa.array([v.tolist() for v in x], pa.list_(pa.float64())),
+                        pa.array(x, pa.binary()),
                     ],
                     ["doc_id", "quality", "x"],
                 )
 
     given = docs.select("doc_id", "text").join(chosen, "doc_id").select(F.col("doc_id").cast("long"), "text", F.col("quality").cast("int"))
-    rows = given.mapInArrow(run, "doc_id long, quality int, x array<double>").collect()
+    rows = given.mapInArrow(run, "doc_id long, quality int, x binary").collect()
     rows = sorted((r for r in rows if r["x"]), key=lambda r: (r["doc_id"], r["quality"], r["x"]))
     if len({r["quality"] for r in rows}) < 2:
         return None
-    x = np.concatenate([np.array(r["x"]).reshape(-1, FEATURES) for r in rows])
-    counts = np.array([len(r["x"]) // FEATURES for r in rows])
+    held = [np.frombuffer(r["x"]).reshape(-1, FEATURES) for r in rows]
+    x, counts = np.concatenate(held), np.array([len(h) for h in held])
     poor = np.repeat([1 - r["quality"] for r in rows], counts).astype(bool)
     first = np.zeros(len(x), dtype=bool)
     first[np.concatenate([[0], np.cumsum(counts)[:-1]])] = True

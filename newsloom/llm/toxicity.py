@@ -27,6 +27,8 @@ from newsloom.llm.store import written
 # Bounds of the sample that the classifier is fitted on, in labelled documents per class.
 SAMPLE = 8_000
 CHAIN_SAMPLE = 250
+# Words of the chain's sample; a document that no longer fits is left out.
+CHAIN_TOKENS = 2_000_000
 # Size of the learnt lexicon.
 LEXICON = 4_096
 # A feature stays if it is among the strongest TOP of so many sampled documents.
@@ -182,8 +184,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from a bounded sample of ``labels`` (doc_id, toxic)."""
     chosen = _sample(labels, SAMPLE)
     sample = written(
-        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
-        .dropDuplicates(["text", "toxic"]),
+        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+        # Of equal texts the smallest id, so that the sample does not hang on task order.
+        .groupBy("text", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "text", "toxic"),
         "toxicity-sample",
     )
     counts = (
@@ -254,7 +257,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     few = sample.join(F.broadcast(_sample(labels, CHAIN_SAMPLE)), ["doc_id", "toxic"], "left_semi").orderBy("doc_id")
     rows = few.mapInArrow(values, "toxic int, n long, at array<long>, value array<double>").collect()
-    rows = [r for r in rows if r["n"]]
+    rows, left = [r for r in rows if r["n"]], CHAIN_TOKENS
+    rows = [r for r in rows if r["n"] <= left and (left := left - r["n"]) >= 0]
     v = np.zeros(sum(r["n"] for r in rows))
     y = np.zeros(len(v), dtype=np.int64)
     first = np.concatenate([[0], np.cumsum([r["n"] for r in rows])])

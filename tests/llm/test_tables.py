@@ -389,3 +389,17 @@ def test_pipeline_of_nothing(spark, nothing, tmp_path):
     nothing.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert p.run(spark, str(tmp_path)).count() == 0
+
+
+def test_tagger_does_not_hang_on_partitions(spark):
+    """Equal texts under several ids, in other partitions: the same model."""
+    from newsloom.llm import toxicity as t
+
+    rows, labels = toxic_rows()
+    rows += [(10_000 + i, x) for i, x in rows[:200]]
+    labels += [(10_000 + i, b) for i, b in labels[:200]]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    one, two = (t.fit(docs.repartition(n), marks.repartition(n).where(~t.fold())) for n in (1, 23))
+    assert one.features.tolist() == two.features.tolist() and one.odds.tolist() == two.odds.tolist()
+    assert (one.slope, one.shift) == (two.slope, two.shift)
+    assert (one.chain.weights == two.chain.weights).all() and (one.chain.transitions == two.chain.transitions).all()

@@ -369,7 +369,9 @@ def test_entropy_of_long_candidates(spark):
     want = {i: brute_entropy(v, 3.8) for i, v in enumerate(values) if len(v) >= 20}
     assert {r.doc_id: (r.r.first, r.r.end) if r.r.first is not None else None for r in found if r.doc_id in want} == want
     assert any(want.values()) and not all(want.values())
-    long = "x " + "".join(rng.choice(alphabet) for _ in range(1_000_000)) + " token=abcdef123 " * 2_000
+    # Without the letter that the allow list takes four of for a sample.
+    plain = alphabet.replace("x", "").replace("X", "")
+    long = "x " + "".join(rng.choice(plain) for _ in range(1_000_000)) + " token=abcdef123 " * 2_000
     docs = spark.createDataFrame([(1, long)], "doc_id long, text string")
     began = time.perf_counter()
     row = s.scan(docs).select("base", "added").first()
