@@ -111,6 +111,20 @@ def spans_coded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Di
     return pa.Array.from_buffers(pa.large_binary(), len(starts), buffers).dictionary_encode()
 
 
+# Digests of words seen by this worker; most words of a slice were in earlier ones.
+_DIGESTS: dict[bytes, bytes] = {}
+DIGESTS = 1 << 18
+
+
+def _digest(word: bytes) -> bytes:
+    out = hashlib.blake2b(word, digest_size=16).digest()
+    if len(word) <= 64:
+        if len(_DIGESTS) >= DIGESTS:
+            _DIGESTS.clear()
+        _DIGESTS[word] = out
+    return out
+
+
 class Words:
     """Words of consecutive documents in one byte buffer.
 
@@ -150,7 +164,7 @@ class Words:
     def lanes(self) -> tuple[np.ndarray, np.ndarray]:
         """128 bits of BLAKE2 per word, as two arrays; the same in every buffer."""
         coded = spans_coded(self.data, self.starts, self.ends)
-        raw = b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in coded.dictionary.to_pylist()])
+        raw = b"".join([_DIGESTS.get(w) or _digest(w) for w in coded.dictionary.to_pylist()])
         table, at = np.frombuffer(raw, dtype=np.uint64).reshape(-1, 2), coded.indices.to_numpy()
         return table[at, 0], table[at, 1]
 
