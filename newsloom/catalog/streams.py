@@ -146,3 +146,51 @@ def _cache(spark, d):
         F.col("ts").alias("fetched_at"),
     )
     return S.run_cache_sink(rows, "cache").read().drop("fetched_at")
+
+
+ROLLING_SQL = """
+e AS (SELECT CAST(ts AS DATE) AS day, event_type AS source, CAST(floor(value * 10) AS BIGINT) % 997 AS length FROM events),
+d AS (SELECT DISTINCT day, source FROM e)
+"""
+
+
+@query(
+    "stream_rolling_medians",
+    f"""WITH {ROLLING_SQL} SELECT d.day, d.source, count(*) AS items, CAST(median(length) AS DOUBLE) AS median
+    FROM d JOIN e ON e.source = d.source AND e.day BETWEEN d.day - 13 AND d.day GROUP BY 1, 2""",
+)
+def _rolling(spark, d):
+    rows = _events(spark, d).select("ts", F.col("event_type").alias("source"), (F.floor(F.col("value") * 10) % 997).alias("length"))
+    saved = S.run_update(S.length_histogram(rows, "ts", "source", "length"), "histogram", ["day", "source", "length"])
+    return S.rolling_medians(saved, "source", "length")
+
+
+# Events arrive in blocks of three days; some come nine days after their time.
+LATE_SQL = """
+e AS (SELECT event_id, ts, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) // 3 + CASE WHEN event_id % 41 = 0 THEN 3 ELSE 0 END AS block FROM events),
+m AS (SELECT block, max(ts) AS newest FROM e GROUP BY block),
+w AS (SELECT block, max(newest) OVER (ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 36 HOUR AS since, row_number() OVER (ORDER BY block) - 1 AS batch FROM m),
+l AS (SELECT event_id, batch, coalesce(ts < since, false) AS late FROM e JOIN w USING (block))
+"""
+
+
+def _late(spark, d):
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
+    rows = e.select("event_id", "ts").withColumn("block", (F.floor(day / 3) + F.when(F.col("event_id") % 41 == 0, 3).otherwise(0)).cast("int"))
+    folder = S.land_by(rows, "late-events", "block")
+    stream = S.landed_stream(spark, f"{folder}/block=*", rows.drop("block").schema, "*.parquet", 1)
+    return S.run_late_rows(stream, "late", "ts")
+
+
+@query("stream_late_rows", f"WITH {LATE_SQL} SELECT event_id, batch FROM l WHERE late")
+def _late_rows(spark, d):
+    return _late(spark, d).rows(spark).where("late").select("event_id", F.col("batch").cast("long").alias("batch"))
+
+
+@query(
+    "stream_late_counts",
+    f"""WITH {LATE_SQL} SELECT batch, count(*) AS "rows", count(*) FILTER (late) AS late FROM l GROUP BY batch""",
+)
+def _late_counts(spark, d):
+    return _late(spark, d).seen(spark).select("batch", "rows", "late")

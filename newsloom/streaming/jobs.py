@@ -6,12 +6,13 @@ driver. Jobs run with ``availableNow`` here; drop the trigger to keep them up.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -33,20 +34,40 @@ def landed_stream(spark: SparkSession, folder: str, schema: T.StructType, glob:
     )
 
 
+def _arrive(spark: SparkSession, files: list) -> None:
+    """Set the times that the file source goes by, one second apart."""
+    for i, file in enumerate(files):
+        fs = file.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.setTimes(file, 1_000_000_000_000 + 1_000 * i, -1)
+
+
+def _parts_in(spark: SparkSession, folder) -> list:
+    """Data files of a folder, by name."""
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    return sorted((f.getPath() for f in found if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+
+
 def land_in_order(rows: DataFrame, name: str, by: list[str], files: int) -> str:
     """Write a table as files that a stream reads in the order of some columns.
 
-    Ranges of the order become files, and their modification times, which the
-    file source goes by, are set one second apart.
+    Ranges of the order become files, which arrive one after the other.
     """
     spark = rows.sparkSession
     folder = f"{checkpoint_dir(spark)}/landed/{name}-{uuid.uuid4().hex}"
     rows.repartitionByRange(files, *by).sortWithinPartitions(*by).write.parquet(folder)
+    _arrive(spark, _parts_in(spark, spark._jvm.org.apache.hadoop.fs.Path(folder)))
+    return folder
+
+
+def land_by(rows: DataFrame, name: str, number: str) -> str:
+    """Write a table as one file per value of an integer column, arriving in its order."""
+    spark = rows.sparkSession
+    folder = f"{checkpoint_dir(spark)}/landed/{name}-{uuid.uuid4().hex}"
+    rows.repartition(F.col(number)).write.partitionBy(number).parquet(folder)
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    landed = sorted((f.getPath() for f in fs.listStatus(path) if f.getPath().getName().endswith(".parquet")), key=lambda p: p.getName())
-    for i, file in enumerate(landed):
-        fs.setTimes(file, 1_000_000_000_000 + 1_000 * i, -1)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    batches = sorted((f.getPath() for f in found if "=" in f.getPath().getName()), key=lambda p: int(p.getName().split("=")[1]))
+    _arrive(spark, [p for b in batches for p in _parts_in(spark, b)])
     return folder
 
 
@@ -111,6 +132,82 @@ def item_counts(stream: DataFrame, ts: str, source: str, size: str = "1 day", sl
     return counts.select(F.col("w.start").alias("window_start"), source, "items")
 
 
+def length_histogram(stream: DataFrame, ts: str, source: str, length: str) -> DataFrame:
+    """Items per source, day and length: a summary that adds up over days.
+
+    Kept in streaming state instead of the lengths themselves, so the state has a
+    row per distinct length of a day, and medians over any days are exact.
+    """
+    day = F.window(ts, "1 day").alias("w")
+    counts = stream.withWatermark(ts, LATENESS).groupBy(day, source, length).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(F.to_date("w.start").alias("day"), source, length, "n")
+
+
+def rolling_medians(histogram: DataFrame, source: str, length: str, days: int = 14) -> DataFrame:
+    """(day, source, items, median) over the ``days`` up to each day that has items.
+
+    Every histogram row is added to the days that it counts for; a day's rows of a
+    source are then a histogram themselves, combined per task before the shuffle.
+    """
+    active = histogram.select(source, F.col("day").alias("_day")).distinct()
+    spread = histogram.withColumn("_day", F.explode(F.expr(f"sequence(day, date_add(day, {days - 1}))")))
+    rolled = spread.groupBy(source, "_day", length).agg(F.sum("n").alias("n")).join(active, [source, "_day"], "left_semi")
+    out = rolled.groupBy(source, "_day").agg(F.sum("n").alias("items"), F.percentile(length, 0.5, F.col("n")).alias("median"))
+    return out.withColumnRenamed("_day", "day").select("day", source, "items", "median")
+
+
+class LateRows:
+    """Sink that tells rows in time from late ones, and keeps both.
+
+    A row is late if it is older than the newest row of all earlier batches by
+    more than the lateness. Each batch writes its rows under (batch, late) and one
+    line on what it saw; a replayed batch overwrites its own.
+    """
+
+    def __init__(self, base: str, ts: str, lateness: str = LATENESS):
+        self.base, self.ts, self.lateness = base, ts, lateness
+
+    _SEEN = "batch long, newest timestamp, rows long, late long"
+
+    def seen(self, spark: SparkSession) -> DataFrame:
+        """(batch, newest, rows, late) of the batches."""
+        return spark.read.schema(self._SEEN).json(f"{self.base}/seen/*")
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        limit = None
+        if batch_id:
+            before = self.seen(spark).where(F.col("batch") < batch_id)
+            limit = before.agg((F.max("newest") - F.expr(f"INTERVAL {self.lateness}")).alias("t")).first()["t"]
+        late = F.lit(False) if limit is None else F.coalesce(F.col(self.ts) < F.lit(limit), F.lit(False))
+        told = Observation()
+        rows = batch.withColumn("late", late).observe(
+            told, F.max(self.ts).alias("newest"), F.count(F.lit(1)).alias("rows"), F.count_if("late").alias("late")
+        )
+        rows.write.mode("overwrite").partitionBy("late").parquet(f"{self.base}/rows/batch={batch_id}")
+        line = [(batch_id, told.get["newest"], told.get["rows"], told.get["late"])]
+        spark.createDataFrame(line, self._SEEN).coalesce(1).write.mode("overwrite").json(f"{self.base}/seen/{batch_id}")
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """All rows with ``batch`` and ``late``."""
+        rows = spark.read.option("basePath", f"{self.base}/rows").parquet(f"{self.base}/rows/batch=*")
+        return rows.withColumn("late", F.col("late").cast("boolean"))
+
+
+def run_late_rows(stream: DataFrame, name: str, ts: str, lateness: str = LATENESS) -> LateRows:
+    """Run the sink over what is there and return it."""
+    base, state = _folders(stream.sparkSession, name)
+    sink = LateRows(base, ts, lateness)
+    query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", state).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return sink
+
+
+def dropped_rows(progress: list) -> int:
+    """Rows that stateful operators dropped as late, from a query's ``recentProgress``."""
+    return sum(s["numRowsDroppedByWatermark"] for p in progress for s in json.loads(p.json)["stateOperators"])
+
+
 def first_seen(stream: DataFrame, ts: str, key: list[str]) -> DataFrame:
     """First item per key; keys are remembered for the lateness limit."""
     return stream.withWatermark(ts, LATENESS).dropDuplicatesWithinWatermark(key)

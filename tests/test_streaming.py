@@ -230,3 +230,46 @@ def test_landing_keeps_order(spark):
     query = stream.writeStream.foreachBatch(lambda b, n: seen.append(b.agg(F.min("at"), F.max("at")).first())).trigger(availableNow=True).start()
     query.awaitTermination()
     assert len(seen) == 4 and all(a[1] < b[0] for a, b in zip(seen, seen[1:], strict=False))
+
+
+def test_late_rows_are_kept_and_counted(spark, tmp_path):
+    batches = [
+        [(day(1), "a", "u1"), (None, "a", "undated")],
+        [(day(9), "a", "u2")],
+        [(day(7, 11), "a", "late"), (day(7, 13), "a", "in time"), (None, "b", "undated")],
+        [(day(2), "b", "very late"), (day(20), "b", "u3")],
+        [(day(9), "c", "late now")],
+    ]
+    sink = S.run_late_rows(land(spark, str(tmp_path), batches), "late-rows", "ts")
+    rows = {(r.url, r.batch): r.late for r in sink.rows(spark).collect()}
+    assert {k[0] for k, late in rows.items() if late} == {"late", "very late", "late now"} and len(rows) == 9
+    assert [(r.batch, r["rows"], r.late) for r in sink.seen(spark).orderBy("batch").collect()] == [(0, 2, 0), (1, 1, 0), (2, 3, 1), (3, 2, 1), (4, 1, 1)]
+    # A replayed batch overwrites itself.
+    again = spark.createDataFrame(batches[2], SCHEMA)
+    sink(again, 2)
+    assert {(r.url, r.batch): r.late for r in sink.rows(spark).collect()} == rows
+
+
+def test_dropped_rows_are_reported(spark, tmp_path):
+    batches = [[(day(1), "a", "u1")], [(day(9), "a", "u3")], [(day(9), "b", "u5")], [(day(1), "a", "late")], [(day(9), "a", "u4")]]
+    counts = S.item_counts(land(spark, str(tmp_path), batches), "ts", "source")
+    query = counts.writeStream.format("noop").outputMode("update").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert S.dropped_rows(query.recentProgress) == 1
+
+
+def test_rolling_medians(spark, tmp_path):
+    import random
+    import statistics
+
+    rng = random.Random(2)
+    rows = [(day(d, rng.randint(0, 23)), rng.choice("ab"), str(rng.randint(0, 9))) for d in range(1, 29) for _ in range(rng.randint(0, 6))]
+    batches = [[r for r in rows if r[0].day in days] for days in (range(1, 8), range(8, 15), range(15, 22), range(22, 29))]
+    stream = land(spark, str(tmp_path), batches).withColumn("length", F.col("url").cast("int"))
+    saved = S.run_update(S.length_histogram(stream, "ts", "source", "length"), "medians", ["day", "source", "length"])
+    got = {(r.day.day, r.source): (r["items"], r.median) for r in S.rolling_medians(saved, "source", "length", 5).collect()}
+    want = {}
+    for d, source in {(t.day, s) for t, s, _ in rows}:
+        held = [int(n) for t, s, n in rows if s == source and d - 4 <= t.day <= d]
+        want[(d, source)] = (len(held), statistics.median(held))
+    assert got == want
