@@ -238,12 +238,12 @@ def gram_words(c: Column) -> Column:
     return words(plain)
 
 
-def _windows(w: Column, window: int, build: Callable[[list[Column]], Column], kind: str) -> Column:
-    """One value per distinct window of ``window`` words."""
+def _windows(w: Column, window: int, build: Callable[[list[Column]], Column], kind: str, distinct: bool = True) -> Column:
+    """One value per (distinct) window of ``window`` words."""
     starts = F.sequence(F.lit(0), F.greatest(F.size(w) - window, F.lit(0)))
     # Single look-ups: slicing would copy the word list once per window.
     made = F.transform(starts, lambda i: build([F.get(w, i + k) for k in range(window)]))
-    return F.when(F.size(w) >= window, F.array_distinct(made)).otherwise(F.array().cast(f"array<{kind}>"))
+    return F.when(F.size(w) >= window, F.array_distinct(made) if distinct else made).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 def word_grams(c: Column, window: int = 10) -> Column:
@@ -257,13 +257,17 @@ def gram_hashes(c: Column, window: int = 10) -> Column:
 
 
 def hashed_grams(c: Column, window: int = 10) -> Column:
-    """Word windows next to their hashes."""
+    """Word windows next to their hashes, repeats included.
+
+    Spark compares structs pair by pair to find distinct ones, which is quadratic
+    in a text; callers make rows distinct once few are left.
+    """
 
     def both(x: list[Column]) -> Column:
         return F.struct(F.xxhash64(*x).alias("gram_hash"), F.concat_ws(" ", *x).alias("gram"))
 
     return let(
-        gram_words(c), lambda w: _windows(w, window, both, "struct<gram_hash:bigint,gram:string>")
+        gram_words(c), lambda w: _windows(w, window, both, "struct<gram_hash:bigint,gram:string>", distinct=False)
     )
 
 

@@ -28,7 +28,7 @@ def hash_rows(texts: DataFrame, key: Sequence[str], window: int = 10) -> DataFra
 
 
 def gram_rows(texts: DataFrame, key: Sequence[str], window: int = 10) -> DataFrame:
-    """One row per distinct window of each text, with its hash."""
+    """One row per window of each text, with its hash."""
     grams = texts.select(*key, F.explode(hashed_grams(F.col("text"), window)).alias("_g"))
     return grams.select(*key, F.col("_g.gram_hash").alias("gram_hash"), F.col("_g.gram").alias("gram"))
 
@@ -51,7 +51,7 @@ def _spelled(
     hits = hot_join(hash_rows(texts, key, window), common, h, "left_semi", counts, hot_rows)
     owners = hits.select(*key).distinct()
     rows = gram_rows(texts.join(owners, list(key), "left_semi"), key, window)
-    return hot_join(rows, common, h, "left_semi", counts, hot_rows).drop("gram_hash")
+    return hot_join(rows, common, h, "left_semi", counts, hot_rows).drop("gram_hash").distinct()
 
 
 def shared_grams(
