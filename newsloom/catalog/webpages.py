@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from newsloom.catalog.registry import query, table
+from newsloom.catalog.registry import SQL, query, table
 from newsloom.plans import collect as C
+from newsloom.session import checkpoint_dir
 from newsloom.sources import feeds as S
 from newsloom.sources import markup as H
+from newsloom.sources.archive import PayloadArchive
+from newsloom.streaming.jobs import run_append
 
 
 @query("article_links")
@@ -113,6 +118,54 @@ def _feed(spark, d):
     return items.select("run_date", "source", "title", "url")
 
 
+def _archive(spark, d, broken: bool = False) -> str:
+    """Folder of feed documents as JSON lines; ``broken`` adds lines that are none."""
+    spark.dataSource.register(PayloadArchive)
+    feeds = feed_documents(spark, d)
+    lines = feeds.select(F.to_json(F.struct("run_date", "source", "payload")).alias("value"))
+    if broken:
+        names = feeds.select(F.concat_ws(" ", F.col("run_date").cast("string"), "source").alias("name"), F.dayofmonth("run_date").alias("day"))
+        bad = F.when(F.col("day") % 3 == 0, F.concat(F.lit('{"source": "'), F.col("name"))).when(
+            F.col("day") % 3 == 1, F.concat(F.lit('{"run_date": "'), F.col("name"), F.lit('"}'))
+        )
+        lines = lines.unionByName(names.select(F.coalesce(bad, F.concat(F.lit('["'), F.col("name"), F.lit('"]'))).alias("value")))
+    folder = f"{checkpoint_dir(spark)}/archives/{uuid.uuid4().hex}"
+    lines.write.text(folder)
+    return folder
+
+
+def _feed_caps(entries):
+    now = F.lit("2024-01-09 12:00:00").cast("timestamp")
+    plain = entries.withColumns({"category": F.lit("c"), "tag": F.lit("t")})
+    items = S.feed_items(plain, now, {"src1": 1} | {f"src{i}": 2 for i in range(2, 20)} | {"src0": 2})
+    return items.select("run_date", "source", "title", "url")
+
+
+@query("archive_feed_items", SQL["feed_items"])
+def _archive_items(spark, d):
+    rows = spark.read.format("payload_archive").load(_archive(spark, d))
+    return _feed_caps(S.parse_payloads(rows.select("run_date", "source", "payload")))
+
+
+@query("stream_archive_items", SQL["feed_items"])
+def _archive_stream(spark, d):
+    stream = spark.readStream.format("payload_archive").load(_archive(spark, d))
+    entries = S.parse_payloads(stream.select("run_date", "source", "payload"))
+    return _feed_caps(run_append(entries, "archive"))
+
+
+@query(
+    "archive_issues",
+    """WITH f AS (SELECT DISTINCT DATE '2024-01-01' + CAST(doc_id // 70 AS INTEGER) AS run_date, source FROM documents),
+    n AS (SELECT run_date || ' ' || source AS name, date_part('day', run_date) % 3 AS k FROM f)
+    SELECT CASE k WHEN 0 THEN 'corrupt_json' WHEN 1 THEN 'not a date' ELSE 'not an object' END AS issue,
+      CASE k WHEN 0 THEN '{"source": "' || name WHEN 1 THEN '{"run_date": "' || name || '"}' ELSE '["' || name || '"]' END AS payload FROM n""",
+)
+def _archive_issues(spark, d):
+    rows = spark.read.format("payload_archive").load(_archive(spark, d, broken=True))
+    return rows.where("issue IS NOT NULL").select("issue", "payload")
+
+
 @query(
     "collect_diagnostics",
     """WITH d AS (SELECT *, DATE '2024-01-01' + CAST(doc_id // 70 AS INTEGER) AS run_date, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id % 60 END AS age,
