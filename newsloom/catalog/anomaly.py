@@ -60,7 +60,14 @@ def _absence(spark, d):
     return A.source_absence(*_absence_inputs(spark, d))
 
 
-@query("absence_report")
+@query(
+    "absence_report",
+    f"""WITH {ABSENCE_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY run_date ORDER BY items DESC, category) AS rn FROM miss)
+    SELECT run_date, 'source_absence' AS "check", 'warning' AS severity, format('Category ''{{}}'' (active) had {{}} raw items but contributed 0 items to analysis outputs — case: {{}}', category, items,
+      CASE WHEN selected THEN 'desk_selected_but_cross_domain_omitted' ELSE 'raw_present_but_not_selected_by_desk' END) AS detail FROM r WHERE rn <= 1
+    UNION ALL SELECT run_date, 'source_absence', 'warning', count(*) || ' additional categories had raw items with no domain-analysis coverage: ' ||
+      string_agg(category || ' (' || items || ')', ', ' ORDER BY rn) FILTER (rn <= 6) FROM r WHERE rn > 1 GROUP BY run_date""",
+)
 def _absence_report(spark, d):
     health = A.category_health(items(spark, d).select("category").distinct().withColumn("health", F.lit("active")))
     return A.absence_report(A.source_absence(*_absence_inputs(spark, d)), health, most=1)

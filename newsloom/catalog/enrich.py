@@ -175,12 +175,42 @@ def _landed(spark, d, name: str):
     )
 
 
-@query("source_text_resolution")
-def _resolve(spark, d):
+# What a page or an HTTP answer may replace; the smallest id of equal texts decides what was landed.
+RESOLVE_SQL = f"""
+{CAND_SQL}, q AS (SELECT p.pos, p.url, p.text, strategy, n, need AND tier IN ('active', 'low_frequency') AS may_http, pos % 3 <> 0 AS ok_h, pos % 2 <> 0 AS ok_b,
+    (strategy = 'browser_fetch' OR (strategy = 'auto' AND p.text = '')) AND tier IN ('active', 'low_frequency') AS may_page, d.text AS landed
+  FROM p JOIN documents d ON d.doc_id = p.pos),
+s AS (SELECT *, may_page AND strategy = 'browser_fetch' AS first_page FROM q),
+x AS (SELECT *, CASE WHEN first_page AND ok_b THEN 'page' WHEN first_page AND text = '' THEN 'no page' WHEN may_http AND ok_h THEN 'web' WHEN may_http AND may_page AND ok_b THEN 'second page'
+    WHEN may_http AND may_page AND text <> '' THEN 'both failed' WHEN may_http AND may_page THEN 'no page' WHEN may_http AND text <> '' THEN 'web failed' WHEN may_http THEN 'no web' ELSE 'own' END AS way FROM s),
+z AS (SELECT pos, CASE WHEN way IN ('page', 'no page', 'second page') THEN 'browser_markdown' WHEN way IN ('web', 'no web') THEN 'fetched_html' ELSE CASE WHEN text = '' THEN 'none' ELSE 'rss_body' END END AS origin,
+    way IN ('no page', 'no web') AS terminal, CASE way WHEN 'no page' THEN 'browser_timeout' WHEN 'no web' THEN 'http_error' END AS terminal_status,
+    CASE WHEN way IN ('page', 'second page', 'web') THEN length(landed) ELSE 0 END::BIGINT AS fetched_length,
+    CASE WHEN way IN ('page', 'second page', 'web') THEN 200 WHEN way IN ('no page', 'no web') THEN 503 END AS http_status,
+    md5(CASE WHEN way IN ('no page', 'no web') THEN '' WHEN way IN ('page', 'second page', 'web') THEN landed ELSE text END) AS digest,
+    CASE way WHEN 'second page' THEN 'fetch http_error: failed' WHEN 'web failed' THEN 'fetch http_error: failed' WHEN 'both failed' THEN 'fetch http_error: failed; browser browser_timeout: failed'
+      WHEN 'no page' THEN 'failed' WHEN 'no web' THEN 'failed' WHEN 'page' THEN '' ELSE CASE WHEN first_page AND NOT ok_b THEN 'browser browser_timeout: failed' ELSE '' END END AS fetch_error FROM x)
+"""
+
+
+def _resolved(spark, d):
     http, page = E.default_caps(100000, 100000)
     cands, _, _ = E.budgets(E.candidates(_items(spark, d), _feeds(spark, d), browser=True), http, page)
-    out = E.resolve_text(cands, _landed(spark, d, "http"), _landed(spark, d, "browser"))
-    return out.groupBy("origin", "terminal", "terminal_status").agg(
+    return E.resolve_text(cands, _landed(spark, d, "http"), _landed(spark, d, "browser"))
+
+
+@query("source_text_items", f"WITH {RESOLVE_SQL} SELECT * FROM z")
+def _resolved_items(spark, d):
+    columns = ["pos", "origin", "terminal", "terminal_status", "fetched_length", "http_status", "fetch_error"]
+    return _resolved(spark, d).select(*columns, F.md5("text").alias("digest"))
+
+
+@query(
+    "source_text_resolution",
+    f"""WITH {RESOLVE_SQL} SELECT origin, terminal, terminal_status, count(*) AS items, CAST(sum(fetched_length) AS BIGINT) AS fetched FROM z GROUP BY origin, terminal, terminal_status""",
+)
+def _resolve(spark, d):
+    return _resolved(spark, d).groupBy("origin", "terminal", "terminal_status").agg(
         F.count(F.lit(1)).alias("items"), F.sum("fetched_length").alias("fetched")
     )
 

@@ -160,13 +160,26 @@ def _bars(spark, d):
     return out.select("run_date", "date", F.round("lo_pct", 6).alias("lo_pct"), F.round("hi_pct", 6).alias("hi_pct"))
 
 
-@query("weather_days")
+@query(
+    "weather_days",
+    f"""WITH {FORECAST_SQL}, {MONTHS_SQL},
+    m AS (SELECT user_id AS run_date, strftime(ts, '%Y-%m-%d') AS date, max(CAST(trunc(value * 3) AS INTEGER)) AS aqi FROM events WHERE event_type <> 'error' GROUP BY ALL),
+    b AS (SELECT DISTINCT day, CASE WHEN day(day) >= 15 THEN month(day) ELSE (month(day) + 10) % 12 + 1 END AS ma, CASE WHEN day(day) >= 15 THEN month(day) % 12 + 1 ELSE month(day) END AS mb,
+      year(day) - CASE WHEN day(day) < 15 AND month(day) = 1 THEN 1 ELSE 0 END AS ya, year(day) + CASE WHEN day(day) >= 15 AND month(day) = 12 THEN 1 ELSE 0 END AS yb FROM f),
+    c AS (SELECT *, dayofyear(make_date(ya, ma, 15)) AS da, dayofyear(make_date(yb, mb, 15)) AS db, dayofyear(day) AS dd FROM b),
+    g AS (SELECT *, greatest(0, least(1, CASE WHEN db < da THEN CASE WHEN dd < db THEN (365 - da + dd) / (365 - da + db)::DOUBLE ELSE (dd - da) / (365 - da + db)::DOUBLE END
+      ELSE (dd - da) / (db - da)::DOUBLE END)) AS frac FROM c),
+    n AS (SELECT day, x.hi + frac * (z.hi - x.hi) AS hi, x.lo + frac * (z.lo - x.lo) AS lo FROM g JOIN t x ON x.month = ma JOIN t z ON z.month = mb)
+    SELECT f.run_date, f.date, high_f, low_f, precip_type, round_even(hi, 1) AS normal_hi, round_even(lo, 1) AS normal_lo, round(hi, 6) AS record_hi, aqi, CASE WHEN aqi IS NOT NULL THEN {AQI_SQL} END AS aqi_label
+    FROM f JOIN n ON n.day = f.day LEFT JOIN m ON m.run_date = f.run_date AND m.date = f.date""",
+)
 def _weather(spark, d):
     days = W.fold_periods(A.forecast_periods(period_documents(spark, d)))
     air = A.air_by_day(A.hourly_air(hourly_documents(spark, d)))
     months = _months(spark, d)
     out = W.weather_days(days, air, months, months)
-    return out.select("run_date", "date", "high_f", "low_f", "precip_type", "normal_hi", "normal_lo", "record_hi", "aqi", "aqi_label")
+    record = F.round("record_hi", 6).alias("record_hi")
+    return out.select("run_date", "date", "high_f", "low_f", "precip_type", "normal_hi", "normal_lo", record, "aqi", "aqi_label")
 
 
 @query(

