@@ -223,7 +223,15 @@ def _diverse(spark, d):
 
 @query(
     "anomaly_report",
-    None,
+    f"""WITH g AS (SELECT p_brand || '/' || p_size AS run_date, {TAG_SQL} AS tag FROM part),
+    c AS (SELECT run_date, count(*) AS total FROM g GROUP BY run_date HAVING count(*) > 5),
+    r AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS run_date, count(*) AS items FROM events GROUP BY 1),
+    w AS (SELECT *, count(*) OVER q AS n, avg(items) OVER q AS mean FROM r WINDOW q AS (ORDER BY run_date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)),
+    f AS (SELECT run_date, 'category_skew' AS "check", format('Primary tag ''{{}}'' has 0 items in at_a_glance ({{}} total items)', t.tag, total) AS detail
+        FROM c CROSS JOIN (VALUES ('war'), ('ai'), ('defense')) AS t(tag) WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.run_date = c.run_date AND g.tag = t.tag)
+      UNION ALL SELECT run_date, 'digest_length_anomaly', CASE WHEN items / mean > 1.02 THEN format('Today''s digest has {{}} items — {{:.1f}}x the {{}}-day average ({{:.1f}})', items, items / mean, n, mean)
+        ELSE format('Today''s digest has {{}} items — only {{:.1f}}% of the {{}}-day average ({{:.1f}})', items, items / mean * 100, n, mean) END FROM w WHERE n >= 3 AND (items / mean > 1.02 OR items / mean < 0.98))
+    SELECT run_date, "check", 'warning' AS severity, detail, count(*) OVER (PARTITION BY run_date) AS anomaly_count, 2 AS checks_run FROM f""",
 )
 def _report(spark, d):
     g = table(spark, d, "part").select(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from newsloom.catalog.carriers import month_runs, outlet_links
 from newsloom.catalog.registry import query, table
+from newsloom.catalog.texts import SANITIZED_SQL
 from newsloom.operators import routing as D
 from newsloom.operators.joins import join_selection, known_urls, link_urls
 from newsloom.operators.links import keep_desk_links
@@ -200,7 +201,15 @@ def _pack(spark, d):
     return text_pack(docs, ["category"], line, 8)
 
 
-@query("category_pack")
+@query(
+    "category_pack",
+    f"""WITH {SANITIZED_SQL}, c AS (SELECT d.doc_id, source, coalesce(lang, 'uncategorized') AS category, coalesce(split_part(text, chr(10), 1), '?') AS title, b,
+      row_number() OVER (PARTITION BY coalesce(lang, 'uncategorized') ORDER BY d.doc_id) AS rn FROM documents d JOIN sanitized e ON e.doc_id = d.doc_id),
+    l AS (SELECT category, rn, '  ' || coalesce(source, '?') || ' [wire]: ' || title || ' — ' ||
+      trim(CASE WHEN length(b) > 320 THEN rtrim(substr(b, 1, 319), ' ' || chr(10) || chr(9)) || '…' ELSE b END, ' ' || chr(10) || chr(9)) || chr(10) || '    URL: http://x' AS line FROM c)
+    SELECT category, count(*) AS items, md5(chr(10) || '--- ' || upper(category) || ' (' || count(*) || ' items) ---' || chr(10) || string_agg(line, chr(10) ORDER BY rn) FILTER (rn <= 8)) AS digest
+    FROM l GROUP BY category""",
+)
 def _category_pack(spark, d):
     docs = table(spark, d, "documents").select(
         F.lit("r").alias("run_date"),

@@ -41,17 +41,21 @@ def _canonical(spark, d):
     return table(spark, d, "pages").select("page_id", "url", U.canonical_url(F.col("url")).alias("canonical"))
 
 
-@query(
-    "sanitize_text",
-    """WITH t AS (SELECT doc_id, array_to_string(list_filter(
+SANITIZED_SQL = """
+stripped AS (SELECT doc_id, array_to_string(list_filter(
          string_split(regexp_replace(regexp_replace(text, '\\r\\n?|[\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]', chr(10), 'g'), '\\n$', ''), chr(10)),
          lambda x: NOT regexp_matches(lower(trim(x, ' ' || chr(9))), '^(system:|assistant:|ignore |important instruction|new instructions|override:|you are now|forget everything|\\[system\\]|\\[assistant\\])')
            AND NOT regexp_matches(lower(x), 'ignore previous instructions|ignore all previous|disregard the above|you must now|your new role is|act as if you are|pretend you are|disregard your previous')), chr(10)) AS a
        FROM documents),
-    e AS (SELECT doc_id, replace(replace(replace(a, '"}', '"' || chr(65533)), '}]', chr(65533) || ']'), '}}', chr(65533) || chr(65533)) AS b FROM t)
-    SELECT doc_id, md5(trim(CASE WHEN length(b) > 500 THEN rtrim(substr(b, 1, 499), ' ' || chr(10) || chr(9)) || '…' ELSE b END, ' ' || chr(10) || chr(9))) AS digest,
+sanitized AS (SELECT doc_id, replace(replace(replace(a, '"}', '"' || chr(65533)), '}]', chr(65533) || ']'), '}}', chr(65533) || chr(65533)) AS b FROM stripped)
+"""
+
+
+@query(
+    "sanitize_text",
+    f"""WITH {SANITIZED_SQL} SELECT doc_id, md5(trim(CASE WHEN length(b) > 500 THEN rtrim(substr(b, 1, 499), ' ' || chr(10) || chr(9)) || '…' ELSE b END, ' ' || chr(10) || chr(9))) AS digest,
       CAST(length(trim(CASE WHEN length(b) > 500 THEN rtrim(substr(b, 1, 499), ' ' || chr(10) || chr(9)) || '…' ELSE b END, ' ' || chr(10) || chr(9))) AS BIGINT) AS chars
-    FROM e""",
+    FROM sanitized""",
 )
 def _sanitize(spark, d):
     docs = table(spark, d, "documents").select("doc_id", X.sanitize(F.col("text"), 500).alias("s"))
