@@ -15,11 +15,12 @@ from newsloom.sources.archive import PayloadArchive
 from newsloom.streaming.jobs import run_append
 
 
-# Links of the given pages are single words, so each page is an index of itself too.
+# Links of the given pages are single words, so each page is an index of itself too. Titles
+# are cut off anywhere, and HTML reads these entities without their semicolon as well.
 LINKS_SQL = r"""
 p AS (SELECT page_id, url AS base, regexp_extract(html, '<title>([^<]*)</title>', 1) AS shown FROM pages),
 t AS (SELECT page_id, base AS url, regexp_extract(base, '^https?://[^/?#]*([^?#]*)', 1) AS path,
-  trim(regexp_replace(replace(replace(replace(replace(shown, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM p)
+  trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(shown, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS title FROM p)
 """
 
 
