@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.store import written
+from newsloom.llm.store import lowest_hashes, written
 from newsloom.llm.vectors import finite, floors, matrix
 
 SCALE = 256
@@ -45,9 +45,9 @@ QUERY_ROWS, ROWS = 512, 8_192
 SLACK = 1e-9
 
 
-def pivots_of(vectors: DataFrame, width: int) -> np.ndarray:
+def pivots_of(vectors: DataFrame, width: int, count: int) -> np.ndarray:
     """Far-apart vectors of a bounded sample, the origin first."""
-    rows = vectors.select("id", "vector").orderBy(F.xxhash64("id", "vector"), "id", "vector").limit(SAMPLE).collect()
+    rows = lowest_hashes(vectors, count, SAMPLE)
     sample = matrix(pa.array([r["vector"] for r in rows], pa.list_(pa.float64())), width) * SCALE
     chosen = [np.zeros(width)]
     near = np.sqrt(((sample - chosen[0]) ** 2).sum(axis=1)) if len(rows) else np.zeros(1)
@@ -286,8 +286,9 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_column: str = "v
     table = vectors.where(F.col(id_column).isNotNull() & finite(vector)).select(
         F.col(id_column).cast("long").alias("id"), vector.cast("array<double>").alias("vector"), F.coalesce(queries, F.lit(False)).alias("asked")
     )
-    width = table.agg(F.max(F.size("vector"))).first()[0] or 1
-    pivots = pivots_of(table, width)
+    count, width = table.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    width = width or 1
+    pivots = pivots_of(table, width, count)
     n = len(pivots)
     placed = written(table.mapInArrow(_place(width, pivots), "id long, vector array<double>, asked boolean, cell int, number long"), "nearest-rows")
     spread = placed.select("vector", "cell").mapInArrow(_measure(width, pivots), "cell int, pivot int, rows long, low double, high double")
@@ -309,6 +310,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_column: str = "v
     asked = asked.withColumn("block", _block(blocks, at)).withColumn("part", F.pmod(F.xxhash64(at), F.get(parts, F.col("cell"))))
     homes = asked.select("id", "name", "vector", "block", "part").groupBy("block", "part").applyInArrow(_pack_queries(width, pivots), _QUERIES)
     run, schema = _answer(width, n, k)
+    # Packed rows compress well, so their size as files or shuffled must not make them a broadcast.
+    held = held.hint("merge")
     first = written(homes.join(held, "block").mapInArrow(run, schema), "nearest-first")
     going = first.select(*[c for c, _ in _Q]).mapInArrow(_travel(width, n, ranges, blocks), _QUERIES)
     second = going.join(held, "block").mapInArrow(run, schema)

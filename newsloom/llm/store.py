@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +41,27 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lowest_hashes(table: DataFrame, count: int, rows: int) -> list[Row]:
+    """(id, vector) of the ``rows`` rows with the lowest hashes; ``count``: rows of the table.
+
+    A limit on the hash first leaves a few times ``rows``, and the rows are chosen
+    by a task, so that the driver gets no more than ``rows`` however many partitions
+    there are. Where copies share few hashes, the whole table is looked at.
+    """
+    order = [F.xxhash64("id", "vector"), "id", "vector"]
+
+    def pick(some: DataFrame) -> list[Row]:
+        return written(some.orderBy(*order).limit(rows), "lowest-hashes").orderBy(*order).collect()
+
+    table = table.select("id", "vector")
+    share = 4 * rows / max(count, 1)
+    if share < 1:
+        found = pick(table.where(order[0] < F.lit(min(int(2.0**64 * share) - 2**63, 2**63 - 1))))
+        if len(found) == rows:
+            return found
+    return pick(table)
+
+
 def bucketed(df: DataFrame, what: str, column: str) -> DataFrame:
     """The rows, written once in buckets of a column.
 

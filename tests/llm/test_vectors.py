@@ -156,3 +156,29 @@ def test_relaxed_pruning():
         recall.append(np.mean([len({i for _, i in f} & set(b)) / 5 for f, b in zip(held.found, best, strict=True)]))
     assert visits[0] > visits[1] > visits[2] and visits[0] < 0.6 * len(asked) * (len(tree.spans) // 2 + 1)
     assert recall[0] == 1 and recall[1] >= 0.9 and recall[0] >= recall[1] >= recall[2]
+
+
+def test_sample_reaches_the_driver_once(spark):
+    """Partitions don't each send a sample, packed blocks are never broadcast; copies too fill the sample."""
+    from newsloom.llm.store import lowest_hashes
+    from pyspark.sql import functions as F
+
+    table = spark.range(0, 4_000, 1, 40).selectExpr("id % 1000 AS id", "array(CAST(id % 1000 AS double), 0.5D) AS vector")
+    order = [F.xxhash64("id", "vector"), "id", "vector"]
+    for rows in (8, 100, 3_000, 5_000):
+        want = [tuple(r) for r in table.orderBy(*order).limit(rows).collect()]
+        assert [tuple(r) for r in lowest_hashes(table, 4_000, rows)] == want
+    alike = table.withColumns({"id": F.lit(1), "vector": F.array(F.lit(1.0))})
+    assert len(lowest_hashes(alike, 4_000, 8)) == 8
+
+
+@pytest.mark.parametrize("name", ["nearest", "vptree"])
+def test_blocks_are_not_broadcast(spark, name):
+    import importlib
+
+    from pyspark.sql import functions as F
+
+    found = importlib.import_module(f"newsloom.llm.{name}").nearest(spark.createDataFrame(rows(), SCHEMA), F.col("vec_id") % 50 == 0)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
