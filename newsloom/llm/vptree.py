@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.store import written
+from newsloom.llm.store import lowest_hashes, written
 from newsloom.llm.vectors import finite, matrix
 
 # Rows of a shard and of a leaf; cells at most; rows that cells are fitted on
@@ -306,7 +306,7 @@ class Index:
         """``table``: (id, vector, asked) of usable rows."""
         rows, width = table.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
         self.width = width or 1
-        sample = table.select("id", "vector").orderBy(F.xxhash64("id", "vector"), "id", "vector").limit(SAMPLE).collect()
+        sample = lowest_hashes(table, rows, SAMPLE)
         x = levelled(matrix(pa.array([r["vector"] for r in sample], pa.list_(pa.float64())), self.width))
         cells = min(CELLS, max(1, rows // ROWS))
         top = Tree.grow(x / np.maximum(norms(x), 1e-300)[:, None], max(LEAF // 2, -(-len(sample) // cells)))
@@ -375,7 +375,8 @@ class Index:
         first = own.select(F.inline(F.arrays_zip(*names)))
         run, schema = _travel(self.width, factor, self.points, self.rings, self.shards)
         going = own.select("shard", "q_keys", "q_ids", "q_vectors", "q_reach").mapInArrow(run, schema)
-        tiles = going.join(self.table.drop("cell", "asked"), "shard")
+        # Packed rows compress well, so their size as files or shuffled must not make them a broadcast.
+        tiles = going.join(self.table.drop("cell", "asked").hint("merge"), "shard")
         return first.unionByName(tiles.mapInArrow(_answer(self.width, k, factor), _FOUND))
 
 
