@@ -158,3 +158,20 @@ def test_interval_pairs(spark, seed, scale):
     assert {x.id: x.title for x in found.collect()} == best
     assert R.interval_pairs(p.limit(0), r, "at", "begins", "ends", ["k"]).count() == 0
     assert R.interval_pairs(p, r.limit(0), "at", "begins", "ends", ["k"]).count() == 0
+
+
+def test_schedule_of_repeated_points_and_keys(spark):
+    """Points of one id share their best range; null ids, keys and times find none."""
+    points, ranges = spans_case(4, 1_000)
+    points = [(None if i % 17 == 3 else i // 2, k, t) for i, k, t in points]
+    p = spark.createDataFrame(points, "id int, k string, at timestamp")
+    r = spark.createDataFrame(ranges + ranges[:20], "rid int, k string, begins timestamp, ends timestamp, title string")
+    far = dt.datetime(2500, 1, 1)
+    best = defaultdict(list)
+    for i, k, t in points:
+        for _, q, a, b, title in ranges:
+            if k is not None and k == q and t and (a is None or a <= t) and (b is None or t <= b):
+                best[i].append(((a is not None, a or far), (b is None, b or far), title))
+    want = Counter((i, k, t, min(best[i])[2] if i is not None and best[i] else "") for i, k, t in points)
+    got = R.schedule_at(p, r, "id", "at", "begins", "ends", ["title"], ["k"])
+    assert Counter(map(tuple, got.collect())) == want
