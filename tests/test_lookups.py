@@ -175,3 +175,16 @@ def test_schedule_of_repeated_points_and_keys(spark):
     want = Counter((i, k, t, min(best[i])[2] if i is not None and best[i] else "") for i, k, t in points)
     got = R.schedule_at(p, r, "id", "at", "begins", "ends", ["title"], ["k"])
     assert Counter(map(tuple, got.collect())) == want
+
+
+def test_open_ranges_meet_in_many_bins(spark):
+    """Neither a look-up nor a join has a task for all points of an open range."""
+    p = spark.range(0, 4_000, 1, 4).selectExpr("CAST(id AS int) AS id", "id * 1000 AS at")
+    r = spark.range(400).selectExpr("CAST(id AS int) AS rid", "IF(id % 2 = 0, NULL, id * 10000) AS begins", "CAST(IF(id % 2 = 0, NULL, id * 10000 + 500) AS long) AS ends", "concat('t', id) AS title")
+    met = R.interval_pairs(p, r, "at", "begins", "ends")
+    assert met.count() == 4_000 * 200 + 200
+    join = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in join
+    found = R.schedule_at(p, r, "id", "at", "begins", "ends", ["title"])
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("_bin") == 0
+    assert {x.title for x in found.select("title").distinct().collect()} == {"t0"}
