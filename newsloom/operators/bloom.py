@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.urls import canonical_url
 from newsloom.operators.joins import known_index, mark_known
+from newsloom.session import cut
 
 # Bits of a block (as Spark's bitmap functions have them), bits per key, hashes.
 BLOCK, PER_KEY, HASHES = 32_768, 16, 6
@@ -97,9 +98,11 @@ def mark_known_filtered(links: DataFrame, known: DataFrame, key: str = "run_date
     both = probe(exact, bits, [F.col(key), F.col("_canonical")], blocks, "_same")
     blank = F.coalesce(F.col("url"), F.lit("")) == ""
     maybe = F.col("_exact") | (F.col("_same") & (F.coalesce("_canonical", F.lit("")) != ""))
-    unknown = both.where(~blank & ~maybe).withColumn("known", F.lit(False))
+    # Written once: spelling and probing the links costs most, and three passes would need them.
+    both = cut(both.select(*links.columns, "_canonical", (blank | maybe).alias("_maybe")))
+    unknown = both.where(~F.col("_maybe")).withColumn("known", F.lit(False))
     # As in the exact join, a link without a run has no comparison form.
     form = F.when(F.col(key).isNotNull(), F.col("_canonical"))
     unknown = unknown.withColumn("canonical_url", F.coalesce(form, F.lit("")))
-    checked = mark_known(both.where(blank | maybe).select(*links.columns), index, key, **options)
+    checked = mark_known(both.where("_maybe").select(*links.columns), index, key, **options)
     return checked.unionByName(unknown.select(*checked.columns))

@@ -31,6 +31,14 @@ def test_filter_has_no_false_negatives_and_few_false_positives(spark):
     assert one.maybe is False
 
 
+def test_filtered_links_are_spelled_once(spark):
+    """The links' comparison form and probes are written, not computed by every pass."""
+    links = spark.createDataFrame(LINKS, "run_date string, item int, url string")
+    known = spark.createDataFrame([("r1", "http://a.org/x")], "run_date string, url string")
+    plan = B.mark_known_filtered(links, known)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_words" not in plan and "tables/" not in plan and "_maybe" in plan
+
+
 LINKS = [
     ("r1", 1, "http://a.org/x?utm_source=q"),
     ("r1", 2, "http://A.org/x/"),
