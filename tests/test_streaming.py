@@ -273,3 +273,28 @@ def test_rolling_medians(spark, tmp_path):
         held = [int(n) for t, s, n in rows if s == source and d - 4 <= t.day <= d]
         want[(d, source)] = (len(held), statistics.median(held))
     assert got == want
+
+
+def test_one_batch_of_many_files(spark, tmp_path):
+    """The events of a batch are landed by several tasks and read as one batch."""
+    from pathlib import Path
+
+    from newsloom.catalog import streams
+    from newsloom.session import checkpoint_dir
+
+    rows = spark.range(4_000).selectExpr(
+        "id AS event_id", "timestamp_ntz '2024-01-01' + make_interval(0, 0, 0, 0, CAST(id % 700 AS int)) AS ts", "id % 50 AS user_id", "CAST(id % 3 AS string) AS event_type"
+    )
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    stream = streams._events(spark, str(tmp_path), batches=1, files=8)
+    batches = []
+
+    def save(batch, number):
+        batches.append((number, batch.count()))
+
+    stream.writeStream.foreachBatch(save).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    assert batches == [(0, 4_000)]
+    assert streams._dedup(spark, str(tmp_path)).count() == 150
+    landed = Path(checkpoint_dir(spark).removeprefix("file:")) / "landed"
+    folders = sorted(landed.glob("events-*"), key=lambda p: p.stat().st_mtime)
+    assert len(list(folders[-1].glob("part-*"))) > 8
