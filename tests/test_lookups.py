@@ -63,6 +63,26 @@ def test_filtered_links_agree_with_plain_join(spark, monkeypatch):
     assert B.mark_known_filtered(links, known.limit(0)).where("known").count() == 6
 
 
+def test_blank_links_are_spread(spark):
+    """Blank links, mostly very many, don't meet in one task."""
+    links = spark.range(8_000).selectExpr("'r' AS run_date", "CAST(id AS int) AS item", "CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN concat('http://a.org/', id % 8) ELSE '' END AS url")
+    known = spark.createDataFrame([("r", "http://a.org/1")], "run_date string, url string")
+    plain = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {c: spark.conf.get(c) for c in plain}
+    try:
+        for c, v in plain.items():
+            spark.conf.set(c, v)
+        out = J.mark_known(links, known)
+        tasks = out.where("coalesce(url, '') = ''").groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in tasks) < 3_000
+        assert Counter((r.url, r.known, r.canonical_url != "") for r in out.collect()) == {
+            (None, True, False): 2_000, ("", True, False): 4_000, ("http://a.org/1", True, True): 1_000, ("http://a.org/5", False, True): 1_000
+        }
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+
+
 def hook_rows():
     rng = random.Random(5)
     rows = []
