@@ -3,7 +3,8 @@
 Ten-word windows are compared by a 64-bit hash first: only hashes seen on
 both sides are followed up with the words themselves, so what is shuffled for
 the bulk of the text is two numbers per word, and a hash collision can never
-produce a match.
+produce a match. A window's hash is made of those of its words, which are taken
+once each; only windows at places with a common hash are spelled.
 """
 
 from __future__ import annotations
@@ -15,22 +16,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.functions.text import gram_hashes, hashed_grams
+from newsloom.functions.text import gram_hashes, grams_at
 from newsloom.operators.joins import HOT_ROWS, hot_join, key_counts
 from newsloom.operators.links import step_down
 from newsloom.operators.ranking import top_per_group
 from newsloom.session import cut
 
 
-def hash_rows(texts: DataFrame, key: Sequence[str], window: int = 10) -> DataFrame:
-    """One row per distinct window of each text: its hash only."""
-    return texts.select(*key, F.explode(gram_hashes(F.col("text"), window)).alias("gram_hash"))
-
-
-def gram_rows(texts: DataFrame, key: Sequence[str], window: int = 10) -> DataFrame:
-    """One row per window of each text, with its hash."""
-    grams = texts.select(*key, F.explode(hashed_grams(F.col("text"), window)).alias("_g"))
-    return grams.select(*key, F.col("_g.gram_hash").alias("gram_hash"), F.col("_g.gram").alias("gram"))
+def hash_rows(texts: DataFrame, key: Sequence[str], run: Sequence[str], window: int = 10) -> DataFrame:
+    """One row per window of each text: its place, and its hash with that of the run."""
+    rows = texts.select(*key, F.posexplode(gram_hashes(F.col("text"), window)).alias("at", "_h"))
+    return rows.select(*key, "at", F.xxhash64(*run, "_h").alias("gram_hash"))
 
 
 def _spelled(
@@ -45,13 +41,13 @@ def _spelled(
     """The words of the windows whose hash is common, from texts that have one.
 
     ``common`` is a written table, so where it is small Spark broadcasts it and
-    the hashes of the bulk of the text are not shuffled again.
+    the hashes of the bulk of the text are not shuffled again. Texts of the same
+    key exchange places; what is spelled there are windows of theirs all the same.
     """
-    h = [*run, "gram_hash"]
-    hits = hot_join(hash_rows(texts, key, window), common, h, "left_semi", counts, hot_rows)
-    owners = hits.select(*key).distinct()
-    rows = gram_rows(texts.join(owners, list(key), "left_semi"), key, window)
-    return hot_join(rows, common, h, "left_semi", counts, hot_rows).drop("gram_hash").distinct()
+    hits = hot_join(hash_rows(texts, key, run, window), common, ["gram_hash"], "left_semi", counts, hot_rows)
+    places = hits.groupBy(*key).agg(F.collect_set("at").alias("_at"))
+    rows = texts.join(places, list(key)).select(*key, F.explode(grams_at(F.col("text"), F.col("_at"), window)).alias("gram"))
+    return rows.distinct()
 
 
 def shared_grams(
@@ -66,15 +62,15 @@ def shared_grams(
 
     ``key`` identifies a text in a run on both sides.
     """
-    k, h = [*run, *key], [*run, "gram_hash"]
-    a = hash_rows(left, k, window).select(*h, F.lit(1).alias("_l"), F.lit(0).alias("_r"))
-    b = hash_rows(right, k, window).select(*h, F.lit(0).alias("_l"), F.lit(1).alias("_r"))
+    k, h = [*run, *key], "gram_hash"
+    a = hash_rows(left, k, run, window).select(h, F.lit(1).alias("_l"), F.lit(0).alias("_r"))
+    b = hash_rows(right, k, run, window).select(h, F.lit(0).alias("_l"), F.lit(1).alias("_r"))
     # Both sides in one aggregation: a window is common when both have it.
-    sides = a.unionByName(b).groupBy(*h).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+    sides = a.unionByName(b).groupBy(h).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
     common = cut(sides.where((F.col("_l") > 0) & (F.col("_r") > 0)))
-    ours = common.select(*h, F.col("_l").alias("rows"))
-    theirs = common.select(*h, F.col("_r").alias("rows"))
-    keys = common.select(*h)
+    ours = common.select(h, F.col("_l").alias("rows"))
+    theirs = common.select(h, F.col("_r").alias("rows"))
+    keys = common.select(h)
     words = _spelled(right, keys, theirs, k, run, window, hot_rows).select(*run, "gram").distinct()
     candidates = _spelled(left, keys, ours, k, run, window, hot_rows)
     on = [*run, "gram"]
@@ -117,12 +113,13 @@ def cross_section_phrases(
     Groups are folded by partial aggregation; no pairs are enumerated.
     """
     k = [*run, "section", "pos"]
-    h = [*run, "gram_hash"]
-    spread = hash_rows(texts, k, window).groupBy(*h).agg(
-        F.min("section").alias("_a"), F.max("section").alias("_b"), F.count(F.lit(1)).alias("rows")
+    # Numbers for the sections: the least and greatest string would need a sort of all windows.
+    number = F.when(F.col("section").isNotNull(), F.xxhash64("section")).alias("_number")
+    spread = hash_rows(texts, k, run, window).select("gram_hash", number).groupBy("gram_hash").agg(
+        F.min("_number").alias("_a"), F.max("_number").alias("_b"), F.count(F.lit(1)).alias("rows")
     )
-    common = cut(spread.where(F.col("_a") != F.col("_b")).select(*h, "rows"))
-    survivors = _spelled(texts, common.select(*h), common, k, run, window, hot_rows)
+    common = cut(spread.where(F.col("_a") != F.col("_b")).select("gram_hash", "rows"))
+    survivors = _spelled(texts, common.select("gram_hash"), common, k, run, window, hot_rows)
     g = [*run, "gram"]
     per_section = survivors.groupBy(*g, "section").agg(F.min("pos").alias("pos"))
     # One row per section is left, so a phrase gathers no more than sections.

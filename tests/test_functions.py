@@ -110,6 +110,19 @@ def test_grams(spark):
     assert value(spark, lambda c: X.gram_words(c), "Été naïve a_b—c ½") == ["été", "naïve", "a_bc", "½"]
 
 
+def test_gram_hashes_by_place(spark):
+    words = [f"w{i % 7}" for i in range(30)]
+    texts = [" ".join(words), None, "", "too\u2003short", "\x85 X, " + "\u3000 ".join(words[3:]).upper(), " ".join(words[:10])]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").coalesce(1)
+    got = {r.i: r.h for r in df.select("i", X.gram_hashes(F.col("text")).alias("h")).collect()}
+    assert [len(got[i]) for i in range(6)] == [21, 0, 0, 0, 19, 1]
+    # A window is the same number wherever it stands, and repeats keep their places.
+    assert got[0][:7] * 3 == got[0] and len(set(got[0])) == 7
+    assert got[4][1:] == got[0][3:] and got[5] == got[0][:1] and got[4][0] not in got[0]
+    spelled = df.where("i = 0").select(X.grams_at(F.col("text"), F.array(F.lit(20), F.lit(21), F.lit(0))).alias("g")).first().g
+    assert spelled == [" ".join(words[20:30]), " ".join(words[:10])]
+
+
 def test_allowed_tags(spark):
     html = '<div><p class="x">a <EM>b</EM><script>c</script><br/></p><pre>d</pre></div>'
     assert value(spark, X.keep_allowed_tags, html) == '<p class="x">a <EM>b</EM>c<br/></p>d'
