@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -205,6 +206,36 @@ def test_cooldown_state_and_overrides(spark, tmp_path):
     assert {r.attempt: (r.outcome, r.cooldown_until) for r in got} == want and len(got) == len(want)
 
 
+def test_cooldown_takes_rows_and_asks_once():
+    """A feed's batch costs one look-up and one update, and no data frame."""
+    calls = []
+
+    class Held:
+        value = None
+
+        def exists(self):
+            calls.append("exists")
+            return self.value is not None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+    job = S.Cooldown(S.TOO_MANY_SECONDS, S.GONE_SECONDS, None)
+    job.state = Held()
+    attempt = Row("feed_key", "attempt", "at", "status_code", "has_content", "own_429", "own_error")
+    h, nan = 3600.0, float("nan")
+    rows = [attempt("f", 3, None, 404.0, False, None, None), attempt("f", 2, 2 * h, 200.0, True, None, None), attempt("f", 1, h, 429.0, None, nan, None)]
+    rows.append(attempt("f", None, 2 * h, 200.0, True, None, None))
+    got = [tuple(r) for r in job.handleInputRows(("f",), iter(rows), None)]
+    assert got == [("f", 1, "http_error", 7 * h), ("f", 2, "skipped_cooldown", 7 * h), ("f", None, "skipped_cooldown", 7 * h), ("f", 3, "http_error", 0.0)]
+    assert calls == ["get", "update"] and job.state.value == (0.0, h, 404, None)
+
+
 def test_cooldown_timers(spark, tmp_path):
     """A feed is reported when its cooldown ends, and forgotten after long silence."""
     d = 86_400.0
