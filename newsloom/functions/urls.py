@@ -15,6 +15,8 @@ _AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
 _HOST = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[Ww]{3}\.)?([^/?#:]*)"
 _PATH = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)"
 _QUERY = r"^[^?#]*\?([^#]*)"
+# A URL that is its own comparison form, as most are: it needs no other pattern.
+_PLAIN = r"^https?://[a-z0-9.:\-]+/[!-~&&[^?#;]]*[!-~&&[^?#;/]]\z"
 
 
 def netloc(url: Column) -> Column:
@@ -67,7 +69,8 @@ def canonical_url(url: Column) -> Column:
     rebuilt = F.array_join(pairs, "&")
     tail = F.when(query == "", "").when(rebuilt == "", "").otherwise(F.concat(F.lit("?"), rebuilt))
     usable = scheme(u).isin("http", "https") & (host != "")
-    return F.when(usable, F.concat(scheme(u), F.lit("://"), F.lower(host), p, tail)).otherwise("")
+    spelled = F.when(usable, F.concat(scheme(u), F.lit("://"), F.lower(host), p, tail)).otherwise("")
+    return F.when(url.rlike(_PLAIN), url).otherwise(spelled)
 
 
 def absolute_url(base: Column, href: Column) -> Column:
