@@ -111,11 +111,13 @@ def prune_links(
     )
 
 
-def url_desks(desk_items: DataFrame) -> DataFrame:
-    """The first desk that refers to each URL."""
+def url_desks(desk_items: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """The first desk that refers to each URL; only of the (run, url) ``asked``, if given."""
     rows = desk_items.select(
         "run_date", "desk", "desk_pos", "pos", F.posexplode("links").alias("_at", "_link")
     ).withColumn("url", py_strip(F.coalesce(F.col("_link.url"), F.lit(""))))
+    if asked is not None:
+        rows = rows.join(asked.select("run_date", py_strip("url").alias("url")), ["run_date", "url"], "left_semi")
     return (
         rows.where(F.col("url") != "")
         .groupBy("run_date", "url")

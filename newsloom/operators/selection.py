@@ -213,8 +213,11 @@ def primary_coverage(
     first = first.withColumn("_desk_order", order_of[F.col("desk")])
     present = glance.select(run, "tag").distinct()
     missing = first.join(present, [run, "tag"], "left_anti").withColumn("_sig", item_signature())
-    signs = glance.select(run, item_signature().alias("_sig")).distinct()
-    fresh = missing.join(signs, [run, "_sig"], "left_anti")
+    # A few rows a run are left, and are read twice: written, they let the short items be looked through in place.
+    missing = cut(missing)
+    signs = glance.select(run, item_signature().alias("_sig"))
+    same = signs.join(missing.select(run, "_sig"), [run, "_sig"], "left_semi").distinct()
+    fresh = missing.join(same, [run, "_sig"], "left_anti")
     # At most one row per configured desk is left of a run: walk them in order.
     walked = fresh.groupBy(run).agg(
         F.array_sort(F.collect_list(F.struct("_desk_order", "desk", "tag", "_sig"))).alias("_rows")

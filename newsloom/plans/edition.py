@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import display_text, py_strip, strip_markup_pairs, truncate_sentence
-from newsloom.operators.joins import HOT_ROWS, best_annotation, join_selection, known_index
+from newsloom.operators.joins import HOT_ROWS, best_annotation, join_selection, known_index, link_urls
 from newsloom.operators.links import (
     domains_bridged,
     link_domains,
@@ -83,9 +83,9 @@ def build_edition(
     comes last.
     """
     known = cut(known_index(known))
-    joined = prune_links(join_selection(selections, desk_items), known, hot_rows=hot_rows)
-    joined = cut(joined)
-    added = primary_coverage(joined, desk_items)
+    # Pruning reads its items several times, so each table of them is written first.
+    joined = cut(prune_links(cut(join_selection(selections, desk_items)), known, hot_rows=hot_rows))
+    added = cut(primary_coverage(joined, desk_items))
     added = added.withColumn("pos", F.lit(_AFTER) + F.col("_desk_order")).select(
         *[F.col(c).cast(joined.schema[c].dataType.simpleString()).alias(c) for c in joined.columns if c != "pos"],
         "pos",
@@ -93,8 +93,8 @@ def build_edition(
     added = prune_links(added, known, hot_rows=hot_rows)
     glance = joined.withColumn("pos", F.col("pos").cast("bigint")).unionByName(added)
 
-    long = prune_links(dives, known, "further_reading", hot_rows=hot_rows)
-    bridged = domains_bridged(long, url_desks(desk_items), hot_rows=hot_rows)
+    long = cut(prune_links(cut(dives), known, "further_reading", hot_rows=hot_rows))
+    bridged = domains_bridged(long, url_desks(desk_items, link_urls(long, "further_reading")), hot_rows=hot_rows)
     long = long.drop("domains_bridged").join(bridged, ["run_date", "pos"], "left")
     long = long.withColumn("domains_bridged", F.coalesce("domains_bridged", F.array().cast("array<string>")))
     read, _ = validate_urls(reading, known, "worth_reading", hot_rows)

@@ -6,12 +6,18 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.urls import canonical_url
 from newsloom.operators import joins as J
+from newsloom.operators.links import url_desks
+from newsloom.operators.selection import primary_coverage
 
 
 def optimized(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def physical(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 KNOWN = "run_date string, url string"
 
 
@@ -53,3 +59,27 @@ def test_plain_urls_are_their_own_form(spark):
         "http://a.org/x", "https://a.org:80/x/y.html", "http://a.org/x", "http://a.org/x", "http://a.org/", "http://a.org/x",
         "http://a.org/x", "http://a.org/x", "http://a.org/a b", "", "",
     ]
+
+
+DESK = "run_date string, desk string, desk_pos int, pos long, item_id string, headline string, links array<struct<url:string,label:string>>, deep_dive_candidate boolean"
+
+
+def test_only_asked_urls_are_ranked_by_desk(spark):
+    rows = [("r", "a", 0, 1, "i1", "h", [("u", "l"), ("v", "l")], False), ("r", "b", 1, 0, "i2", "h", [(" u ", "l"), ("w", "l")], False)]
+    desk = spark.createDataFrame(rows, DESK)
+    asked = spark.createDataFrame([("r", "u "), ("q", "v"), ("r", None)], KNOWN)
+    got = url_desks(desk, asked).collect()
+    assert [(r.run_date, r.url, r.desk) for r in got] == [("r", "u", "a")]
+    assert {(r.url, r.desk) for r in url_desks(desk).collect()} == {("u", "a"), ("v", "a"), ("w", "b")}
+
+
+def test_coverage_looks_at_short_items_in_place(spark):
+    item = ("r", "geopolitics_events", 0, 1, "i1", "h", [("u", "l")], False)
+    desk = spark.createDataFrame([item], DESK)
+    glance = spark.createDataFrame([("r", "ai", "i1", "h", [("u", "l")])], "run_date string, tag string, item_id string, headline string, links array<struct<url:string,label:string>>")
+    assert primary_coverage(glance, desk).count() == 0
+    other = glance.withColumn("headline", F.lit("other"))
+    out = primary_coverage(other.unionByName(other), desk)
+    assert [(r.item_id, r.tag) for r in out.collect()] == [("i1", "war")]
+    # The first items are written, not ranked again for each use.
+    assert "Window" not in physical(out)
