@@ -127,14 +127,25 @@ def as_list(v: Column) -> Column:
 
 
 def is_object(v: Column) -> Column:
-    return F.coalesce(F.try_variant_get(v, "$", "map<string,variant>").isNotNull(), F.lit(False))
+    # Without fields to fill, nothing of the object is copied.
+    return F.coalesce(F.try_variant_get(v, "$", "struct<>").isNotNull(), F.lit(False))
+
+
+def _spelled(text: Column, v: Column, default: str | None) -> Column:
+    # Only texts that look like a flag are asked for their kind, which walks the value.
+    flag = text.isin("true", "false") & (F.schema_of_variant(v) == "BOOLEAN")
+    spelled = F.when(flag, F.initcap(text)).otherwise(text)
+    return spelled if default is None else F.coalesce(spelled, F.lit(default))
 
 
 def as_text(v: Column, default: str | None = "") -> Column:
     """Text of any JSON value; absent and null give the default."""
-    text = F.try_variant_get(v, "$", "string")
-    spelled = F.when(F.schema_of_variant(v) == "BOOLEAN", F.initcap(text)).otherwise(text)
-    return spelled if default is None else F.coalesce(spelled, F.lit(default))
+    return _spelled(F.try_variant_get(v, "$", "string"), v, default)
+
+
+def field_text(v: Column, name: str, default: str | None = "") -> Column:
+    """``as_text`` of a field, taken in one step."""
+    return _spelled(F.try_variant_get(v, f"$.{name}", "string"), field(v, name), default)
 
 
 def as_flag(v: Column) -> Column:
@@ -183,7 +194,7 @@ def _child_issues(v: Column, path: Column, message: str) -> Column:
 
 def _children(v: Column, fields: Sequence[str]) -> Column:
     objects = F.filter(as_list(v), is_object)
-    made = F.transform(objects, lambda x: F.struct(*[as_text(field(x, f)).alias(f) for f in fields]))
+    made = F.transform(objects, lambda x: F.struct(*[field_text(x, f).alias(f) for f in fields]))
     kind = "array<struct<" + ",".join(f"{f}:string" for f in fields) + ">>"
     return F.coalesce(made, F.array().cast(kind))
 
@@ -200,15 +211,17 @@ def entries(
 
     Entries keep their place in the list as ``pos``.
     """
-    rows = docs.select(*keep, path.alias("_path"), F.posexplode(as_list(section)).alias("pos", "_v"))
+    # The outer form, as for the other Spark first asks for the list's size, which parses the document again.
+    rows = docs.select(*keep, path.alias("_path"), F.posexplode_outer(as_list(section)).alias("pos", "_v"))
+    rows = rows.where(F.col("pos").isNotNull())
     here = _at(F.col("_path"), F.col("pos"))
     known = [*shape.texts, *shape.nullable, *shape.flags, *shape.words, *shape.objects]
     v = F.col("_v")
     good = rows.where(is_object(v)).select(
         *keep,
         "pos",
-        *[as_text(field(v, t), shape.defaults.get(t, "")).alias(t) for t in shape.texts],
-        *[as_text(field(v, t), None).alias(t) for t in shape.nullable],
+        *[field_text(v, t, shape.defaults.get(t, "")).alias(t) for t in shape.texts],
+        *[field_text(v, t, None).alias(t) for t in shape.nullable],
         *[as_flag(field(v, t)).alias(t) for t in shape.flags],
         *[_word_list(field(v, t)).alias(t) for t in shape.words],
         *[_children(field(v, t), fields).alias(t) for t, (_, fields) in shape.objects.items()],
@@ -523,21 +536,22 @@ def accepted_candidates(
     candidates: DataFrame, desk_items: DataFrame, most: int = 5, evidence: int = 2, text: int = 220, quote: int = 140
 ) -> DataFrame:
     """First candidates of a valid type on known items, texts clipped."""
-    kept, _ = _split_known(candidates, known_ids(desk_items))
-    valid = kept.withColumn("seam_type", py_strip("seam_type")).where(F.col("seam_type").isin(SEAM_TYPES))
-    head = top_per_group(valid, ["run_date"], ["pos"], most)
     long = ["candidate_one_line", "why_it_might_matter", "drop_if_weak_reason"]
-    return head.select(
+    # Clipped first, since the checks below shuffle the rows.
+    short = candidates.select(
         "run_date",
         "pos",
         "item_id",
-        "seam_type",
+        py_strip("seam_type").alias("seam_type"),
         *[clip(F.col(c), text).alias(c) for c in long],
         F.transform(
             F.slice("possible_evidence", 1, evidence),
             lambda x: F.struct(*[clip(x[f], quote).alias(f) for f in EVIDENCE[1]]),
         ).alias("possible_evidence"),
-    )
+    ).where(F.col("seam_type").isin(SEAM_TYPES))
+    kept, _ = _split_known(short, known_ids(desk_items))
+    head = top_per_group(kept, ["run_date"], ["pos"], most)
+    return head.select("run_date", "pos", "item_id", "seam_type", *long, "possible_evidence")
 
 
 def accepted_cross_candidates(cross: DataFrame, most: int = 2, text: int = 220) -> DataFrame:

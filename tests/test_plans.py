@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsloom.functions.urls import canonical_url
+from newsloom.operators import contracts as C
 from newsloom.operators import joins as J
 from newsloom.operators.links import url_desks
 from newsloom.operators.selection import primary_coverage
@@ -61,6 +62,15 @@ def test_plain_urls_are_their_own_form(spark):
     ]
 
 
+def test_documents_are_parsed_once(spark):
+    raw = spark.range(1).select(F.lit("r").alias("run_date"), F.concat(F.lit('{"candidates":[{"item_id":true},1,[]],"n":'), F.col("id").cast("string"), F.lit("}")).alias("raw"))
+    doc = raw.withColumn("_doc", F.try_parse_json("raw"))
+    good, issues = C.entries(doc, C.field(F.col("_doc"), "candidates"), F.lit("c"), C.CANDIDATE)
+    assert optimized(good).count("parseJson") == 1
+    assert [(r.pos, r.item_id, r.possible_evidence) for r in good.collect()] == [(0, "True", [])]
+    assert sorted(r.path for r in issues.collect()) == ["c[1]", "c[2]"]
+
+
 DESK = "run_date string, desk string, desk_pos int, pos long, item_id string, headline string, links array<struct<url:string,label:string>>, deep_dive_candidate boolean"
 
 
