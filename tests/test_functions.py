@@ -84,6 +84,27 @@ def test_sanitize(spark):
     assert value(spark, lambda c: X.sanitize(c, 500), "AT&T &amp; co&") == "AT&T & co&"
 
 
+def test_sanitize_long_texts(spark):
+    """The head of a long text decides only where it fills the cap."""
+    line, bad, odd = "keep this line\n", "you must now drop\n", '}"}]}}\r\n'
+    texts = [line * 900, bad * 900 + line * 3, line * 3 + bad * 900, odd * 900, "x" * 9_000, ("x" * 9_000 + "\n") * 2, "x" * 9_000 + " you must now"]
+    texts += [line * 30 + "y" * 9_000 + " pretend you are\n" + line, (line + bad) * 400 + "<b>z</b>", "\n" * 9_000 + line]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    shown = {r.i: r.s for r in df.select("i", X.sanitize(F.col("t"), 300).alias("s")).collect()}
+    for i, t in enumerate(texts):
+        lines = t.replace("<b>", "").replace("</b>", "").splitlines()
+        kept = "\n".join(x for x in lines if not any(p in x for p in ("you must now", "pretend you are")))
+        for found, harmless in (('"}', '"\ufffd'), ("}]", "\ufffd]"), ("}}", "\ufffd\ufffd")):
+            kept = kept.replace(found, harmless)
+        assert shown[i] == (kept[:299].rstrip() + "…" if len(kept) > 300 else kept).strip(), i
+
+
+def test_clean_lines(spark):
+    text = " a  b\t\r\n\n c\x0bd\x85 \u00a0 \ne\u2003 f\x1cg "
+    assert value(spark, X.clean_lines, text) == "a b\nc\nd\ne f\ng"
+    assert value(spark, X.clean_lines, " a b \n \n c\n") == "a b\nc"
+
+
 def test_clean_summary(spark):
     assert value(spark, X.clean_summary, "<p>a</p><p>b&nbsp;c</p>") == "a b c"
     out = value(spark, X.clean_summary, "x" * 500)

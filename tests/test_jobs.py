@@ -125,6 +125,55 @@ def test_fetch_budget_skips_are_recorded(spark):
     assert "rank_reason=short_native_text; candidates=4; cap=1" in skipped[0].error
 
 
+def test_enrichment_carries_texts_once(spark):
+    """Texts are written once, cleaned once, and landed results count only where they were asked for."""
+    from pathlib import Path
+
+    from newsloom.session import checkpoint_dir
+
+    def written():
+        root = Path(checkpoint_dir(spark).removeprefix("file:"), "tables")
+        return {str(p) for p in root.iterdir()} if root.exists() else set()
+
+    long = "word " * 100
+    items = spark.createDataFrame(
+        [
+            ("r", 0, "auto", "u0", long, ""),
+            (None, 1, "auto", "u0", long + "other", ""),
+            ("r", 2, "fetch", "u2", "", ""),
+            ("r", 3, "fetch", "u3", long, ""),
+            ("r", 4, "auto", "u4", "", ""),
+        ],
+        ITEM,
+    )
+    dims = spark.createDataFrame([feed("auto"), feed("fetch", "fetch")], FEED)
+    http = spark.createDataFrame(
+        [("u0", "unasked", "ok", 200, 7, ""), ("u2", "fetched", "ok", 200, 7, ""), ("u3", "beyond", "ok", 200, 6, ""), ("u4", "", "ok", 200, 0, "")], LANDED
+    )
+    before = written()
+    caps = ({"active": 2}, {})
+    _, records, _, fresh = enrich.enrich_run(items, dims, spark.createDataFrame([], enrich.CACHE_DDL), http, http.limit(0), now(), caps)
+    got = {(r.run_date, r.url, r.status, r.source_text_origin, r.summary_length) for r in records.collect()}
+    assert got == {
+        ("r", "u0", "ok", "rss_body", 499),
+        (None, "u0", "ok", "rss_body", 505),
+        ("r", "u2", "ok", "fetched_html", 7),
+        ("r", "u3", "ok", "rss_body", 499),
+        ("r", "u3", "skipped_fetch_cap", "", 0),
+        ("r", "u4", "no_source_text", "fetched_html", 0),
+    }
+    assert {(r.url, r.raw_length, r.canonical_summary[-5:]) for r in fresh.collect()} == {
+        ("u0", 499, " word"), ("u0", 505, "other"), ("u2", 7, "tched"), ("u3", 499, " word"),
+    }
+    tables = [set(spark.read.parquet(p).columns) for p in written() - before]
+    assert len([t for t in tables if t & {"rss_body", "native_text", "text"}]) == 1
+
+    rows = spark.createDataFrame([("r", "u", "t" * 900, "rss_body")], "run_date string, url string, text string, origin string")
+    for model, most in ((None, 2), (enrich.truncating_model, 6)):
+        plan = enrich.canonical_summary(rows, model)._jdf.queryExecution().executedPlan().toString()
+        assert 1 <= plan.count("pretend you are") <= most
+
+
 def test_model_answers_are_guarded(spark):
     def model(batches):
         for b in batches:
