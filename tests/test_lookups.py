@@ -216,3 +216,27 @@ def test_open_ranges_meet_in_many_bins(spark):
     found = R.schedule_at(p, r, "id", "at", "begins", "ends", ["title"])
     assert found._jdf.queryExecution().optimizedPlan().toString().count("_bin") == 0
     assert {x.title for x in found.select("title").distinct().collect()} == {"t0"}
+
+
+@pytest.mark.parametrize("size", [1, 4, 512])
+def test_points_meet_ranges_once(spark, size):
+    """Pieces of any size give all pairs: far times, an instant of many points, long ranges, repeated rows."""
+    rng = random.Random(size)
+    points = [(i, rng.choice(["hot", "hot", "hot", "a", None]), rng.choice([None, 5, 5, 10**15, -(10**15), *range(40)])) for i in range(400)]
+    points += points[:20] + [(900 + i, f"k{i}", i) for i in range(30)]
+    ranges = [(i, rng.choice(["hot", "a", None]), rng.choice([None, 5, *range(50)]), rng.choice([None, 5, *range(50)])) for i in range(60)]
+    ranges += ranges[:5] + [(900 + i, f"k{i}", i - 1, i + i % 3 - 1) for i in range(30)]
+    p = spark.createDataFrame(points, "id int, k string, at long")
+    r = spark.createDataFrame(ranges, "rid int, k string, begins long, ends long")
+    holds = lambda t, a, b: t is not None and (a is None or a <= t) and (b is None or t <= b)
+    want = Counter((i, q) for i, k, t in points for q, l, a, b in ranges if k is not None and k == l and holds(t, a, b))
+    met = R.interval_pairs(p, r, "at", "begins", "ends", ["k"], size)
+    assert Counter((x.id, x.rid) for x in met.collect()) == want and met.columns == ["k", "id", "at", "rid", "begins", "ends"]
+
+
+def test_points_are_not_repeated_per_level(spark):
+    """Only ranges are copied for the join; points meet them in one row each."""
+    p = spark.range(0, 4_000, 1, 4).selectExpr("CAST(id AS int) AS id", "id * 1000 AS at")
+    r = spark.range(400).selectExpr("CAST(id AS int) AS rid", "id * 10000 AS begins", "id * 10000 + IF(id % 9 = 0, 3000000, 500) AS ends")
+    met = R.interval_pairs(p, r, "at", "begins", "ends")
+    assert met._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
