@@ -4,47 +4,65 @@ Ten-word windows are compared by a 64-bit hash first: only hashes seen on
 both sides are followed up with the words themselves, so what is shuffled for
 the bulk of the text is two numbers per word, and a hash collision can never
 produce a match. A window's hash is made of those of its words, which are taken
-once each; only windows at places with a common hash are spelled.
+once each; only windows at places with a common hash are spelled. Where all
+sections but the largest are short, a filter of their hashes goes to the tasks, and
+of the largest section only windows that it lets through leave them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.functions.text import gram_hashes, grams_at
+from newsloom.functions.text import filter_places, gram_hashes, gram_hits, grams_at
 from newsloom.operators.joins import HOT_ROWS, hot_join, key_counts
 from newsloom.operators.links import step_down
 from newsloom.operators.ranking import top_per_group
 from newsloom.session import cut
 
 
+# Bits of a block of a filter (as Spark's bitmap functions have them); bits of a filter at least and at most.
+BLOCK, LEAST_BITS, MOST_BITS = 32_768, 1 << 23, 1 << 27
+
+
 def hash_rows(texts: DataFrame, key: Sequence[str], run: Sequence[str], window: int = 10) -> DataFrame:
     """One row per window of each text: its place, and its hash with that of the run."""
     rows = texts.select(*key, F.posexplode(gram_hashes(F.col("text"), window)).alias("at", "_h"))
     return rows.select(*key, "at", F.xxhash64(*run, "_h").alias("gram_hash"))
 
 
+def _filter(texts: DataFrame, window: int, bits: int) -> np.ndarray:
+    """Bytes with the places of all window hashes set, built per block by partial aggregation."""
+    hashes = texts.select(F.explode(gram_hashes(F.col("text"), window)).alias("_h"))
+    places = hashes.select(F.explode(F.array(*filter_places(F.col("_h"), bits))).alias("_p"))
+    blocks = places.groupBy(F.floor(F.col("_p") / BLOCK).alias("block")).agg(F.bitmap_construct_agg(F.col("_p") % BLOCK).alias("bits"))
+    out = np.zeros(bits // 8, np.uint8)
+    for block, some in blocks.collect():
+        out[block * (BLOCK // 8) :][: BLOCK // 8] = np.frombuffer(some, np.uint8)
+    return out
+
+
 def _spelled(
     texts: DataFrame,
+    rows: DataFrame,
     common: DataFrame,
     counts: DataFrame,
     key: Sequence[str],
-    run: Sequence[str],
     window: int,
     hot_rows: int,
 ) -> DataFrame:
     """The words of the windows whose hash is common, from texts that have one.
 
-    ``common`` is a written table, so where it is small Spark broadcasts it and
+    ``rows`` are the ``hash_rows`` of the texts. ``common`` is a written table, so where it is small Spark broadcasts it and
     the hashes of the bulk of the text are not shuffled again. Texts of the same
     key exchange places; what is spelled there are windows of theirs all the same.
     """
-    hits = hot_join(hash_rows(texts, key, run, window), common, ["gram_hash"], "left_semi", counts, hot_rows)
+    hits = hot_join(rows, common, ["gram_hash"], "left_semi", counts, hot_rows)
     places = hits.groupBy(*key).agg(F.collect_set("at").alias("_at"))
     rows = texts.join(places, list(key)).select(*key, F.explode(grams_at(F.col("text"), F.col("_at"), window)).alias("gram"))
     return rows.distinct()
@@ -71,8 +89,9 @@ def shared_grams(
     ours = common.select(h, F.col("_l").alias("rows"))
     theirs = common.select(h, F.col("_r").alias("rows"))
     keys = common.select(h)
-    words = _spelled(right, keys, theirs, k, run, window, hot_rows).select(*run, "gram").distinct()
-    candidates = _spelled(left, keys, ours, k, run, window, hot_rows)
+    spelled = lambda texts, rows: _spelled(texts, hash_rows(texts, k, run, window), keys, rows, k, window, hot_rows)
+    words = spelled(right, theirs).select(*run, "gram").distinct()
+    candidates = spelled(left, ours)
     on = [*run, "gram"]
     return hot_join(candidates, words, on, "left_semi", key_counts(candidates, on), hot_rows)
 
@@ -103,7 +122,7 @@ def overlap_downgrade(
 
 
 def cross_section_phrases(
-    texts: DataFrame, window: int = 10, run: Sequence[str] = ("run_date",), hot_rows: int = HOT_ROWS
+    texts: DataFrame, window: int = 10, run: Sequence[str] = ("run_date",), hot_rows: int = HOT_ROWS, most_bits: int = MOST_BITS
 ) -> DataFrame:
     """Windows that occur in more than one section of a run.
 
@@ -113,13 +132,32 @@ def cross_section_phrases(
     Groups are folded by partial aggregation; no pairs are enumerated.
     """
     k = [*run, "section", "pos"]
+    # Texts without a section or place are in no pair.
+    for c in k:
+        texts = texts.where(F.col(c).isNotNull())
+    sizes = texts.groupBy("section").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("_n"))
+    largest, others = sizes.agg(F.max_by("section", "_n"), F.sum("_n") - F.max("_n")).first()
+    # 16 bits a window of four bytes; shorter ones only let more of the largest section through.
+    bits = max(LEAST_BITS, 1 << (4 * (others or 0)).bit_length())
+    if bits <= most_bits:
+        short = texts.where(F.col("section") != F.lit(largest))
+        filled = texts.sparkSession.sparkContext.broadcast(_filter(short, window, bits))
+        bulk = texts.where(F.col("section") == F.lit(largest)).select(*k, F.explode(gram_hits(F.col("text"), filled, window)).alias("_w"))
+        bulk = cut(bulk.select(*k, "_w.at", F.xxhash64(*run, "_w.h").alias("gram_hash"), "_w.gram"))
+        rows = hash_rows(short, k, run, window)
+        both = rows.unionByName(bulk.drop("gram"))
+    else:
+        short, bulk = texts, None
+        both = rows = hash_rows(texts, k, run, window)
     # Numbers for the sections: the least and greatest string would need a sort of all windows.
-    number = F.when(F.col("section").isNotNull(), F.xxhash64("section")).alias("_number")
-    spread = hash_rows(texts, k, run, window).select("gram_hash", number).groupBy("gram_hash").agg(
+    spread = both.select("gram_hash", F.xxhash64("section").alias("_number")).groupBy("gram_hash").agg(
         F.min("_number").alias("_a"), F.max("_number").alias("_b"), F.count(F.lit(1)).alias("rows")
     )
     common = cut(spread.where(F.col("_a") != F.col("_b")).select("gram_hash", "rows"))
-    survivors = _spelled(texts, common.select("gram_hash"), common, k, run, window, hot_rows)
+    survivors = _spelled(short, rows, common.select("gram_hash"), common, k, window, hot_rows)
+    if bulk is not None:
+        hits = hot_join(bulk, common.select("gram_hash"), ["gram_hash"], "left_semi", common, hot_rows)
+        survivors = survivors.unionByName(hits.select(*k, "gram").distinct())
     g = [*run, "gram"]
     per_section = survivors.groupBy(*g, "section").agg(F.min("pos").alias("pos"))
     # One row per section is left, so a phrase gathers no more than sections.
@@ -147,6 +185,8 @@ def representative_phrases(
     alike to a kept one are dropped before the next round.
     """
     order = ["pos_a", "pos_b", "phrase"]
+    # Written, as each round reads them.
+    phrases = cut(phrases)
     base = phrases.select(run, *order)
     schema = T.StructType(
         [

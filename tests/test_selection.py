@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from newsloom.operators.phrases import (
@@ -166,3 +167,44 @@ def test_repeated_phrases(spark):
         assert got == reps
         if reps:
             assert {x[4] for x in kept[run]} == {len(seen) - len(reps)}
+
+
+@pytest.mark.parametrize("most_bits", [0, 1 << 23])
+def test_phrases_with_and_without_a_filter(spark, most_bits):
+    """One long section and short ones, odd keys and repeated texts: the phrases are those of all windows."""
+    rng = random.Random(12)
+    pools = [[f"p{j}x{i}" for i in range(12)] for j in range(6)]
+    rows = []
+    for pos in range(60):
+        words = [f"W{rng.randint(0, 900)}," for _ in range(40)]
+        for pool in rng.sample(pools, 2):
+            at = rng.randint(0, len(words))
+            words[at:at] = pool
+        section = rng.choice(["dives"] * 8 + ["glance", "seams", None])
+        rows.append((rng.choice(["r", "r", "s", None]), section, rng.choice([pos, pos, None]), " ".join(words)))
+    rows += [(run, section, pos, "few words") for run, section, pos, _ in rows[:3]] + [("r", "dives", 99, None)] + rows[:4]
+    df = spark.createDataFrame(rows, "run_date string, section string, pos int, text string")
+    places = {}
+    for run, section, pos, text in rows:
+        if None not in (run, section, pos, text):
+            for phrase in grams(text):
+                at = places.setdefault((run, phrase), {})
+                at[section] = min(pos, at.get(section, pos))
+    want = {}
+    for key, found in places.items():
+        if len(found) > 1:
+            (a, first), (b, second) = sorted((pos, section) for section, pos in found.items())[:2]
+            want[key] = (a, first, b, second)
+    got = {(r.run_date, r.phrase): (r.pos_a, r.section_a, r.pos_b, r.section_b) for r in cross_section_phrases(df, hot_rows=5, most_bits=most_bits).collect()}
+    assert got == want and want
+    assert cross_section_phrases(df.limit(0), most_bits=most_bits).count() == 0
+    assert cross_section_phrases(df.where("section = 'dives'"), most_bits=most_bits).count() == 0
+
+
+def test_windows_are_made_once_for_all_rounds(spark):
+    """Rounds and report read the written phrases, not the texts again."""
+    shared = " ".join(f"w{i}" for i in range(14))
+    df = spark.createDataFrame([("r", "glance", 0, shared), ("r", "dives", 1, shared)], "run_date string, section string, pos int, text string")
+    kept = representative_phrases(cross_section_phrases(df))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "LocalRelation" not in plan and kept.count() == 2
